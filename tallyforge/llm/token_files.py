@@ -7,8 +7,9 @@ Parquet row holds one chunk: its place (part, chunk), its index (doc ids and tok
 counts) and its blocks, so that a reader can decode any chunk alone and Spark's own
 commit protocol guards the files.
 
-Encoding: a text is cut before white space that follows a non-space, where byte-level
-BPE with this pre-tokenizer never joins, and equal pieces are encoded once per worker.
+Encoding: a text is cut before white space that follows a non-space and after Latin
+letters, where this byte-level pre-tokenizer always cuts too, and equal pieces are
+encoded once per worker.
 Texts with white space other than space and newline are encoded as a whole.
 
 Defined cases: null text is empty and yields the end id alone; rows of one id are
@@ -18,8 +19,11 @@ beyond those named are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,9 @@ END = 2
 BLOCK = 1 << 14
 CHUNK = 1 << 17
 #: Pieces whose ids a worker remembers, at most.
-REMEMBER = 300_000
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
+REMEMBER = 1_000_000
+#: Latin letters that no other letter or numeral follows, with the space before; else up to the next space.
+PIECE = re.compile(r"[ \n]*[a-zA-ZÀ-ÖØ-öø-ɏ]+(?![^\W\d_])|[ \n]*[^ \n]+|[ \n]+$")
 ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​﻿]")
 
 CHUNKS = "part int, chunk int, doc_ids array<bigint>, n_tokens array<bigint>, n_ids bigint, blocks array<struct<n:int,planes:array<binary>>>"
@@ -47,19 +52,38 @@ ARROW = pa.schema([
 ])
 
 
+class OddSpace(Exception):
+    """A piece with white space that may reach over the piece's bounds."""
+
+
+class Pieces(dict):
+    """Ids of pieces as little-endian unsigned 32-bit integers; a piece is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        if ODD_SPACE.search(piece):
+            raise OddSpace(piece)
+        ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        self[piece] = got = ids.tobytes()
+        return got
+
+
 class Encoder:
-    """A tokenizer with the ids of pieces met before, as little-endian unsigned 32-bit integers."""
+    """A tokenizer and the pieces that it met before."""
 
     loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
+        self.known = Pieces(self.tokenizer)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -71,22 +95,12 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        pieces = PIECE.findall(text)
-        known = self.known
+        if len(self.known) > REMEMBER:
+            self.known.clear()
         try:
-            return b"".join(map(known.__getitem__, pieces))
-        except (KeyError, TypeError):
-            pass
-        if len(known) > REMEMBER:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        plain = [p for p in new if not ODD_SPACE.search(p)]
-        known.update((p, None) for p in new if ODD_SPACE.search(p))
-        for p, e in zip(plain, self.tokenizer.encode_batch(plain, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        if any(known[p] is None for p in pieces):
+            return b"".join(map(self.known.__getitem__, PIECE.findall(text)))
+        except OddSpace:
             return self.whole(text)
-        return b"".join(map(known.__getitem__, pieces))
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
