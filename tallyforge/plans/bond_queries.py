@@ -45,7 +45,8 @@ def future_flows(spark, d):
 def _solved(spark, d):
     _, c, a, _, _, ask = _all(spark, d)
     f = B.flow_arrays(B.future_flows(ask, c, a))
-    return _priced(spark, d).join(f, ["secid", "on_date"], "left").withColumn("own_yield", B.solve_yield(F.col("flows"), F.col("price")))
+    x = B.dealt_out(_priced(spark, d).join(f, ["secid", "on_date"], "left"), "secid", "price_source")
+    return x.withColumn("own_yield", B.solve_yield(F.col("flows"), F.col("price")))
 
 
 def ytm(spark, d):
@@ -63,7 +64,7 @@ def ytp(spark, d):
     flows = B.future_flows(at, c, a, "offer_date").select("secid", "on_date", "pay_date", "amount")
     face = B.face_values(at.select("secid", F.col("offer_date").alias("on_date")), i, a).select("secid", F.col("on_date").alias("pay_date"), F.col("face").alias("amount"))
     f = B.flow_arrays(flows.unionByName(face.withColumn("on_date", F.lit(ON).cast("date"))))
-    x = _priced(spark, d).join(f, ["secid", "on_date"])
+    x = B.dealt_out(_priced(spark, d).join(f, ["secid", "on_date"]), "secid", "price_source")
     return x.select("secid", "price_source", F.round(B.solve_yield(F.col("flows"), F.col("price")), 8).alias("ytp"))
 
 
