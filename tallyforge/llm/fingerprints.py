@@ -124,18 +124,22 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document. Each next document sends that start and its sketch to its predecessor, so a
     whole text is shuffled once.
     """
+    def key(i: str, th: str) -> list[Column]:
+        """A row's place as plain values, so that one hash partitioning serves both joins and the grouping."""
+        return [F.coalesce(F.col(i).cast("string"), F.lit("")).alias("k"), F.col(i).isNull().alias("k0"), F.col(th).alias("kh")]
+
     t = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), t.alias("text")).withColumn("th", F.xxhash64("text")).withColumn("n", F.char_length("text").cast("long"))
-    follow = stash(successors(d), "op10-next")
-    wanted = follow.select("nid", "nth", F.col("id").alias("to"), F.col("th").alias("to_th"), F.floor(F.col("n") / 4).cast("int").alias("m"))
-    text = d.select("id", "th", "text")
-    sent = text.join(wanted, F.col("id").eqNullSafe(F.col("nid")) & (F.col("th") == F.col("nth")))
-    sent = sent.select("to", "to_th", F.substring("text", F.lit(1), F.col("m")).alias("start"), sketch(F.col("text"), k).alias("next_fp"))
-    sent = sent.groupBy("to", "to_th").agg(F.first(F.struct("start", "next_fp")).alias("s")).select("to", "to_th", "s.*")
-    x = text.join(sent, F.col("id").eqNullSafe(F.col("to")) & (F.col("th") == F.col("to_th")))
+    d = docs.select(F.col(id_col).alias("id"), t.alias("text")).withColumn("th", F.xxhash64("text"))
+    follow = stash(successors(d.select("id", "th", F.char_length("text").cast("long").alias("n"))), "op10-next")
+    wanted = follow.select(*key("nid", "nth"), F.struct(*key("id", "th")).alias("to"), F.floor(F.col("n") / 4).cast("int").alias("m"))
+    text = d.select(*key("id", "th"), "text")  # the same columns for both joins: its exchange is reused
+    at = ["k", "k0", "kh"]
+    sent = text.join(wanted, at).select("to.*", F.struct(F.substring("text", F.lit(1), F.col("m")).alias("start"), sketch(F.col("text"), k).alias("next_fp")).alias("s"))
+    sent = sent.groupBy(*at).agg(F.first("s").alias("s")).select(*at, "s.*")
+    x = text.join(sent, at)
     n = F.char_length("text")
     m = F.floor(n / 4).cast("int")
-    x = x.select("id", "next_fp", "start", n.alias("n"), F.substring("text", F.lit(1), n - m).alias("head"), F.substring("text", n - m + 1, m).alias("tail"))
+    x = x.select(F.when(~F.col("k0"), F.col("k")).cast(dict(d.dtypes)["id"]).alias("id"), "next_fp", "start", n.alias("n"), F.substring("text", F.lit(1), n - m).alias("head"), F.substring("text", n - m + 1, m).alias("tail"))
     x = x.withColumn("fps", sketches_with_ends(F.col("head"), [F.col("tail"), F.col("start")], k))
     return x.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), F.sha2(F.concat("head", "start"), 256).alias("edited_sha256"),
