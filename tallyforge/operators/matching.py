@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def longest_match(df: DataFrame, text_col: str, dictionary: dict[str, str]) -> DataFrame:
-    """Add ``match``: the value of the longest phrase in the text, the earlier phrase among equals; else null.
+def longest_phrase(text: Column, dictionary: dict[str, str]) -> Column:
+    """The value of the longest phrase in the text, of the earlier phrase among equals; else null.
 
     The dictionary is code, a few hundred phrases at most, so it travels in the plan: one
     array scan per row and no join.
     """
     phrases = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(v).alias("v"), F.struct(F.lit(len(p)), F.lit(-i)).alias("rank")) for i, (p, v) in enumerate(dictionary.items())])
-    hits = F.filter(phrases, lambda x: F.contains(F.col(text_col), x["p"]))
-    best = F.array_max(F.transform(hits, lambda x: F.struct(x["rank"].alias("rank"), x["v"].alias("v"))))
-    return df.withColumn("match", best["v"])
+    hits = F.filter(phrases, lambda x: F.contains(text, x["p"]))
+    return F.array_max(F.transform(hits, lambda x: F.struct(x["rank"].alias("rank"), x["v"].alias("v"))))["v"]
+
+
+def longest_match(df: DataFrame, text_col: str, dictionary: dict[str, str]) -> DataFrame:
+    """Add ``match``: the longest phrase's value."""
+    return df.withColumn("match", longest_phrase(F.col(text_col), dictionary))
