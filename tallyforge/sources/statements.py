@@ -158,6 +158,6 @@ def statements(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statements from a folder of HTML files, keyed by their content's sha256; a file stored twice counts once."""
+    """Statements from a folder of HTML files, keyed by their content's sha256; a file stored twice counts once and one without bytes not at all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.htm*").load(path)
     return statements(files.select(F.sha2("content", 256).alias("report"), "content").dropDuplicates(["report"]), "report", "content")
