@@ -230,7 +230,7 @@ def statement_operations(mapped: DataFrame) -> DataFrame:
 
 def statement_balances(mapped: DataFrame, headers: DataFrame) -> DataFrame:
     """Control totals, as of the period's end."""
-    b = mapped.where(F.col("balance").isNotNull()).select("report", "balance.*")
+    b = mapped.select("report", F.explode(F.filter(F.array("balance"), lambda x: x.isNotNull())).alias("b")).select("report", "b.*")
     return b.join(headers.select("report", F.col("period_end").alias("as_of")), "report", "left")
 
 
