@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.staging import numbered
+
 CONTENT = ("event_type", "trade_date", "settlement_date", "instrument_id", "quantity", "price", "amount", "currency", "cost_basis", "basis_quality")
 # The key's version and length, and the event types.
 KEY_VERSION, KEY_LENGTH = "k1", 40
@@ -25,11 +27,11 @@ def digest(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", F.lit(KEY_VERSION), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, KEY_LENGTH)
 
 
-def natural_keys(items: DataFrame, order: str = "id") -> DataFrame:
-    """Idempotency keys: source row id, else trade number, else attributes with an ordinal within the day."""
+def natural_keys(items: DataFrame, order: str = "id", within: tuple[str, ...] = ()) -> DataFrame:
+    """Idempotency keys: source row id, else trade number, else attributes with an ordinal within the day (and ``within``)."""
     c, n = F.col, lambda x: number_text(F.col(x))
     same = [c("account"), c("trade_date"), c("event_type"), F.coalesce(c("instrument"), F.lit("")), n("quantity"), n("price"), n("amount"), F.coalesce(c("fee_kind"), F.lit(""))]
-    index = F.row_number().over(W.partitionBy(*same).orderBy(order)) - 1
+    index = F.row_number().over(W.partitionBy(*within, *same).orderBy(order)) - 1
     head = [c("account"), c("trade_date"), c("event_type")]
     key = F.when(c("source_row_id").isNotNull(), digest(F.lit("csv"), *head, c("instrument"), c("source_row_id")))
     key = key.when(F.coalesce(c("broker_trade_no"), F.lit("")) != "", digest(F.lit("trade"), *head, c("fee_kind"), c("broker_trade_no")))
@@ -79,18 +81,9 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 
 
 def append_rows(rows: DataFrame, ledger: DataFrame, path: str) -> DataFrame:
-    """Give ids after the ledger's last and append; reversals come before replacements before new rows.
-
-    Ids are handed out by range partition, so no task numbers more than its own rows.
-    """
+    """Give ids after the ledger's last and append; reversals come before replacements before new rows."""
     last = ledger.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("m")).first().m
-    rows = rows.repartitionByRange("place", "natural_key").sortWithinPartitions("place", "natural_key").withColumn("pid", F.spark_partition_id())
-    counts = {r.pid: r.n for r in rows.groupBy("pid").agg(F.count("*").alias("n")).collect()}
-    start, at = {}, last + 1
-    for p in sorted(counts):
-        start[p], at = at, at + counts[p]
-    offset = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map(F.lit(0), F.lit(0))
-    out = rows.withColumn("id", F.row_number().over(W.partitionBy("pid").orderBy("place", "natural_key")) - 1 + offset[F.col("pid")]).drop("pid", "place")
+    out = numbered(rows, ["place", "natural_key"], last + 1).drop("place")
     out.write.mode("append").parquet(path)
     return out
 
