@@ -110,12 +110,13 @@ def import_declared(rows: DataFrame, ledger: DataFrame, accounts: DataFrame, ins
     kind that a sound file has is told in whole: rows of that kind in no file vanish.
     A row that comes again gets a key with its version.
     """
-    entries, accounts, lost = resolve_accounts(declared_entries(sound_rows(rows)), accounts)
+    rows = staged(sound_rows(rows), "sound")
+    entries, accounts, lost = resolve_accounts(declared_entries(rows), accounts)
     entries = numbered(entries, ["source_row_id", "account"], 0, "seq").withColumn("name", F.lit(None).cast("string"))
     state, instruments, unknown = resolve_instruments(entries, instruments)
     state = staged(as_ledger(state), "state")
     scope = F.substring_index("source_row_id", ":", 1)
-    scopes = sound_rows(rows).select(F.col("file_kind").alias("scope")).distinct()
+    scopes = rows.select(F.col("file_kind").alias("scope")).distinct()
     recorded = as_ledger(ledger).where("source_row_id IS NOT NULL").withColumn("scope", scope).join(scopes, "scope", "left_semi").drop("scope")
     diff = staged(declarative_diff(state, recorded, content=CONTENT).drop("new"), "diff")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import schedules as S
 from tallyforge.operators.identities import resolve_instruments
 from tallyforge.operators.imports import as_ledger, import_declared
+from tallyforge.operators.staging import staged
 from tallyforge.plans.demo import BONDS_SQL, demo_amortizations, demo_coupons, demo_issues, demo_offers, table
 from tallyforge.sources.declarative_csv import csv_records, declared_entries, declared_rows, sound_rows
 from tallyforge.sources.snapshots import board_quotes, cell
@@ -50,7 +51,7 @@ def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = declared_entries(declared_rows(csv_records(demo_csv(spark, sf_dir))).where("size(problems) = 0 AND CAST(row_id AS long) % 7 <> 0").drop("problems"))
     old = old.withColumns({"id": F.substring_index("source_row_id", ":", -1).cast("long")})
     rows = declared_rows(csv_records(demo_csv(spark, sf_dir, newer=True)))
-    done = import_declared(rows, as_ledger(old), spark.createDataFrame([], NO_ACCOUNTS), spark.createDataFrame([], NO_INSTRUMENTS))
+    done = import_declared(rows, staged(as_ledger(old), "old"), spark.createDataFrame([], NO_ACCOUNTS), spark.createDataFrame([], NO_INSTRUMENTS))
     return done.rows.select("place", "natural_key", "event_type", "source_row_id", F.col("amount").cast("double").alias("amount"), "reverses_id")
 
 

@@ -90,8 +90,8 @@ def declared_rows(records: DataFrame) -> DataFrame:
         bad("kind", flow & ~F.coalesce(F.col("kind").isin(*FLOWS), F.lit(False))), bad("amount", flow & F.col("amount").isNull()),
     )
     header = F.col("line") == 1
-    x = x.withColumn("problems", F.array_compact(F.when(header, F.array(whole)).when(whole.isNotNull(), F.array().cast("array<string>")).otherwise(row)))
-    x = x.where(F.when(header, F.size("problems") > 0).otherwise(whole.isNull() & F.exists("cells", lambda v: ~c.is_blank(v))))
+    x = x.where(F.when(header, whole.isNotNull()).otherwise(whole.isNull() & F.exists("cells", lambda v: ~c.is_blank(v))))
+    x = x.withColumn("problems", F.array_compact(F.when(header, F.array(whole)).otherwise(row)))
     good = F.size("problems") == 0
     w = W.partitionBy("file", "r_id", good).orderBy("line")
     x = x.withColumn("n", F.row_number().over(w)).withColumn("first", F.first("line").over(w))
@@ -106,8 +106,8 @@ def file_problems(rows: DataFrame) -> DataFrame:
 
 def sound_rows(rows: DataFrame) -> DataFrame:
     """Rows of the files without any problem: a file is taken whole or not at all."""
-    wrong = rows.where(F.size("problems") > 0).select("file").distinct()
-    return rows.join(wrong, "file", "left_anti").drop("problems")
+    wrong = F.bool_or(F.size("problems") > 0).over(W.partitionBy("file"))
+    return rows.withColumn("wrong", wrong).where("NOT wrong").drop("wrong", "problems")
 
 
 def declared_entries(rows: DataFrame) -> DataFrame:
@@ -125,4 +125,4 @@ def declared_entries(rows: DataFrame) -> DataFrame:
 def read_declared(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all files under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,tsv,txt}").load(path)
-    return declared_rows(csv_records(files.select(F.col("path").alias("file"), F.decode("content", F.lit("UTF-8")).alias("content"))))
+    return declared_rows(csv_records(files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))))

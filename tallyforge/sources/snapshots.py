@@ -74,7 +74,7 @@ def read_snapshots(spark: SparkSession, root: str, day: str | None = None, endpo
     listed = listed.where(F.col("day") == day)
     if day is None or listed.select("day").isEmpty():
         raise FileNotFoundError(f"no snapshot of {day or 'any day'} in {root}")
-    return (listed if endpoint is None else listed.where(F.col("endpoint") == endpoint)).withColumn("content", F.decode("content", F.lit("UTF-8")))
+    return (listed if endpoint is None else listed.where(F.col("endpoint") == endpoint)).withColumn("content", F.decode("content", "UTF-8"))
 
 
 def vanished(catalog: DataFrame, spark: SparkSession, root: str) -> DataFrame:
