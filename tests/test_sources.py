@@ -39,7 +39,7 @@ def test_csv_rows_problems_and_entries(spark, tmp_path):
     ]
     (tmp_path / "opening.tsv").write_text(OPENING)
     assert C.read_declared(spark, str(tmp_path)).count() == 2
-    assert csv_of(spark, ("cash.csv", 'id,account,date,kind,amount,note\nf1,A,1.2.2025,CASH_IN,3,"two\nlines"\n')).first().note == "two lines"
+    assert csv_of(spark, ("cash.csv", 'id,account,date,kind,amount,note\nf1,A,1.2.2025,CASH_IN,3,"two\nlines"\n')).first().note == "two\nlines"
 
 
 def test_declared_state_comes_goes_and_comes_again(spark, tmp_path):
