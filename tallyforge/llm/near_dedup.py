@@ -5,16 +5,24 @@ Every text's set of five-word shingles gets a MinHash signature of ``TREES`` gro
 ``TREES`` orders, one for each group; in each order, rows with a common prefix are
 neighbours. How long a prefix must be depends on the region: the shortest with which at
 most ``REGION`` rows agree makes all pairs of these rows candidates, and adjacent rows
-that agree in the first value are candidates everywhere. A region of any size thus
-gives a number of candidates in proportion to its rows.
+that agree in the first value are candidates everywhere.
+
+Crowds, which are larger regions that agree in ``CROWD`` values, get rounds of their own
+once these links are known. Every row outside a crowd's largest component is compared
+with all rows of other components, by signature, and its most alike ones are candidates,
+four times as many in each round as in the last, until no row has one left that is
+untried. What is linked already needs no more pairs, so the rounds cost in proportion to
+the crowd where one component holds most of it, and up to the square of its rows where
+they stay apart.
 
 Candidates whose signatures (one byte a value) are too unlike are dropped, with a margin
 of four standard deviations. The rest are confirmed on full sets, in two rounds: each
 class's most alike candidate, then those pairs that still lie in different components.
 Components are found by star contraction.
 
-Orders are range-partitioned; a cut between two partitions hides one neighbour relation
-in one order, and a pair is missed only if it is hidden in every order.
+Orders are range-partitioned; regions at a cut between two partitions count as crowds.
+Two texts that agree in ``CROWD`` values of any order are thus compared or linked by
+others, which a pair of likeness 0.75 misses with a chance of 2 in a million.
 
 Defined cases: texts without words are linked with nothing; rows of one id count as one
 document, whose links are those of any of its texts; rows with a null id are represented
@@ -41,6 +49,9 @@ TREES, DEPTH = 16, 8
 VALUES = TREES * DEPTH
 #: Rows of a region that are all compared; percent of the union that two sets must share; least estimate.
 REGION, SHARED, ESTIMATE = 8, 75, 0.6
+#: Values that a crowd agrees in, its rows in one task's block, candidates a row and block in the first round, and
+#: differing lowest bits (of VALUES) beyond which signatures are not compared further (five standard deviations).
+CROWD, BLOCK, FIRST, BITS = 2, 1000, 4, 36
 #: Word hashes that a worker remembers, at most.
 REMEMBER = 500_000
 _r = np.random.default_rng(42)
@@ -123,8 +134,23 @@ def neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray) -> tuple[np
     return np.minimum(x, y), np.maximum(x, y)
 
 
+def crowded(tree: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of sorted ones whose region is a crowd or may go on in another partition, and their regions' keys."""
+    n = len(tree)
+    first = np.append(0, np.flatnonzero((tree[1:] != tree[:-1]) | (keys[1:, :CROWD] != keys[:-1, :CROWD]).any(1)) + 1)
+    size = np.diff(np.append(first, n))
+    wide = size > REGION
+    wide[[0, -1]] = True
+    i = np.flatnonzero(np.repeat(wide, size))
+    key = tree[i].astype(np.uint64)
+    for c in range(CROWD):
+        key = (key ^ keys[i, c]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return i, key.view(np.int64)
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of class nodes, from all sorted orders."""
+    """Candidate pairs (a < b) of class nodes, from all sorted orders; with a null b, that node a is of a crowd."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -132,32 +158,102 @@ def candidates(classes: DataFrame) -> DataFrame:
             return
         t = pa.Table.from_batches(got)
         keys = np.frombuffer(b"".join(t.column("prefix").to_pylist()), ">u4").reshape(-1, DEPTH)
-        a, b = neighbours(t.column("tree").to_numpy(), keys, t.column("node").to_numpy())
+        tree, node = t.column("tree").to_numpy(), t.column("node").to_numpy()
+        a, b = neighbours(tree, keys, node)
         pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         for at in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1])], ["a", "b"])
+            x = pairs[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.nulls(len(x), pa.int64())], ["a", "b", "crowd"])
+        i, crowd = crowded(tree, keys)
+        for at in range(0, len(i), 100_000):
+            x = node[i[at : at + 100_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(crowd[at : at + 100_000])], ["a", "b", "crowd"])
 
     rows = classes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.select("tree", F.substring("sig", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("prefix"), "node")
     order = ["tree", "prefix", "node"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, crowd long")
+
+
+def lows(classes: DataFrame) -> DataFrame:
+    """node, last byte of each of its signature's values."""
+    return classes.select("node", F.expr("unhex(regexp_replace(hex(sig), '.{6}(..)', '$1'))").alias("low"))
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated from signatures' last bytes."""
+    return ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256)
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float = ESTIMATE) -> DataFrame:
     """Pairs whose signatures' last bytes agree often enough, with the estimated likeness."""
-    low = classes.select("node", F.expr(f"unhex(regexp_replace(hex(sig), '.{{6}}(..)', '$1'))").alias("low"))
+    low = lows(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, VALUES) for c in ("la", "lb"))
-                pdf = pdf[["a", "b"]].assign(e=((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
+                pdf = pdf[["a", "b"]].assign(e=likeness(x, y))
                 yield pdf[pdf["e"] >= least]
 
     x = pairs.join(low.withColumnsRenamed({"node": "a", "low": "la"}), "a").join(low.withColumnsRenamed({"node": "b", "low": "lb"}), "b")
     return x.select("a", "b", "la", "lb").mapInPandas(run, "a long, b long, e double")
 
 
+def most_alike(node: np.ndarray, root: np.ndarray, low: np.ndarray, from_: np.ndarray, to: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Likely pairs of rows ``from_`` and ``to`` with different roots, ``most`` a row of ``from_``; and whether there are more."""
+    bits = np.packbits(low & 1, axis=1).view(np.uint64)
+    a, b, more = [node[:0]], [node[:0]], False
+    for at in range(0, len(from_), 256):
+        f = from_[at : at + 256]
+        differ = sum(np.bitwise_count(bits[f, None, k] ^ bits[None, to, k]) for k in range(bits.shape[1]))
+        i, j = np.nonzero((differ <= BITS) & (root[f, None] != root[None, to]))
+        for piece in np.array_split(np.arange(len(i)), np.unique(np.searchsorted(i, np.arange(8, len(f), 8)))):
+            x, y = f[i[piece]], to[j[piece]]
+            e = likeness(low[x], low[y])
+            x, y, e = x[e >= ESTIMATE], y[e >= ESTIMATE], e[e >= ESTIMATE]
+            order = np.lexsort((node[y], -e, x))
+            x, y = x[order], y[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x)
+            more |= bool((place >= most).any())
+            a.append(node[x[place < most]])
+            b.append(node[y[place < most]])
+    x, y = np.concatenate(a), np.concatenate(b)
+    return np.minimum(x, y), np.maximum(x, y), more
+
+
+def apart(crowds: DataFrame, low: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """Distinct likely pairs (a, b) of crowds' rows in different components; a null pair says that rows have more than ``most``."""
+    rows = crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+    parts = rows.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
+    parts = parts.where(F.col("n") > F.col("main.n")).select("crowd", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("main.root").alias("main"))
+    rows = stash(rows.join(parts, "crowd"), "op2-crowds").join(low, "node")
+    to = rows.select("crowd", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "root", "low", F.lit(False).alias("lone"))
+    lone = rows.where("root <> main").select("crowd", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", "low", F.lit(True).alias("lone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        crowd, block, node, root, lone = (t.column(c).to_numpy() for c in ("crowd", "block", "node", "root", "lone"))
+        low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, VALUES)
+        first = np.append(0, np.flatnonzero((crowd[1:] != crowd[:-1]) | (block[1:] != block[:-1])) + 1)
+        more = False
+        for x, y in zip(first, np.append(first[1:], len(node))):
+            i = np.arange(x, y)
+            a, b, rest = most_alike(node, root, low, i[lone[i]], i[~lone[i]], most)
+            more |= rest
+            if len(a):
+                pairs = np.unique(np.stack([a, b], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
+
+    both = to.unionByName(lone).repartition("crowd", "block").sortWithinPartitions("crowd", "block")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shared: int = SHARED) -> DataFrame:
     """The pairs that share enough of their full sets."""
     wanted = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "op2-wanted")
@@ -185,13 +281,34 @@ def linked(x: np.ndarray, y: np.ndarray, shared: int = SHARED) -> bool:
     return 100 * both >= shared * (len(x) + len(y) - both)
 
 
+def joined_crowds(found: DataFrame, known: DataFrame, docs: DataFrame, id_col: str, text_col: str, tried: DataFrame, roots: DataFrame) -> DataFrame:
+    """The roots after all likely pairs of crowds' rows in different components have been tried on full sets."""
+    crowds = found.where("b IS NULL").select("crowd", F.col("a").alias("node")).distinct()
+    wide = crowds.groupBy("crowd").count().where("count > 1").select("crowd")
+    crowds = stash(crowds.join(wide, "crowd"), "op2-crowds")
+    low = known.join(crowds.select("node").distinct(), "node", "left_semi")
+    low = stash(lows(low.groupBy("node").agg(F.min("sig").alias("sig"))), "op2-lows")
+    most, more = FIRST, True
+    while more:
+        pairs = stash(apart(crowds, low, roots, most), "op2-apart")
+        more = not pairs.where("a IS NULL").isEmpty()
+        new = stash(pairs.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "op2-apart")
+        links = stash(confirmed(new, docs, id_col, text_col), "op2-links")
+        if not links.isEmpty():
+            tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = stash(components(links.unionByName(tree)), "op2-roots")
+        tried, most = tried.unionByName(new), 4 * most
+    return roots
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     signed = stash(sign(docs, id_col, text_col), "op2-signed")
     classes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("node"), F.first("sig").alias("sig"))
     classes = stash(classes, "op2-classes")
     known = classes.where(F.col("node").isNotNull())
-    pairs = stash(likely(candidates(known), known), "op2-pairs")
+    found = stash(candidates(known), "op2-candidates")
+    pairs = stash(likely(found.where("b IS NOT NULL").select("a", "b").distinct(), known), "op2-pairs")
 
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b"))
@@ -210,6 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stash(components(more.unionByName(tree)), "op2-roots")
+    roots = joined_crowds(found, known, docs, id_col, text_col, best.unionByName(rest), roots)
 
     # a class by the least id of its component
     c = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))

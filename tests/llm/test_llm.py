@@ -74,6 +74,21 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert near_dedup.first_of_groups(docs).columns == docs.columns
 
 
+def test_hub_of_many_near_copies_is_one_group(spark):
+    r, base = random.Random(8), words(11, 300)
+    texts = [" ".join(base)]
+    for i in range(2000):
+        w = list(base)
+        for k in range(8):
+            w[r.randrange(10, 290) if k else 20] = f"other{i}x{k}"
+        texts.append(" ".join(w))
+    sets = [near_dedup.shingle_set(t) for t in texts]
+    like = {i for i in range(1, len(sets)) if near_dedup.linked(sets[0], sets[i])}
+    assert len(like) > 1500 and not any(near_dedup.linked(sets[a], sets[b]) for a, b in zip(sorted(like), sorted(like)[1:]))
+    d = spark.createDataFrame([(i, texts[i]) for i in [0, *sorted(like)]], "doc_id long, text string")
+    assert {x.component_id for x in near_dedup.near_duplicates(d).collect()} == {0}
+
+
 def test_tokens_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
