@@ -3,10 +3,11 @@
 Texts are brought to templates: numbers, units after a number and capitalised words
 inside a sentence become typed placeholders, everything else loses its punctuation and
 upper case. Windows of six template words are hashed and joined with the benchmark's
-windows. Where windows line up, the placeholders' values must map one to one from the
-item to the document, so that a re-parameterised question is caught and a text that
-merely shares a frame is not. A window with fewer than three plain words counts by its
-own words, not by its placeholders.
+windows. A window whose placeholders have the item's own values always counts. Where the
+other windows line up, each value of the item must become one value of the document, so
+that a re-parameterised question is caught; windows that hold an item's value for which
+the document has several don't count. A window with fewer than three plain words counts
+by its own words, not by its placeholders.
 
 A document holds an item if at least half of the item's windows, or eight of them, are
 found consistently. Items shorter than a window are looked for as a whole.
@@ -83,15 +84,17 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
 
 
 def judged(hits: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """Slot consistency by alignment, then coverage by document and item."""
+    """Slot consistency by alignment, then coverage by document and item; exact if no window of a counted alignment differs."""
     at = ["key", "item", "shift"]
-    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     slots = F.filter(F.arrays_zip(F.col("item_words").alias("i"), F.col("doc_words").alias("d")), lambda z: F.regexp_like(z["i"], F.lit(f"^{MARKS}")))
-    seen = hits.select(*at, F.explode(slots).alias("z")).select(*at, "z.i", "z.d").distinct()
-    per = seen.groupBy(*at).agg(F.count("*").alias("k"), F.count_distinct("i").alias("ki"), F.count_distinct("d").alias("kd"), F.bool_and(F.col("i") == F.col("d")).alias("same"))
-    per = per.select(F.col("key").alias("k0"), F.col("item").alias("i0"), F.col("shift").alias("s0"), ((F.col("k") == F.col("ki")) & (F.col("k") == F.col("kd"))).alias("fits"), "same")
-    x = hits.join(per, F.col("key").eqNullSafe(F.col("k0")) & F.col("item").eqNullSafe(F.col("i0")) & (F.col("shift") == F.col("s0")), "left").where(F.coalesce("fits", F.lit(True)))
-    x = x.groupBy("key", "item").agg(F.count_distinct("item_pos").alias("n_windows"), F.bool_and(F.coalesce("same", F.lit(True))).alias("exact"))
+    hits = hits.select("key", "item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
+    hits = hits.withColumn("differs", F.exists("slots", lambda z: z["i"] != z["d"]))
+    seen = hits.where("differs").select(*at, F.explode("slots").alias("z")).select(*at, "z.i", "z.d").distinct()
+    per = seen.groupBy(*at, "i").agg(F.count("*").alias("k")).groupBy(*at).agg(F.collect_list(F.when(F.col("k") > 1, F.col("i"))).alias("torn"))
+    per = per.select(F.col("key").alias("k0"), F.col("item").alias("i0"), F.col("shift").alias("s0"), "torn")
+    x = hits.join(per, F.col("key").eqNullSafe(F.col("k0")) & F.col("item").eqNullSafe(F.col("i0")) & (F.col("shift") == F.col("s0")), "left")
+    x = x.where(~F.col("differs") | ~F.exists("slots", lambda z: F.array_contains("torn", z["i"])))
+    x = x.groupBy("key", "item").agg(F.count_distinct("item_pos").alias("n_windows"), F.bool_and(F.col("s0").isNull()).alias("exact"))
     total = items.groupBy("item").agg(F.max(F.greatest(F.col("n_words") - (n - 1), F.lit(1))).alias("total"))
     x = x.join(total.withColumnRenamed("item", "i1"), F.col("item").eqNullSafe(F.col("i1")))
     x = x.withColumn("coverage", F.col("n_windows") / F.col("total"))
