@@ -188,6 +188,15 @@ def test_urls(spark):
     assert urls.judge_urls(d.limit(0), urls.fit_url_model(d.limit(0))).count() == 0
 
 
+def test_url_threshold_hears_all_hosts():
+    r = random.Random(4)
+    allowed = sorted([f"a{i:04}.org/en/list" for i in range(2500)] + [f"z{i:04}.net/{r.choice(['news', 'shop'])}/{r.randint(0, 999)}" for i in range(2500)])
+    blocked = sorted([f"a{i:04}.com/xx/casino" for i in range(2500)] + [f"z{i:04}.net/{r.choice(['news', 'bets'])}/{r.randint(0, 999)}" for i in range(2500)])
+    m = urls.UrlModel(allowed, blocked)
+    scored = [(m.difference(s), y) for y, xs in ((1, allowed[1::2]), (0, blocked[1::2])) for s in xs]
+    assert m.threshold == urls.calibrated(scored)
+
+
 def test_html(spark):
     html = """<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site.</div>
     <article><h1>A  title</h1><p>First &amp; long paragraph of the text, with words.<p>Second&nbsp;one <a href=y>with a link</a> inside it.<div class="ad">Buy this thing now.</div>
