@@ -197,6 +197,19 @@ def test_url_threshold_hears_all_hosts():
     assert m.threshold == urls.calibrated(scored)
 
 
+def test_whole_urls_are_judged(spark):
+    rows = [(i, f"http://h{i % 9}.net/p{i % 7}?{'ad' if i % 2 else 'bid'}={i}#x") for i in range(200)]
+    rows += [(1000 + i, f"http://h{i % 9}.org/fr/p{i % 7}?page={i}#x") for i in range(200)]
+    m = urls.fit_url_model(spark.createDataFrame(rows, "page_id long, url string"))
+    m.threshold = 0.0
+    ask = [(1, "http://H.Example.edu/P?page=12#x"), (2, "http://H.Example.edu/P?bid=12#x"), (3, "h.edu/p?bid=12#x"), (4, None), (5, "")]
+    d = spark.createDataFrame(ask, "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.verdict) for r in urls.judge_urls(d, m).collect()}
+    assert [got[i][2] for i in (1, 2, 3, 4, 5)] == ["allow", "block", "block", "allow", "allow"]
+    assert got[1][:2] == ("h.example.edu", "/P") and got[3][:2] == ("", "")
+    assert d.select(urls.whole(F.col("url")).alias("u")).first().u == "http://h.example.edu/P?page=12#x"
+
+
 def test_html(spark):
     html = """<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on this site.</div>
     <article><h1>A  title</h1><p>First &amp; long paragraph of the text, with words.<p>Second&nbsp;one <a href=y>with a link</a> inside it.<div class="ad">Buy this thing now.</div>
