@@ -1,7 +1,7 @@
 """Operator 6: toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Words (hashed embeddings) and their characters (mean of hashed 3- and 4-gram embeddings)
-are the inputs. All overlapping windows of 24 words, 16 apart, are scored, and a text's
+are the inputs. The windows of 24 words at every start are scored, and a text's
 score is that of its worst window. The network is trained in numpy on a bounded sample
 of labelled texts, as multiple-instance learning: of a toxic text the worst window
 counts, of a clean text its worst ones. The embeddings' first component starts at the
@@ -28,7 +28,7 @@ from tallyforge.llm.common import table
 from tallyforge.llm.language import held_out
 
 WORD = re.compile(r"\w+")
-SPAN, STEP = 24, 16
+SPAN = 24
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 16, 1 << 16, 8, 8
 THRESHOLD = 0.7
 #: Embedding rows found in fewer training texts than this stay 0: what they could teach is chance.
@@ -86,12 +86,15 @@ def some(tables, i: np.ndarray):
     return w[i], grams[np.arange(many.sum()) + np.repeat(at[:-1][i] - begin, many)], np.append(begin, many.sum())
 
 
-def windows_of(ids: np.ndarray) -> np.ndarray:
-    """All windows of a text as rows of word numbers; 0 pads a text shorter than one window."""
-    if len(ids) <= SPAN:
-        return np.pad(ids, (0, SPAN - len(ids)))[None]
-    starts = np.append(np.arange(0, len(ids) - SPAN, STEP), len(ids) - SPAN)
-    return ids[starts[:, None] + np.arange(SPAN)]
+def windows_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows at every start of each text: a view of all texts' word numbers in a line, the starts in it, and whose
+    window each is. 0 pads a text shorter than one window."""
+    padded = [np.pad(x, (0, max(0, SPAN - len(x)))).astype(np.int32) for x in texts]
+    long = np.array([len(x) for x in padded], np.int64)
+    many = long - SPAN + 1
+    owner = np.repeat(np.arange(len(texts)), many)
+    starts = np.arange(many.sum()) + np.repeat(np.cumsum(long) - long - np.cumsum(many) + many, many)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate(padded), SPAN), starts, owner
 
 
 class Network:
@@ -138,11 +141,11 @@ class Network:
         a = e / e.sum(0)
         return q, a, np.einsum("tbh,tb->bh", h, a)
 
-    def logits(self, ids: np.ndarray, inputs: dict[str, np.ndarray]) -> np.ndarray:
-        """ids: (windows, SPAN) word numbers, rows of ``inputs``."""
-        out = np.empty(len(ids), np.float32)
-        for at in range(0, len(ids), 2048):
-            w = ids[at : at + 2048].T
+    def logits(self, ids: np.ndarray, starts: np.ndarray, inputs: dict[str, np.ndarray]) -> np.ndarray:
+        """ids: (all starts, SPAN) word numbers, rows of ``inputs``; of the windows at ``starts``."""
+        out = np.empty(len(starts), np.float32)
+        for at in range(0, len(starts), 2048):
+            w = ids[starts[at : at + 2048]].T
             there = w > 0
             h = np.concatenate([self.scan(inputs[d][w], there, d) for d in "fb"], axis=2)
             out[at : at + 2048] = self.pool(h, there)[2] @ self.p["o"] + self.p["k"]
@@ -189,19 +192,18 @@ class Network:
         return g
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray, tables, epochs: int = 16, batch: int = 128, rate: float = 0.02) -> None:
-        """texts: windows of each text. Adam; embedding rows are updated where they occur."""
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        every = np.concatenate(texts)
+        """texts: word numbers of each text. Adam; embedding rows are updated where they occur."""
+        every, starts, owner = windows_of(texts)
         m, v, step, order = {}, {}, 0, np.random.default_rng(7)
         for e in range(epochs):
-            scores = self.logits(every, self.inputs(self.embed(tables)))
+            scores = self.logits(every, starts, self.inputs(self.embed(tables)))
             ranked = np.lexsort((-scores, owner))
-            place = np.arange(len(every)) - np.searchsorted(owner, owner)
+            place = np.arange(len(starts)) - np.searchsorted(owner, owner)
             chosen = ranked[place < np.where(y[owner] == 1, 1, 2)]
             chosen = order.permutation(chosen)
             for at in range(0, len(chosen), batch):
                 c = chosen[at : at + batch]
-                g, step = self.gradients(every[c], y[owner[c]].astype(np.float32), tables), step + 1
+                g, step = self.gradients(every[starts[c]], y[owner[c]].astype(np.float32), tables), step + 1
                 now = rate * (1 - e / epochs) + 1e-3
                 for k, x in g.items():
                     if isinstance(x, tuple):
@@ -234,15 +236,14 @@ class ToxicityModel:
             return out
         if self.inputs is None:
             self.inputs = {d: [x] for d, x in net.inputs(net.embed(v.tables)).items()}
-        rows = [windows_of(x) for x in v.ids([words[i] for i in there])]
+        rows, starts, owner = windows_of(v.ids([words[i] for i in there]))
         if v.tables is not None:
             for d, x in net.inputs(net.embed(v.tables)).items():
                 self.inputs[d].append(x)
         if len(self.inputs["f"]) > 1:
             self.inputs = {d: [np.concatenate(x)] for d, x in self.inputs.items()}
-        owner = np.repeat(there, [len(x) for x in rows])
-        p = sigmoid(net.logits(np.concatenate(rows), {d: x[0] for d, x in self.inputs.items()}) + net.shift)
-        np.maximum.at(out, owner, p)
+        p = sigmoid(net.logits(rows, starts, {d: x[0] for d, x in self.inputs.items()}) + net.shift)
+        np.maximum.at(out, np.array(there)[owner], p)
         return out
 
 
@@ -268,11 +269,12 @@ def train(texts: list[str], y: np.ndarray) -> ToxicityModel:
         net.p[k][:, 0], net.often[k] = log_odds(rows, y[fit], len(net.p[k]))
         net.p[k][~net.often[k]] = 0
     net.odds = net.p["char"][:, 0].copy()
-    windows = [windows_of(x) for x in ids]
-    net.fit([windows[i] for i in fit], y[fit], tables)
+    net.fit([ids[i] for i in fit], y[fit], tables)
     rest = [i for i in range(len(texts)) if not seen[i]]
     inputs = net.inputs(net.embed(tables))
-    worst = np.array([net.logits(windows[i], inputs).max() for i in rest])
+    windows, starts, owner = windows_of([ids[i] for i in rest])
+    worst = np.full(len(rest), -np.inf, np.float32)
+    np.maximum.at(worst, owner, net.logits(windows, starts, inputs))
     net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(worst, y[rest]))
     return ToxicityModel(net)
 
