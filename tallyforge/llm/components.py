@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import stash
 
-ROUNDS = 60
-
 
 def _stats(e: DataFrame):
     return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -24,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = stash(e, "edges")
     before = _stats(e)
-    for _ in range(ROUNDS):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stash(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")

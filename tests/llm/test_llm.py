@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, fingerprints, html_text, language, mixing, near_dedup, secrets, token_files, toxicity, urls
+from tallyforge.llm import components, decontamination, fingerprints, html_text, language, mixing, near_dedup, secrets, token_files, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, h string, id string, text2 string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -89,6 +89,12 @@ def test_hub_of_many_near_copies_is_one_group(spark):
     assert {x.component_id for x in near_dedup.near_duplicates(d).collect()} == {0}
 
 
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(components, "ROUNDS", 1, raising=False)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in components.components(chain).collect()} == {(i, 0) for i in range(1, 41)}
+
+
 def test_tokens_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
