@@ -1,11 +1,13 @@
-"""What the training-data operators share: tables, shared folder, text pieces."""
+"""What the training-data operators share: tables, shared folder, samples, text pieces."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space between words, as a Java regular expression class body.
@@ -17,13 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_id(df: DataFrame, id_col: str) -> Column:
+    """The id column as a long; ids of another type than whole numbers are an error, as "the least id" must mean one thing."""
+    kind = dict(df.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind}")
+    return F.col(f"`{id_col}`").cast("long")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in tests, a temporary folder is made once and set.
+    Where the setting is absent and all tasks run on this machine, as in tests, a
+    temporary folder is made once and set. A cluster must name one.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -39,7 +52,37 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    got = spark.read.schema(schema).parquet(path)
+    got.stash_path = path
+    return got
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete the files of tables that ``stash`` gave and nothing will read any more."""
+    for df in stashed:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hashed_sample(rows: DataFrame, label: str, k: int) -> DataFrame:
+    """At most ``k`` distinct rows of each label (null among them), the same ones in every run: those with the least hashes.
+
+    A row whose 64-bit hash exceeds its label's share of the range (with six standard
+    deviations to spare) is filtered where it is read, at any number of rows; equal rows
+    then meet in a partial aggregation, and only the bounded rest is ranked. Rows that
+    occur often count once, so a table of many copies gives fewer than ``k``.
+    """
+    enough = k + 6 * math.sqrt(k) + 10
+    sizes = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
+    bound = F.lit(2.0**63)
+    for r in sizes:
+        if r["n"] > enough:
+            bound = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(enough / r["n"] * 2.0**64 - 2.0**63)).otherwise(bound)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    d = rows.withColumn("_h", F.xxhash64(*columns)).where(F.col("_h").cast("double") <= bound).distinct()
+    d = d.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy("_h", *columns)))
+    return d.where(F.col("_r") <= k).drop("_h", "_r")
 
 
 def let(value: Column, then) -> Column:
