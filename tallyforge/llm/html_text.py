@@ -1,26 +1,37 @@
 """Operator 8: main text of web pages by minimum-cut labelling.
 
 A page is cut into text blocks at block-level tags. A logistic classifier gives each
-block the cost of calling it content or boilerplate; these are its terminal capacities.
+block the log-odds of content against boilerplate; these are its terminal capacities.
 Neighbouring blocks are joined by smoothness edges, stronger the closer they stand in
-the element tree, and blocks of one parent across a gap by weaker ones. The minimum cut
-(max-flow over the residual graph) labels all blocks of a page at once.
-
-The classifier learns from a bounded sample of pages in which elements name their role
-(an article or main element against navigation, header, footer, aside, form, advert,
-notice and comment elements); its inputs are the block's text and place.
+the element tree (one parent, or one's parent holding the other's, against blocks further
+apart), and blocks of one parent across a gap by weaker ones. The minimum cut (max-flow
+over the residual graph) labels all blocks of a page at once, so a short line or list
+between paragraphs of an article goes with them.
+
+The classifier's inputs are the block's text (length, links, how it ends, likeness to
+the page's title), its place (tag, depth, what stands under the same parent, how far
+down the page) and words of class and id names. Elements that state a role are no
+inputs. Its labels come from a bounded sample of pages that have an article or main
+element: blocks in it are content, blocks outside it are not, and blocks whose element
+in it states another role teach nothing. Weights start from, and are held near, prior
+ones, which serve alone where no page has such an element.
+
+Navigation, footers, asides, forms and the like cannot be content by their meaning;
+such an element adds a fixed cost to calling its blocks content (``STATED``). An article
+element adds none: what is content, the classifier and the cut decide.
 
 Defined cases: null and empty html give an empty text; markup that never closes ends
 with the page; text outside any element is a block; scripts, styles, the head and
-hidden elements are never text; without a training sample of both kinds fixed weights
-are used; repeated rows get equal texts; an empty table gives an empty result; columns
-beyond those named are ignored.
+hidden elements are never text; very long pages are labelled whole (the cut first
+settles all blocks whose own capacity outweighs their edges, then takes the rest in
+pieces); repeated rows get equal texts; null ids stay; an empty table gives an empty
+result; columns beyond those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,9 +40,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import hashed_sample, table
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
@@ -43,45 +55,59 @@ CHROME = frozenset("nav header footer aside form menu dialog button fieldset".sp
 CONTENT = frozenset("article main".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar rail widget footer header masthead toolbar comment comments disqus reply replies respond "
-    "share sharing social subscribe newsletter signup login related recommended pagination pager tags toc legal copyright".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead toolbar comment comments disqus reply replies respond "
+    "share sharing subscribe newsletter signup login".split()
 )
+VAGUE_WORDS = frozenset("rail widget header social related recommended pagination pager tags toc legal copyright".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd figcaption".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 SHUTS_P = frozenset("p h1 h2 h3 h4 h5 h6 ul ol div section article table blockquote pre hr form footer header nav aside main dl figure".split())
 
 #: Pages from which the classifier learns, at most.
 SAMPLE = 1_000
-NEAR, SAME_PARENT, FAR = 1.2, 0.8, 0.3
-#: Weights used where no page names its elements' roles: bias, then as in ``features``.
-DEFAULT = np.array([-0.5, 3.0, -8.0, 1.5, -2.0, 0.8, 0.6, -0.5])
+#: Weights of edges: one parent, a parent in the other's, one parent across a gap, others (by distance in the tree).
+NEAR, NESTED, SAME_PARENT, FAR = 3.0, 2.5, 1.5, 0.3
+#: Cost of calling a block content whose element states another role, and bound of the classifier's log-odds.
+STATED, MOST = 20.0, 12.0
+#: The inputs, and the weights that hold before any page is seen (the first is the bias).
+INPUTS = ("bias", "length", "linked", "sentence", "short", "paragraph", "heading", "title", "item", "siblings", "parent text", "parent linked", "named", "named vaguely", "top", "bottom", "depth")
+PRIOR = np.array([-1.5, 0.8, -3.0, 0.8, -0.5, 0.8, 0.5, 1.0, -0.5, 0.8, 1.2, -2.0, -12.0, -1.0, 0.0, 0.0, 0.0])
+#: Elements above a block's parent that count for distances in the tree.
+REACH = 6
+#: How firmly the prior holds, counted in pages of a sample.
+FIRMNESS = 0.02
 
 
 class Block:
-    __slots__ = ("text", "linked", "chrome", "content", "tag", "parent", "depth")
-
-    def __init__(self, text, linked, chrome, content, tag, parent, depth):
-        self.text, self.linked, self.chrome, self.content, self.tag, self.parent, self.depth = text, linked, chrome, content, tag, parent, depth
-
-
-def role(tag: str, attrs: str, in_content: bool) -> tuple[bool, bool]:
-    """(is chrome, is hidden) by an element's own name and attributes. A header inside an article is not chrome."""
-    chrome = tag in CHROME and not (tag == "header" and in_content)
-    hidden = False
-    if attrs:
-        for m in ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or "").lower()
-            if name in ("class", "id", "role"):
-                if not chrome and tag not in ("body", "html", "article", "main"):
-                    chrome = not CHROME_WORDS.isdisjoint(TOKEN.findall(value))
-            elif name == "hidden" or name == "aria-hidden" and "true" in value or "display:none" in value.replace(" ", ""):
-                hidden = hidden or name != "aria-hidden" or "true" in value
-    return chrome, hidden
+    __slots__ = ("text", "linked", "stated", "inside", "named", "vague", "tag", "parent", "depth", "above")
+
+    def __init__(self, text, linked, stated, inside, named, vague, tag, parent, depth, above):
+        self.text, self.linked, self.tag, self.depth = text, linked, tag, depth
+        #: number of the element that holds the block's paragraph, and of those around it, from the inside
+        self.parent, self.above = parent, above
+        #: in an element that states another role; in an article or main element
+        self.stated, self.inside = stated, inside
+        #: its element, or one around it, has a word of the first or of the second list in its names
+        self.named, self.vague = named, vague
+
+
+def names_of(attrs: str) -> tuple[bool, bool, bool]:
+    """(a class, id or role holds a word of the first list, of the second, is hidden)."""
+    named = vague = hidden = False
+    for m in ATTR.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or "").lower()
+        if name in ("class", "id", "role"):
+            words = TOKEN.findall(value)
+            named, vague = named or not CHROME_WORDS.isdisjoint(words), vague or not VAGUE_WORDS.isdisjoint(words)
+        elif name == "hidden" or name == "aria-hidden" and "true" in value or name == "style" and "display:none" in value.replace(" ", ""):
+            hidden = True
+    return named, vague, hidden
 
 
 def blocks_of(html: str) -> list[Block]:
     html = RAW.sub(" ", html)
-    # open elements: (tag, chrome, content, hidden, number)
-    stack = [("", False, False, False, 0)]
+    # open elements: (tag, stated, inside, named, vague, hidden, number)
+    stack = [("", False, False, False, False, False, 0)]
     out, piece, linked, links, number, at = [], [], 0, 0, 0, 0
 
     def flush():
@@ -89,10 +115,11 @@ def blocks_of(html: str) -> list[Block]:
         if piece:
             text = " ".join(unescape("".join(piece)).split())
             piece.clear()
-            tag, chrome, content, hidden, me = stack[-1]
+            tag, stated, inside, named, vague, hidden, me = stack[-1]
             if text and not hidden:
-                parent = stack[-2][4] if len(stack) > 1 and tag in PARAGRAPH else me
-                out.append(Block(text, min(1.0, linked / len(text)), chrome, content, tag, parent, len(stack)))
+                up = 2 if len(stack) > 1 and tag in PARAGRAPH else 1
+                above = [e[6] for e in stack[-up - 1 : -up - 1 - REACH : -1]]
+                out.append(Block(text, min(1.0, linked / len(text)), stated, inside, named, vague, tag, stack[-up][6], len(stack), above))
         linked = 0
 
     for m in TAG.finditer(html):
@@ -121,43 +148,80 @@ def blocks_of(html: str) -> list[Block]:
         elif tag not in VOID:
             if tag in SHUTS_P and stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li":
                 stack.pop()
-            _, chrome, content, hidden, _ = stack[-1]
-            own, gone = role(tag, m[3], content)
+            _, stated, inside, named, vague, hidden, _ = stack[-1]
+            own, maybe, gone = names_of(m[3]) if m[3] else (False, False, False)
+            if tag in ("html", "body") or tag in CONTENT:
+                own = maybe = False
             number += 1
-            stack.append((tag, chrome or own, content or tag in CONTENT, hidden or gone, number))
+            # a header inside an article is the article's own
+            role = tag in CHROME and not (tag == "header" and inside)
+            stack.append((tag, stated or role, inside or tag in CONTENT, named or own, vague or maybe, hidden or gone, number))
     piece.append(html[at:])
     flush()
     return out
 
 
-def features(b: Block) -> list[float]:
-    n = len(b.text)
-    return [float(b.content and not b.chrome), float(b.chrome), min(n, 400) / 200, b.linked, float(b.tag in PARAGRAPH), float(b.text[-1:] in ".!?…:;\"'»”)"), float(n < 25)]
+def title_of(html: str) -> set[str]:
+    m = TITLE.search(html)
+    return set(unescape(m[1]).lower().split()) if m else set()
+
+
+def features(bs: list[Block], title: set[str]) -> np.ndarray:
+    """One row a block, as named by ``INPUTS``."""
+    many, long, linked = Counter(), Counter(), Counter()
+    for b in bs:
+        many[b.parent] += 1
+        long[b.parent] += len(b.text)
+        linked[b.parent] += b.linked * len(b.text)
+    whole, n, at, rows = sum(long.values()), len(bs), 0, []
+    for i, b in enumerate(bs):
+        size, p = len(b.text), b.parent
+        words = b.text.lower().split()[:40] if b.tag in HEADING and title else []
+        like = sum(w in title for w in words) / len(words) if words else 0.0
+        rows.append((
+            1.0, min(size, 400) / 200, b.linked, b.text[-1] in ".!?…:;\"'»”)", size < 25, b.tag == "p", b.tag in HEADING, like, b.tag in ("li", "td", "dd"),
+            min(many[p], 10) / 5, long[p] / whole, linked[p] / long[p], b.named, b.vague, i < 2, i >= n - 2, min(b.depth, 12) / 6,
+        ))
+        at += size
+    return np.array(rows, np.float64).reshape(-1, len(INPUTS))
 
 
 class BlockModel:
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray = PRIOR):
         self.weights = weights
 
-    def log_odds(self, bs: list[Block]) -> list[float]:
-        w = self.weights
-        return (np.array([features(b) for b in bs]) @ w[1:] + w[0]).clip(-12, 12).tolist()
+    def log_odds(self, bs: list[Block], title: set[str]) -> np.ndarray:
+        return (features(bs, title) @ self.weights).clip(-MOST, MOST)
+
+    def kept(self, bs: list[Block], title: set[str], stated: float = STATED) -> list[bool]:
+        odds = self.log_odds(bs, title) - np.array([stated * b.stated for b in bs])
+        return labels(odds.tolist(), edges(bs))
 
     def main_text(self, html: str) -> str:
         bs = blocks_of(html)
         if not bs:
             return ""
-        keep = labels(self.log_odds(bs), edges(bs))
-        return "\n".join(b.text for b, k in zip(bs, keep) if k)
+        return "\n".join(b.text for b, k in zip(bs, self.kept(bs, title_of(html))) if k)
+
+
+def nearness(p: Block, b: Block) -> float:
+    """Weight of the edge between neighbouring blocks; an element that names its role is a border, however near."""
+    if (p.stated, p.named) != (b.stated, b.named):
+        return FAR
+    if p.parent == b.parent:
+        return NEAR
+    if b.parent in p.above or p.parent in b.above:
+        far = (p.above.index(b.parent) if b.parent in p.above else b.above.index(p.parent)) + 1
+        return NESTED if far == 1 else NESTED / far**2
+    common = next((i for i, e in enumerate(p.above) if e in b.above), REACH)
+    return FAR / (1 + common + (b.above.index(p.above[common]) if common < len(p.above) else REACH))
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(bs):
         if i:
-            p = bs[i - 1]
-            near = p.parent == b.parent
-            out.append((i - 1, i, (NEAR if near else FAR / (1 + abs(p.depth - b.depth)))))
+            out.append((i - 1, i, nearness(bs[i - 1], b)))
             j = last.get(b.parent)
             if j is not None and j != i - 1:
                 out.append((j, i, SAME_PARENT))
@@ -168,9 +232,10 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
 def labels(odds: list[float], joins: list[tuple[int, int, float]]) -> list[bool]:
     """Minimum cut: a block on the source side is content.
 
-    ``odds`` above 0 are capacities from the source, below 0 to the sink. Only blocks
-    that a smoothness edge can turn matter, so flow is pushed along shortest residual
-    paths (Edmonds-Karp) until none is left.
+    ``odds`` above 0 are capacities from the source, below 0 to the sink. A block whose
+    capacity is at least that of all its edges together lies on its terminal's side in
+    some minimum cut; it is settled, and its edges become its neighbours' capacities,
+    which may settle these in turn. Through what is left, flow is pushed.
     """
     n = len(odds)
     near: list[dict[int, float]] = [{} for _ in range(n)]
@@ -178,55 +243,117 @@ def labels(odds: list[float], joins: list[tuple[int, int, float]]) -> list[bool]
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
     left = list(odds)  # what terminal capacity remains
+    side: list[bool | None] = [None] * n
+    total = [sum(x.values()) for x in near]
+    todo = deque(range(n))
+    while todo:
+        i = todo.popleft()
+        if side[i] is not None or abs(left[i]) < total[i] - 1e-12:
+            continue
+        side[i] = left[i] > 0
+        for j, c in near[i].items():
+            if side[j] is None:
+                del near[j][i]
+                total[j] -= c
+                left[j] += c if side[i] else -c
+                todo.append(j)
+        near[i] = {}
+    open_ = [i for i in range(n) if side[i] is None]
+    source = max_flow(open_, left, near)
+    for i in open_:
+        side[i] = i in source
+    return side
+
+
+def max_flow(nodes: list[int], left: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Dinic's phases: blocking flows along shortest residual paths; the nodes that the source still reaches at the end."""
     while True:
-        came = {i: -1 for i in range(n) if left[i] > 1e-9}
-        todo, end = deque(came), -1
-        while todo and end < 0:
+        level = {i: 0 for i in nodes if left[i] > 1e-9}
+        todo, sinks = deque(level), False
+        while todo:
             i = todo.popleft()
+            if left[i] < -1e-9:
+                sinks = True
+                continue
             for j, c in near[i].items():
-                if c > 1e-9 and j not in came:
-                    came[j] = i
-                    if left[j] < -1e-9:
-                        end = j
-                        break
+                if c > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
                     todo.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path, j = [], end
-        while came[j] >= 0:
-            path.append((came[j], j))
-            j = came[j]
-        push = min(left[j], -left[end], *(near[a][b] for a, b in path))
-        left[j] -= push
-        left[end] += push
-        for a, b in path:
-            near[a][b] -= push
-            near[b][a] += push
+        if not sinks:
+            return set(level)
+        ways, at = {i: list(near[i]) for i in level}, dict.fromkeys(level, 0)
+        for s in [i for i in level if level[i] == 0]:
+            path = [s]
+            while path and left[s] > 1e-9:
+                i = path[-1]
+                if left[i] < -1e-9:
+                    steps = list(zip(path, path[1:]))
+                    push = min(left[s], -left[i], *(near[a][b] for a, b in steps))
+                    left[s] -= push
+                    left[i] += push
+                    for a, b in steps:
+                        near[a][b] -= push
+                        near[b][a] += push
+                    full = next((k for k, (a, b) in enumerate(steps) if near[a][b] <= 1e-9), len(steps))
+                    del path[full + 1 :]  # go on from the first edge that is full
+                    continue
+                while at[i] < len(ways[i]):
+                    j = ways[i][at[i]]
+                    if level.get(j) == level[i] + 1 and near[i][j] > 1e-9:
+                        path.append(j)
+                        break
+                    at[i] += 1
+                else:
+                    path.pop()
+                    if path:
+                        at[path[-1]] += 1
+
+
+def taught(b: Block) -> int | None:
+    """The label of a block on a page with an article or main element."""
+    if b.inside:
+        return None if b.stated or b.named or b.vague else 1
+    return 0
 
 
 def fit_block_model(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> BlockModel:
-    """Logistic regression on the blocks of about ``sample`` pages, chosen by hash, whose elements name their roles."""
-    share = min(1.0, sample / max(pages.count(), 1))
-    chosen = pages.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(html_col).alias("html")).limit(2 * sample)
+    """Logistic regression on the blocks of at most ``sample`` pages, chosen by hash among all that have an article or main element."""
+    named = pages.where(F.regexp_like(html_col, F.lit(r"(?i)<(article|main)\b"))).select(F.lit(1).alias("one"), F.col(id_col).alias("id"), F.col(html_col).alias("html"))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bs = [b for h in pdf["html"] for b in blocks_of(h or "")]
-            named = [b for b in bs if b.content or b.chrome]
-            yield pd.DataFrame({"y": [int(b.content and not b.chrome) for b in named], "x": [features(b) for b in named]})
-
-    got = chosen.mapInPandas(gather, "y int, x array<double>").groupBy("x", "y").count().orderBy(F.desc("count"), "x", "y").limit(20_000).collect()
-    y, n = np.array([r.y for r in got], float), np.array([r["count"] for r in got], float)
-    if len(set(y.tolist())) < 2:
-        return BlockModel(DEFAULT)
-    x = np.hstack([np.ones((len(got), 1)), np.array([r.x for r in got])])
-    n /= np.where(y == 1, n[y == 1].sum(), n[y == 0].sum())
-    w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton's method with a ridge penalty
+            y, x = [], []
+            for h in pdf["html"]:
+                bs = blocks_of(h)
+                if bs:
+                    own = [taught(b) for b in bs]
+                    y += [k for k in own if k is not None]
+                    x += [f.tolist() for f, k in zip(features(bs, title_of(h)), own) if k is not None]
+            if y:
+                yield pd.DataFrame({"y": y, "x": x})
+
+    # a sample's blocks meet as one sum of outer products for each label and step: the rows themselves are few
+    got = hashed_sample(named, "one", sample).repartition(16).mapInPandas(gather, "y int, x array<double>").collect()
+    if len({r.y for r in got}) < 2:
+        return BlockModel()
+    y = np.array([r.y for r in got], float)
+    x = np.array([r.x for r in got])
+    order = np.lexsort(np.hstack([x, y[:, None]]).T)  # the sums don't depend on the order in which rows came
+    return BlockModel(logistic(x[order], y[order]))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, firmness: float = FIRMNESS) -> np.ndarray:
+    """Newton's method for the weights of greatest posterior likelihood; both labels weigh alike."""
+    n = np.where(y == 1, 1 / max(y.sum(), 1), 1 / max((1 - y).sum(), 1))
+    w = prior.copy()
+    for _ in range(40):
         p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (n * (y - p)) - 1e-4 * w)
-    return BlockModel(w)
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + firmness * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (n * (y - p)) - firmness * (w - prior))
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 def extract_text(pages: DataFrame, model: BlockModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
