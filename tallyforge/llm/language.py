@@ -6,35 +6,41 @@ with follow-the-regularised-leader (per-coordinate rates, elastic-net penalty) o
 bounded sample, balanced by language, and the scores are then calibrated by one
 temperature fitted on rows that training did not see.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; a language
-is only ever one that was learned; without training rows every text is ``und``; equal
-texts get equal predictions; an empty table gives an empty result; columns beyond those
-named are ignored.
+Defined cases: a text that is null or has no letter (as Unicode names letters; ½ and Ⅷ
+are none) is ``und`` with score 0; very long texts are hashed whole, in pieces; of
+languages that score alike the first by name is taken; a language is only ever one that
+was learned, and there is no bound on how many; without training rows every text is
+``und``; equal texts, so repeated rows, get equal predictions and count once in the
+sample; null ids stay; an empty table gives an empty result; columns beyond those named
+stay as they are, but a caller's ``lang_pred`` or ``score`` is an error.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import hashed_sample, table
 
 BUCKETS = 1 << 15
 ORDERS = 3
 #: Characters that are hashed at a time.
 PIECE = 1 << 20
-#: Training rows of each language, at most, and languages.
-SAMPLE, LANGUAGES = 800, 200
-LETTER = re.compile(r"[^\W\d_]")
+#: Training rows of each language, at most.
+SAMPLE = 800
 #: Below this score the pipeline rejects a document.
 LEAST_SCORE = 0.5
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def gram_counts(text: str) -> np.ndarray:
     """How often each bucket's n-grams occur in the text."""
     out = np.zeros(BUCKETS, np.int64)
@@ -60,7 +66,7 @@ class LanguageModel:
         return i, (x / max(np.linalg.norm(x), 1e-12)).astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return "und", 0.0
         i, x = self.vector(text)
         p = softmax((x @ self.weights[i] + self.bias) / self.temperature)
@@ -116,19 +122,34 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit_language_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Train on rows with a label: frequencies from all, weights from at most ``sample`` rows a language, chosen by hash."""
+    """Train on rows with a label: frequencies from all, weights from at most ``sample`` distinct rows a language, chosen by hash.
+
+    The sample's texts become vectors where they are read, so what reaches the driver is
+    bounded however long the texts are.
+    """
     d = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return LanguageModel([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
     df, n = document_frequencies(d)
-    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, sample / r.n))) for r in sizes], F.lit(0.0))
-    rows = d.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * sample * len(sizes)).collect()
-    rows = sorted((r for r in rows if LETTER.search(r.text)), key=lambda r: (r.lang, r.text))
+    if not n:
+        return LanguageModel([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    shared = d.sparkSession.sparkContext.broadcast(LanguageModel([], idf, np.zeros((0, 0)), np.zeros(0)))
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[np.array([has_letter(t) for t in pdf["text"]], bool)]
+            if not len(pdf):
+                continue
+            got = [shared.value.vector(t) for t in pdf["text"]]
+            key = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in pdf["text"]]
+            yield pd.DataFrame({"lang": pdf["lang"].tolist(), "key": key, "i": [i.astype(np.int16).tobytes() for i, _ in got], "x": [x.tobytes() for _, x in got]})
+
+    rows = hashed_sample(d, "lang", sample).repartition(16).mapInPandas(vectors, "lang string, key long, i binary, x binary").collect()
+    rows.sort(key=lambda r: (r.lang, r.key, r.x))
     languages = sorted({r.lang for r in rows})
-    idf = np.log((1 + n) / (1 + df)) + 1
-    model = LanguageModel(languages, idf.astype(np.float32), np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)))
-    xs, ys = [model.vector(r.text) for r in rows], [languages.index(r.lang) for r in rows]
+    model = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)))
+    number = {k: i for i, k in enumerate(languages)}
+    xs = [(np.frombuffer(r.i, np.int16).astype(np.int64), np.frombuffer(r.x, np.float32)) for r in rows]
+    ys = [number[r.lang] for r in rows]
     seen = [i for i in range(len(xs)) if i % 5 or len(xs) < 20]
     model.weights, model.bias = follow_the_leader([xs[i] for i in seen], [ys[i] for i in seen], len(languages))
     rest = [i for i in range(len(xs)) if i % 5 == 0]
@@ -141,7 +162,10 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", label_col: s
 
 
 def predict_language(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` and, last, lang_pred and score (the caller's columns must not have these names)."""
+    """All columns of ``df`` and, last, lang_pred and score."""
+    taken = {"lang_pred", "score"} & {c.lower() for c in df.columns}
+    if taken:
+        raise ValueError(f"rename these columns first, the prediction adds them: {sorted(taken)}")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
