@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import stash
+from tallyforge.llm.common import discard, stash
 
 
 def _stats(e: DataFrame):
@@ -17,19 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every step sends a node's larger neighbours to its least one. The number of steps
     grows with the logarithm of the longest chain. Least neighbours are written before
-    they are joined, so that a hub's side of the join can be split.
+    they are joined, so that a hub's side of the join can be split. A round's tables are
+    deleted when the next one's are written.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = stash(e, "edges")
     before = _stats(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stash(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
+        near = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stash(both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
         least = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _stats(e)
+        discard(last, near, large, least)
         if now == before:
             break
         before = now

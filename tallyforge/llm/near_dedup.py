@@ -24,16 +24,19 @@ Orders are range-partitioned; regions at a cut between two partitions count as c
 Two texts that agree in ``CROWD`` values of any order are thus compared or linked by
 others, which a pair of likeness 0.75 misses with a chance of 2 in a million.
 
-Defined cases: texts without words are linked with nothing; rows of one id count as one
-document, whose links are those of any of its texts; rows with a null id are represented
-by the least id of their component, if there is one, and else are kept; repeated rows
-get equal results; an empty table gives an empty result; columns beyond those named are
-ignored.
+Defined cases: null texts and texts without words are linked with nothing; very long
+texts are shingled whole; rows of one id count as one document, whose links are those of
+any of its texts, and of a kept id's repeated rows the pipeline keeps one (the least text
+hash decides); rows with a null id are represented by the least id of their component, if
+there is one, and else are kept, and all stay in the pipeline; of equally alike candidates the least id comes first; ids
+must be whole numbers; an empty table gives an empty result; columns beyond those named
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SHINGLE_WORDS, stash, table
+from tallyforge.llm.common import SHINGLE_WORDS, discard, stash, table, whole_id
 from tallyforge.llm.components import components
 
 TREES, DEPTH = 16, 8
@@ -52,8 +55,8 @@ REGION, SHARED, ESTIMATE = 8, 75, 0.6
 #: Values that a crowd agrees in, its rows in one task's block, candidates a row and block in the first round, and
 #: differing lowest bits (of VALUES) beyond which signatures are not compared further (five standard deviations).
 CROWD, BLOCK, FIRST, BITS = 2, 1000, 4, 36
-#: Word hashes that a worker remembers, at most.
-REMEMBER = 500_000
+#: Word hashes that a worker remembers, and sorted rows that it holds, at most.
+REMEMBER, HELD = 500_000, 200_000
 _r = np.random.default_rng(42)
 FACTORS = _r.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32) | np.uint32(1)
 MASKS = _r.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32)
@@ -106,18 +109,21 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "key", "sig"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, "id long, n long, key binary, sig binary")
 
 
-def neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of sorted rows: (smaller, larger) nodes."""
+def neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, lead: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller, larger node) of sorted rows, whose later row is one of [lead, stop)."""
     n = len(node)
+    stop = n if stop is None else stop
     if n < 2:
         return node[:0], node[:0]
     same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(1)
     agree = np.append(0, np.where(tree[1:] == tree[:-1], same, 0))  # with the row before
-    a, b = [np.flatnonzero(agree >= 1) - 1], [np.flatnonzero(agree >= 1)]
+    i = np.flatnonzero(agree >= 1)
+    i = i[(i >= lead) & (i < stop)]
+    a, b = [i - 1], [i]
     start, done = np.arange(n), np.zeros(n, bool)
     for depth in range(1, DEPTH + 1):
         first = np.flatnonzero(agree < depth)
@@ -126,7 +132,7 @@ def neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray) -> tuple[np
         start[small] = first[run][small]
         done |= small
     for apart in range(2, REGION):
-        i = np.arange(apart, n)
+        i = np.arange(max(apart, lead), stop)
         i = i[done[i] & (i - apart >= start[i])]
         a.append(i - apart)
         b.append(i)
@@ -134,40 +140,58 @@ def neighbours(tree: np.ndarray, keys: np.ndarray, node: np.ndarray) -> tuple[np
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def crowded(tree: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of sorted ones whose region is a crowd or may go on in another partition, and their regions' keys."""
-    n = len(tree)
-    first = np.append(0, np.flatnonzero((tree[1:] != tree[:-1]) | (keys[1:, :CROWD] != keys[:-1, :CROWD]).any(1)) + 1)
-    size = np.diff(np.append(first, n))
-    wide = size > REGION
-    wide[[0, -1]] = True
-    i = np.flatnonzero(np.repeat(wide, size))
-    key = tree[i].astype(np.uint64)
+def crowd_keys(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number for each row's region of ``CROWD`` values."""
+    key = tree.astype(np.uint64)
     for c in range(CROWD):
-        key = (key ^ keys[i, c]) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ keys[:, c]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    return i, key.view(np.int64)
+    return key.view(np.int64)
+
+
+def crowded(key: np.ndarray) -> np.ndarray:
+    """Which of the sorted rows are in a region of more than ``REGION`` rows."""
+    first = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+    size = np.diff(np.append(first, len(key)))
+    return np.repeat(size > REGION, size)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Candidate pairs (a < b) of class nodes, from all sorted orders; with a null b, that node a is of a crowd."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        keys = np.frombuffer(b"".join(t.column("prefix").to_pylist()), ">u4").reshape(-1, DEPTH)
-        tree, node = t.column("tree").to_numpy(), t.column("node").to_numpy()
-        a, b = neighbours(tree, keys, node)
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+    def pairs_of(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.stack([x, y], 1)[x != y], axis=0)
         for at in range(0, len(pairs), 100_000):
-            x = pairs[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.nulls(len(x), pa.int64())], ["a", "b", "crowd"])
-        i, crowd = crowded(tree, keys)
-        for at in range(0, len(i), 100_000):
-            x = node[i[at : at + 100_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(crowd[at : at + 100_000])], ["a", "b", "crowd"])
+            p = pairs[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64())], ["a", "b", "crowd"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows are held in pieces; a piece begins and ends with ``REGION`` rows of its neighbours, which tell small runs from large ones."""
+        held, rows, lead, edge = [], 0, 0, None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                keys = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), ">u4").reshape(-1, DEPTH)
+                held.append((batch.column("tree").to_numpy(), keys, batch.column("node").to_numpy()))
+                rows += batch.num_rows
+                if rows < HELD:
+                    continue
+            if not held:
+                return
+            tree, keys, node = (np.concatenate(x) for x in zip(*held))
+            stop = len(node) if batch is None else len(node) - REGION
+            yield from pairs_of(*neighbours(tree, keys, node, lead, stop))
+            key = crowd_keys(tree, keys)
+            edge = key[0] if edge is None else edge
+            wide = crowded(key) | (key == edge)  # a region at a cut may go on in another partition
+            if batch is None:
+                wide |= key == key[-1]
+            i = np.flatnonzero(wide[lead:stop]) + lead
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.nulls(len(i), pa.int64()), pa.array(key[i])], ["a", "b", "crowd"])
+            keep = max(0, stop - REGION)
+            held, lead = [(tree[keep:], keys[keep:], node[keep:])], stop - keep
+            rows = len(node) - keep
 
     rows = classes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     rows = rows.select("tree", F.substring("sig", F.col("tree") * 4 * DEPTH + 1, F.lit(4 * DEPTH)).alias("prefix"), "node")
@@ -257,7 +281,7 @@ def apart(crowds: DataFrame, low: DataFrame, roots: DataFrame, most: int) -> Dat
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shared: int = SHARED) -> DataFrame:
     """The pairs that share enough of their full sets."""
     wanted = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "op2-wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    texts = docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     texts = texts.groupBy("id").agg(F.collect_set("text").alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +312,7 @@ def joined_crowds(found: DataFrame, known: DataFrame, docs: DataFrame, id_col: s
     crowds = stash(crowds.join(wide, "crowd"), "op2-crowds")
     low = known.join(crowds.select("node").distinct(), "node", "left_semi")
     low = stash(lows(low.groupBy("node").agg(F.min("sig").alias("sig"))), "op2-lows")
-    most, more = FIRST, True
+    most, more, gone = FIRST, True, []
     while more:
         pairs = stash(apart(crowds, low, roots, most), "op2-apart")
         more = not pairs.where("a IS NULL").isEmpty()
@@ -296,8 +320,12 @@ def joined_crowds(found: DataFrame, known: DataFrame, docs: DataFrame, id_col: s
         links = stash(confirmed(new, docs, id_col, text_col), "op2-links")
         if not links.isEmpty():
             tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            gone.append(roots)
             roots = stash(components(links.unionByName(tree)), "op2-roots")
+        discard(pairs, links)
+        gone.append(new)
         tried, most = tried.unionByName(new), 4 * most
+    discard(crowds, low, *gone)
     return roots
 
 
@@ -327,20 +355,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stash(components(more.unionByName(tree)), "op2-roots")
+    discard(pairs, more)
     roots = joined_crowds(found, known, docs, id_col, text_col, best.unionByName(rest), roots)
 
     # a class by the least id of its component
     c = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
     c = stash(c, "op2-components")
+    discard(classes, found, best, rest)
     out = signed.select("id", "n", "key").join(c, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with their own columns, that are the least of their group; documents without words stay."""
-    gone = stash(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "op2-gone")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents, with their own columns, that are the least of their group, each once; documents without words stay."""
+    groups = near_duplicates(docs, id_col, text_col).select("doc_id", "kept")
+    ids = groups.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    ids = stash(ids.where(F.col("doc_id").isNotNull() & (~F.col("kept") | (F.col("n") > 1))).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), "op2-gone")
+    once = docs.join(ids, docs[id_col].cast("long") == ids["_id"], "left_anti")
+    # the few kept ids that occur more than once
+    again = docs.join(ids.where("_kept"), docs[id_col].cast("long") == ids["_id"], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = again.select(F.col(f"`{id_col}`").alias("id"), F.struct(F.xxhash64(f"`{text_col}`").alias("h"), F.to_json(row).alias("j")).alias("order"), row.alias("row"))
+    return once.unionByName(again.groupBy("id").agg(F.min_by("row", "order").alias("row")).select("row.*"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
