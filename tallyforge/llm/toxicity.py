@@ -5,12 +5,16 @@ are the inputs. The windows of 24 words at every start are scored, and a text's
 score is that of its worst window. The network is trained in numpy on a bounded sample
 of labelled texts, as multiple-instance learning: of a toxic text the worst window
 counts, of a clean text its worst ones. The embeddings' first component starts at the
-log-odds of the label in the sample, and the largest log-odds of a word's n-grams is one more input. The logit is shifted at last so that the threshold
-0.7 is the best one on texts that training did not see.
-
-Defined cases: null texts and texts without words score 0; equal texts score alike;
-without labels of both kinds every score is 0; an empty table gives an empty result;
-columns beyond those named are ignored.
+log-odds of the label in the sample, and the largest log-odds of a word's n-grams is one
+more input. The logit is shifted at last so that the threshold 0.7 is the best one on
+texts that training did not see.
+
+Defined cases: null texts and texts without words score 0; very long texts are scored
+whole; of windows that score alike any gives the text's score; equal texts, so repeated
+rows, score alike and count once in the sample; labels other than 0 and 1 teach nothing;
+without labels of both kinds every score is 0; null ids stay; an empty table gives an
+empty result; columns beyond those named stay as they are, but a caller's ``score`` is an
+error.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import hashed_sample, table
 from tallyforge.llm.language import held_out
 
 WORD = re.compile(r"\w+")
@@ -290,19 +294,27 @@ def best_cut(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_toxicity_model(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Train on at most ``sample`` texts of each label, chosen by hash of the text."""
-    d = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("text").isNotNull())
-    sizes = {r.y: r.n for r in d.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for y in sorted(sizes):
-        share = min(1.0, sample / sizes[y])
-        rows += d.where((F.col("y") == y) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))).limit(2 * sample).collect()
+    """Train on at most ``sample`` distinct texts of each label, chosen by hash."""
+    d = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("text").isNotNull())
+    rows = hashed_sample(d, "y", sample).collect()
     rows.sort(key=lambda r: (zlib.crc32(r.text.encode("utf-8", "replace")), r.text))
     return train([r.text for r in rows], np.array([r.y for r in rows]))
 
 
-def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text"):
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """The documents of at most ``sample`` ids of each label, chosen by hash of the id, with their label.
+
+    Chosen before the join, the ids are so few (twice ``sample``) that they are broadcast
+    and no text is shuffled.
+    """
+    ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull())
+    return docs.join(F.broadcast(hashed_sample(ids, "toxic", sample)), docs[id_col] == F.col("_id")).drop("_id")
+
+
+def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and, last, score."""
+    if "score" in {c.lower() for c in df.columns}:
+        raise ValueError("rename the column score first, the prediction adds one")
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -316,6 +328,6 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text"):
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = fit_toxicity_model(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id"), 3, 1))
+    model = fit_toxicity_model(labelled_sample(docs.select("doc_id", "text"), labels))
     return score_toxicity(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
