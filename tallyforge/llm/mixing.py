@@ -7,9 +7,12 @@ then by the hash itself. What is left is one threshold per source, and a documen
 taken if its hash does not exceed it: a filter, no sort. A smaller budget's documents
 are always part of a larger budget's.
 
-Defined cases: null text has size 0; a null source is a source of its own and comes
-last; rows with equal ids (null among them) share a hash, so they are taken together;
-an empty table gives an empty result; columns beyond those named are ignored.
+Defined cases: null text has size 0; very long texts are counted whole; a null source is
+a source of its own and comes last; a row without an id is hashed by its text, so that
+such rows don't stand or fall together; rows with equal hashes (repeated rows) are taken
+together; no row is taken more than ``cap`` times, wordless ones included; reruns agree,
+as nothing but the rows decides; an empty table gives an empty result; columns beyond
+those named are ignored in the report and kept in the mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def hash_of(doc_id: Column, text: Column) -> Column:
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long")
 
 
 def key_of(source: Column) -> Column:
@@ -93,27 +97,27 @@ def thresholds(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return stash(per.join(cut, "key", "left").select("key", "source_size", "target", "epochs", F.coalesce("threshold", F.lit(-1)).alias("threshold")), "op1-plan")
 
 
-def apply_mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def apply_mix(sized: DataFrame, plan: DataFrame, cap: int = CAP) -> DataFrame:
     """Add source_size, target and taken to rows with source, size and h."""
     salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = sized.withColumn("key", key_of(F.col("source"))).withColumn("salt", (F.col("h") % SALTS).cast("int"))
-    times = F.col("epochs") + (F.col("h") <= F.col("threshold")).cast("long")
+    times = F.least(F.col("epochs") + (F.col("h") <= F.col("threshold")).cast("long"), F.lit(cap).cast("long"))
     return rows.join(salted, ["key", "salt"]).withColumn("times", times).withColumn("taken", F.col("size") * F.col("times"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row per document: id, source, size, source_size, target, times, taken."""
-    sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h")), "op1-sizes")
-    return apply_mix(sized, thresholds(sized, weights, cap)).select("doc_id", "source", "size", "source_size", "target", "times", "taken")
+    sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), F.col(text_col)).alias("h")), "op1-sizes")
+    return apply_mix(sized, thresholds(sized, weights, cap), cap).select("doc_id", "source", "size", "source_size", "target", "times", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its own columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    sized = docs.select(row, F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h"))
+    sized = docs.select(row, F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col), F.col(text_col)).alias("h"))
     plan = thresholds(stash(sized.select("source", "size", "h"), "op1-sizes"), weights, cap)
     times = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
-    return apply_mix(sized, plan).select("row", times.alias("again")).select("row.*")
+    return apply_mix(sized, plan, cap).select("row", times.alias("again")).select("row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +127,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substring(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+         ('0x' || substring(md5(coalesce(doc_id::VARCHAR, 'null' || coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source),
