@@ -6,9 +6,11 @@ words has an empty sketch). Sketches of parts merge into the sketch of the whole
 two of them estimate resemblance, containment and the number of distinct shingles.
 
 Defined cases: null text counts as empty; two empty sketches resemble each other by 1,
-an empty and a non-empty one by 0. In the edited-text comparison, documents are ordered
-by id (null first) and then by text hash; repeated rows count once in that order and
-all get the same result; a lone document is its own successor.
+an empty and a non-empty one by 0, and an empty one is contained in any; very long texts
+are sketched whole; equal hashes count once. In the edited-text comparison, documents are
+ordered by id (null first) and then by text hash; repeated rows count once in that order
+and all get the same result; a lone document is its own successor; an empty table gives
+an empty result; columns beyond those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -152,4 +154,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(
         "doc_id", "n_chars", "edited_sha256", text_form(F.col("fp")).alias("fingerprint"), text_form(F.col("edited_fp")).alias("edited_fingerprint"),
         F.round(resemblance(F.col("fp"), F.col("edited_fp")), 6).alias("near_edited"), F.round(resemblance(F.col("fp"), F.col("next_fp")), 6).alias("near_next"),
+        F.round(distinct_count(F.col("fp")), 3).alias("n_shingles"), F.round(containment(F.col("fp"), F.col("next_fp")), 6).alias("held_by_next"),
     )

@@ -12,9 +12,11 @@ letters, where this byte-level pre-tokenizer always cuts too, and equal pieces a
 encoded once per worker.
 Texts with white space other than space and newline are encoded as a whole.
 
-Defined cases: null text is empty and yields the end id alone; rows of one id are
-ordered by text hash; a null id comes first; an empty table gives empty files; columns
-beyond those named are ignored.
+Defined cases: null text is empty and yields the end id alone; very long texts are
+encoded whole and may exceed a chunk's usual size; rows of one id are ordered by text
+hash, equal rows stay as often as they occur; null ids come first; ids must be whole
+numbers; an empty table gives empty files; columns beyond those named are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from __future__ import annotations
 import os
 import re
 import sys
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import fresh_path, table
+from tallyforge.llm.common import fresh_path, table, whole_id
 
 END = 2
 BLOCK = 1 << 14
@@ -156,7 +157,7 @@ def chunk_writer(path: str, end: int, bits: bool):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, bits: bool = False) -> None:
     """Encode all documents in ascending id order and write the chunk files under ``path``."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id"), F.xxhash64("text")]
     d = d.repartitionByRange(*order).sortWithinPartitions(*order)
     d.mapInArrow(chunk_writer(tokenizer, end, bits), CHUNKS).write.option("compression", "uncompressed").parquet(path)
@@ -180,7 +181,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one chunk is decoded at a time
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 data, ends = unpacked(row["blocks"]), np.cumsum(row["n_tokens"])
                 at = [0, *ends[:-1].tolist()]
                 yield pa.RecordBatch.from_pydict({
@@ -212,7 +214,3 @@ def tokens_of(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_of(table(spark, sf_dir, "documents"))
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
