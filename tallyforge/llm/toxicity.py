@@ -1,8 +1,11 @@
 """Operator 6: toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Words (hashed embeddings) and their characters (mean of hashed 3- and 4-gram embeddings)
-are the inputs. The windows of 24 words at every start are scored, and a text's
-score is that of its worst window. The network is trained in numpy on a bounded sample
+are the inputs. The recurrence runs over a text once, in segments that begin and end
+``CONTEXT`` words early and late; attention then pools the states of each window of
+``SPAN`` words, at every start. As a window's logit is a quotient of two sums over its
+words, all windows together cost two running sums. A text's score is that of its worst
+window. The network is trained in numpy on a bounded sample
 of labelled texts, as multiple-instance learning: of a toxic text the worst window
 counts, of a clean text its worst ones. The embeddings' first component starts at the
 log-odds of the label in the sample, and the largest log-odds of a word's n-grams is one
@@ -32,13 +35,16 @@ from tallyforge.llm.common import hashed_sample, table
 from tallyforge.llm.language import held_out
 
 WORD = re.compile(r"\w+")
-SPAN = 24
+#: Words of a window, words read around it before its states count, words of a segment, bound of the attention's energy.
+SPAN, CONTEXT, SEGMENT, ENERGY = 12, 6, 104, 6.0
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 16, 1 << 16, 8, 8
 THRESHOLD = 0.7
 #: Embedding rows found in fewer training texts than this stay 0: what they could teach is chance.
 OFTEN = 6
 #: Labelled texts of each kind from which the network learns, at most, and words of each.
 SAMPLE = 1_500
+#: Windows of a clean text that are taught in each epoch, at most.
+WORST = 6
 #: Words whose input vectors a worker remembers, at most.
 REMEMBER = 200_000
 
@@ -90,15 +96,23 @@ def some(tables, i: np.ndarray):
     return w[i], grams[np.arange(many.sum()) + np.repeat(at[:-1][i] - begin, many)], np.append(begin, many.sum())
 
 
-def windows_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows at every start of each text: a view of all texts' word numbers in a line, the starts in it, and whose
-    window each is. 0 pads a text shorter than one window."""
-    padded = [np.pad(x, (0, max(0, SPAN - len(x)))).astype(np.int32) for x in texts]
-    long = np.array([len(x) for x in padded], np.int64)
-    many = long - SPAN + 1
-    owner = np.repeat(np.arange(len(texts)), many)
+def windows_of(long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of ``long`` words (one at least) in a line: first place of each window, the place after it, and whose it is."""
+    many = np.maximum(long - SPAN, 0) + 1
+    owner = np.repeat(np.arange(len(long)), many)
     starts = np.arange(many.sum()) + np.repeat(np.cumsum(long) - long - np.cumsum(many) + many, many)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate(padded), SPAN), starts, owner
+    return starts, starts + np.minimum(long, SPAN)[owner], owner
+
+
+def cut_out(line: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Word numbers at [begin, end) of the line as the columns of a matrix; 0 is none."""
+    place = begin + np.arange((end - begin).max())[:, None]
+    return np.where(place < end, line[np.minimum(place, len(line) - 1)], 0)
+
+
+def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows that go to each of ``n`` places."""
+    return np.stack([np.bincount(at, x, n) for x in rows.T], axis=1).astype(rows.dtype)
 
 
 class Network:
@@ -125,7 +139,7 @@ class Network:
     def scan(self, x: np.ndarray, there: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """x: (time, batch, 3 * HIDDEN) projected inputs; hidden states in time order."""
         u, n = self.p[f"u{d}"], HIDDEN
-        h, out = np.zeros((x.shape[1], n), np.float32), np.empty((x.shape[0], x.shape[1], n), np.float32)
+        h, out = np.zeros((x.shape[1], n), x.dtype), np.empty((*x.shape[:2], n), x.dtype)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             hu = h @ u
             g = 1 / (1 + np.exp(-(x[t, :, : 2 * n] + hu[:, : 2 * n])))
@@ -138,45 +152,66 @@ class Network:
             h = out[t] = new
         return out
 
-    def pool(self, h: np.ndarray, there: np.ndarray):
-        q = np.tanh(h @ self.p["a"])
-        e = np.where(there, q @ self.p["v"], -1e9)
-        e = np.exp(e - e.max(0))
-        a = e / e.sum(0)
-        return q, a, np.einsum("tbh,tb->bh", h, a)
-
-    def logits(self, ids: np.ndarray, starts: np.ndarray, inputs: dict[str, np.ndarray]) -> np.ndarray:
-        """ids: (all starts, SPAN) word numbers, rows of ``inputs``; of the windows at ``starts``."""
-        out = np.empty(len(starts), np.float32)
-        for at in range(0, len(starts), 2048):
-            w = ids[starts[at : at + 2048]].T
-            there = w > 0
-            h = np.concatenate([self.scan(inputs[d][w], there, d) for d in "fb"], axis=2)
-            out[at : at + 2048] = self.pool(h, there)[2] @ self.p["o"] + self.p["k"]
-        return out
+    def states(self, ids: np.ndarray, inputs: dict[str, np.ndarray], keep: dict[str, list] | None = None) -> np.ndarray:
+        """ids: (time, batch) word numbers, rows of ``inputs``."""
+        return np.concatenate([self.scan(inputs[d][ids], ids > 0, d, keep and keep[d]) for d in "fb"], axis=2)
 
-    def gradients(self, ids: np.ndarray, y: np.ndarray, tables) -> dict[str, np.ndarray]:
+    def energy(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q = np.tanh(h @ self.p["a"])
+        return q, ENERGY * np.tanh(q @ self.p["v"] / ENERGY)
+
+    def logits(self, texts: list[np.ndarray], inputs: dict[str, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of every window of texts of word numbers, and the windows as ``windows_of`` gives them."""
+        line, long = np.concatenate(texts), np.array([len(x) for x in texts])
+        first = np.cumsum(long) - long
+        many = -(-long // SEGMENT)
+        owner = np.repeat(np.arange(len(long)), many)
+        core = first[owner] + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * SEGMENT
+        last = first[owner] + long[owner]
+        begin, end, stop = np.maximum(core - CONTEXT, first[owner]), np.minimum(core + SEGMENT + CONTEXT, last), np.minimum(core + SEGMENT, last)
+        weight, value = np.empty(len(line)), np.empty(len(line))
+        order = np.argsort(end - begin, kind="stable")
+        for at in range(0, len(order), 1024):
+            i = order[at : at + 1024]
+            h = self.states(cut_out(line, begin[i], end[i]), inputs)
+            place = begin[i] + np.arange(len(h))[:, None]
+            own = (place >= core[i]) & (place < stop[i])
+            weight[place[own]], value[place[own]] = np.exp(self.energy(h)[1])[own], (h @ self.p["o"])[own]
+        windows = windows_of(long)
+        sums = [np.append(0.0, np.cumsum(x)) for x in (weight * value, weight)]
+        top, below = (x[windows[1]] - x[windows[0]] for x in sums)
+        return top / below + self.p["k"][0], windows
+
+    def worst(self, texts: list[np.ndarray], inputs: dict[str, np.ndarray]) -> np.ndarray:
+        z, (_, _, owner) = self.logits(texts, inputs)
+        return np.maximum.reduceat(z, np.searchsorted(owner, np.arange(len(texts))))
+
+    def gradients(self, ids: np.ndarray, inside: np.ndarray, y: np.ndarray, tables) -> dict[str, np.ndarray]:
+        """ids: (time, batch) word numbers of windows with their context; ``inside``: what is of the window itself."""
         p, n = self.p, HIDDEN
-        used, w = np.unique(ids.T, return_inverse=True)
-        w = w.reshape(ids.T.shape)
+        used, w = np.unique(ids, return_inverse=True)
+        w = w.reshape(ids.shape)
         own = some(tables, used)
         emb = self.embed(own)
-        inp, there = self.inputs(emb), ids.T > 0
+        inp, there = self.inputs(emb), ids > 0
         kept = {"f": [], "b": []}
         h = np.concatenate([self.scan(inp[d][w], there, d, kept[d]) for d in "fb"], axis=2)
-        q, a, pooled = self.pool(h, there)
-        dl = (sigmoid(pooled @ p["o"] + p["k"]) - y).astype(np.float32) / len(y)
+        q, e = self.energy(h)
+        a = np.where(inside, np.exp(e), 0)
+        a = (a / a.sum(0)).astype(h.dtype)
+        pooled = np.einsum("tbh,tb->bh", h, a)
+        dl = ((sigmoid(pooled @ p["o"] + p["k"]) - y) / len(y)).astype(h.dtype)
         g = {"o": pooled.T @ dl, "k": dl.sum(keepdims=True)}
         dp = dl[:, None] * p["o"]
         da = np.einsum("tbh,bh->tb", h, dp)
-        de = a * (da - (a * da).sum(0))
+        de = a * (da - (a * da).sum(0)) * (1 - (e / ENERGY) ** 2)
         dq = de[:, :, None] * p["v"] * (1 - q * q)
         g["v"], g["a"] = np.einsum("tb,tbh->h", de, q), np.einsum("tbi,tbj->ij", h, dq)
         dh = a[:, :, None] * dp + dq @ p["a"].T
         demb = np.zeros_like(emb)
         for s, d in enumerate("fb"):
-            u, back = p[f"u{d}"], np.zeros((ids.shape[0], n), np.float32)
-            du, dx = np.zeros_like(u), np.empty((SPAN, len(ids), 3 * n), np.float32)
+            u, back = p[f"u{d}"], np.zeros((ids.shape[1], n), h.dtype)
+            du, dx = np.zeros_like(u), np.empty((*ids.shape, 3 * n), h.dtype)
             for t, h0, z, r, c, hu in reversed(kept[d]):
                 m = there[t][:, None]
                 full = back + dh[t, :, s * n : (s + 1) * n]
@@ -187,8 +222,7 @@ class Network:
                 dhu = np.hstack([dz, dr, dc * r])
                 du += h0.T @ dhu
                 back = np.where(m, dn * z, full) + dhu @ u.T
-            sums = np.zeros((len(used), 3 * n), np.float32)
-            np.add.at(sums, w.reshape(-1), dx.reshape(-1, 3 * n))
+            sums = summed(w.reshape(-1), dx.reshape(-1, 3 * n), len(used))
             g |= {f"u{d}": du, f"x{d}": emb.T @ sums, f"c{d}": sums.sum(0)}
             demb += sums @ p[f"x{d}"].T
         many = np.diff(own[2])
@@ -197,23 +231,30 @@ class Network:
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray, tables, epochs: int = 16, batch: int = 128, rate: float = 0.02) -> None:
         """texts: word numbers of each text. Adam; embedding rows are updated where they occur."""
-        every, starts, owner = windows_of(texts)
+        line, long = np.concatenate(texts), np.array([len(x) for x in texts])
+        last = np.cumsum(long)
         m, v, step, order = {}, {}, 0, np.random.default_rng(7)
         for e in range(epochs):
-            scores = self.logits(every, starts, self.inputs(self.embed(tables)))
-            ranked = np.lexsort((-scores, owner))
-            place = np.arange(len(starts)) - np.searchsorted(owner, owner)
-            chosen = ranked[place < np.where(y[owner] == 1, 1, 2)]
-            chosen = order.permutation(chosen)
+            scores, (starts, ends, owner) = self.logits(texts, self.inputs(self.embed(tables)))
+            # the worst window of each stretch of SPAN starts, as neighbours hardly differ; of these each text's worst
+            stretch = starts // SPAN
+            best = np.lexsort((-scores, stretch, owner))
+            best = best[np.append(True, (np.diff(stretch[best]) != 0) | (np.diff(owner[best]) != 0))]
+            best = best[np.lexsort((-scores[best], owner[best]))]
+            place = np.arange(len(best)) - np.searchsorted(owner[best], owner[best])
+            worst = best[place < np.where(y[owner[best]] == 1, 1, WORST)]
+            chosen = order.permutation(worst)
             for at in range(0, len(chosen), batch):
                 c = chosen[at : at + batch]
-                g, step = self.gradients(every[starts[c]], y[owner[c]].astype(np.float32), tables), step + 1
+                o = owner[c]
+                begin = np.maximum(starts[c] - CONTEXT, last[o] - long[o])
+                ids = cut_out(line, begin, np.minimum(ends[c] + CONTEXT, last[o]))
+                here = begin + np.arange(len(ids))[:, None]
+                g, step = self.gradients(ids, (here >= starts[c]) & (here < ends[c]), y[o].astype(np.float32), tables), step + 1
                 now = rate * (1 - e / epochs) + 1e-3
                 for k, x in g.items():
                     if isinstance(x, tuple):
-                        d = np.zeros_like(self.p[k])
-                        np.add.at(d, x[0], x[1])
-                        x = d * self.often[k][:, None]
+                        x = summed(*x, len(self.p[k])) * self.often[k][:, None]
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * x
                     v[k] = 0.99 * v.get(k, 0) + 0.01 * x * x
                     self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
@@ -240,14 +281,13 @@ class ToxicityModel:
             return out
         if self.inputs is None:
             self.inputs = {d: [x] for d, x in net.inputs(net.embed(v.tables)).items()}
-        rows, starts, owner = windows_of(v.ids([words[i] for i in there]))
+        ids = v.ids([words[i] for i in there])
         if v.tables is not None:
             for d, x in net.inputs(net.embed(v.tables)).items():
                 self.inputs[d].append(x)
         if len(self.inputs["f"]) > 1:
             self.inputs = {d: [np.concatenate(x)] for d, x in self.inputs.items()}
-        p = sigmoid(net.logits(rows, starts, {d: x[0] for d, x in self.inputs.items()}) + net.shift)
-        np.maximum.at(out, np.array(there)[owner], p)
+        out[there] = sigmoid(net.worst(ids, {d: x[0] for d, x in self.inputs.items()}) + net.shift)
         return out
 
 
@@ -276,20 +316,19 @@ def train(texts: list[str], y: np.ndarray) -> ToxicityModel:
     net.fit([ids[i] for i in fit], y[fit], tables)
     rest = [i for i in range(len(texts)) if not seen[i]]
     inputs = net.inputs(net.embed(tables))
-    windows, starts, owner = windows_of([ids[i] for i in rest])
-    worst = np.full(len(rest), -np.inf, np.float32)
-    np.maximum.at(worst, owner, net.logits(windows, starts, inputs))
+    worst = net.worst([ids[i] for i in rest], inputs)
     net.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(worst, y[rest]))
     return ToxicityModel(net)
 
 
 def best_cut(x: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the cut with the best F1."""
+    """The middle of the cuts with the best F1."""
     if len(set(y.tolist())) < 2:
         return 0.0
     cuts = np.unique(x)
     cuts = np.append((cuts[1:] + cuts[:-1]) / 2, 0.0)
-    f1 = np.array([2 * ((x >= c) & (y == 1)).sum() / max(1, (x >= c).sum() + (y == 1).sum()) for c in cuts])
+    over = x >= cuts[:, None]
+    f1 = 2 * over @ (y == 1) / np.maximum(1, over.sum(1) + (y == 1).sum())
     return float(np.median(cuts[f1 >= f1.max() - 1e-9]))
 
 
@@ -297,7 +336,7 @@ def fit_toxicity_model(labelled: DataFrame, text_col: str = "text", label_col: s
     """Train on at most ``sample`` distinct texts of each label, chosen by hash."""
     d = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("text").isNotNull())
     rows = hashed_sample(d, "y", sample).collect()
-    rows.sort(key=lambda r: (zlib.crc32(r.text.encode("utf-8", "replace")), r.text))
+    rows.sort(key=lambda r: (zlib.crc32(r.text.encode("utf-8", "replace")), r.text, r.y))
     return train([r.text for r in rows], np.array([r.y for r in rows]))
 
 

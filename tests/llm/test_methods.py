@@ -256,23 +256,25 @@ def test_leaks_of_hostile_rows(spark, hostile):
 # --- 6
 
 
-def plain_logit(p, emb, there):
-    """One window, word by word and number by number."""
+def plain_states(p, emb):
+    """Both directions' states of each word, number by number."""
     sig, n = lambda x: 1 / (1 + math.exp(-x)), toxicity.HIDDEN
     states = {}
     for d in "fb":
         h, out = [0.0] * n, {}
         for t in range(len(emb)) if d == "f" else reversed(range(len(emb))):
-            if there[t]:
-                x = emb[t] @ p[f"x{d}"] + p[f"c{d}"]
-                u = [sum(h[j] * p[f"u{d}"][j][k] for j in range(n)) for k in range(3 * n)]
-                z, r = [sig(x[k] + u[k]) for k in range(n)], [sig(x[n + k] + u[n + k]) for k in range(n)]
-                c = [math.tanh(x[2 * n + k] + r[k] * u[2 * n + k]) for k in range(n)]
-                h = [c[k] + z[k] * (h[k] - c[k]) for k in range(n)]
-            out[t] = h
+            x = emb[t] @ p[f"x{d}"] + p[f"c{d}"]
+            u = [sum(h[j] * p[f"u{d}"][j][k] for j in range(n)) for k in range(3 * n)]
+            z, r = [sig(x[k] + u[k]) for k in range(n)], [sig(x[n + k] + u[n + k]) for k in range(n)]
+            c = [math.tanh(x[2 * n + k] + r[k] * u[2 * n + k]) for k in range(n)]
+            out[t] = h = [c[k] + z[k] * (h[k] - c[k]) for k in range(n)]
         states[d] = out
-    rows = [np.array(states["f"][t] + states["b"][t]) for t in range(len(emb)) if there[t]]
-    e = [math.exp(np.tanh(r @ p["a"]) @ p["v"]) for r in rows]
+    return [np.array(states["f"][t] + states["b"][t]) for t in range(len(emb))]
+
+
+def plain_logit(p, rows):
+    """Of one window's states."""
+    e = [math.exp(toxicity.ENERGY * math.tanh(np.tanh(r @ p["a"]) @ p["v"] / toxicity.ENERGY)) for r in rows]
     return sum(w / sum(e) * r for w, r in zip(e, rows)) @ p["o"] + p["k"][0]
 
 
@@ -285,39 +287,43 @@ def net():
     return n
 
 
-def test_forward_pass_equals_plain_loops(net):
-    v = toxicity.Vocabulary()
-    texts = [[f"word{i % 5}" for i in range(30)], ["a", "tiny", "text"]]
-    ids = v.ids(texts)
-    tables = toxicity.rows_of(list(v.number))
-    emb = net.embed(tables)
-    every, starts, owner = toxicity.windows_of(ids)
-    got = net.logits(every, starts, net.inputs(emb))
-    assert owner.tolist() == [0] * 7 + [1]
-    for g, s in zip(got, starts):
-        assert abs(g - plain_logit(net.p, [emb[i] for i in every[s]], every[s] > 0)) < 1e-4
+def test_every_window_is_scored_as_by_plain_loops(net):
+    v, span, context, segment = toxicity.Vocabulary(), toxicity.SPAN, toxicity.CONTEXT, toxicity.SEGMENT
+    r = random.Random(1)
+    texts = v.ids([[f"word{r.randint(0, 30)}" for _ in range(n)] for n in (30, 3, 1, 2 * segment + 17, span, segment + 1)])
+    emb = net.embed(toxicity.rows_of(list(v.number)))
+    got, (starts, ends, owner) = net.logits(texts, net.inputs(emb))
+    want = []
+    for x in texts:
+        states = []
+        for core in range(0, len(x), segment):
+            begin = max(0, core - context)
+            states += plain_states(net.p, [emb[i] for i in x[begin : core + segment + context]])[core - begin :][:segment]
+        want += [plain_logit(net.p, states[s : s + span]) for s in range(max(1, len(x) - span + 1))]
+    assert len(got) == len(want) and np.abs(got - np.array(want)).max() < 1e-6
+    assert (net.worst(texts, net.inputs(emb)) == [got[owner == i].max() for i in range(len(texts))]).all()
 
 
 def test_gradients_equal_differences(net):
-    v = toxicity.Vocabulary()
-    ids = v.ids([[f"w{i}" for i in range(26)], ["bad", "word"], ["w1", "w2", "bad"]])
+    v, r = toxicity.Vocabulary(), np.random.default_rng(2)
+    line = np.concatenate(v.ids([[f"w{i % 9}" for i in range(40)], ["bad", "word"], ["w1", "w2", "bad"]]))
     tables = toxicity.rows_of(list(v.number))
-    every, starts, _ = toxicity.windows_of(ids)
-    y = np.array([0, 1, 0, 1, 0], np.float64)[: len(starts)]
-    g = net.gradients(every[starts], y, tables)
+    begin, end = np.array([0, 5, 40, 42]), np.array([20, 40, 42, 45])
+    first, last = np.array([0, 11, 40, 42]), np.array([14, 23, 42, 45])
+    y = np.array([0.0, 1.0, 0.0, 1.0])
+    ids = toxicity.cut_out(line, begin, end)
+    place = begin + np.arange(len(ids))[:, None]
+    g = net.gradients(ids, (place >= first) & (place < last), y, tables)
 
     def loss():
         emb = net.embed(tables)
-        z = np.array([plain_logit(net.p, [emb[i] for i in w], w > 0) for w in every[starts]])
+        z = [plain_logit(net.p, plain_states(net.p, [emb[i] for i in line[a:b]])[s - a : e - a]) for a, b, s, e in zip(begin, end, first, last)]
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
-    r = np.random.default_rng(2)
     for k, d in g.items():
         if isinstance(d, tuple):
-            full = np.zeros_like(net.p[k])
-            np.add.at(full, d[0], d[1])
             at = (int(d[0][r.integers(len(d[0]))]), int(r.integers(toxicity.DIM)))
-            d = full
+            d = toxicity.summed(*d, len(net.p[k]))
         else:
             at = tuple(int(r.integers(n)) for n in d.shape)
         keep, h = net.p[k][at], 1e-4
@@ -326,7 +332,17 @@ def test_gradients_equal_differences(net):
         net.p[k][at] = keep - h
         down = loss()
         net.p[k][at] = keep
-        assert abs((up - down) / (2 * h) - d[at]) < 2e-4, k
+        assert abs((up - down) / (2 * h) - d[at]) < 1e-5, k
+
+
+def test_a_toxic_word_counts_wherever_it_stands():
+    r = random.Random(2)
+    words = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta") for b in range(40)]
+    texts = [" ".join([*r.choices(words, k=30), *(["nastyword"] if i % 2 else []), *r.choices(words, k=r.randint(0, 30))]) for i in range(120)]
+    m = toxicity.train(texts, np.array([i % 2 for i in range(120)]))
+    clean = r.choices(words, k=300)
+    assert m.score([" ".join(clean)])[0] < 0.7
+    assert all(m.score([" ".join([*clean[:at], "nastyword", *clean[at:]])])[0] >= 0.7 for at in (0, 1, 50, 97, 103, 104, 105, 110, 111, 207, 208, 299, 300))
 
 
 def test_toxicity_defined_cases(spark, hostile):
