@@ -338,8 +338,8 @@ def test_gradients_equal_differences(net):
 def test_a_toxic_word_counts_wherever_it_stands():
     r = random.Random(2)
     words = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta") for b in range(40)]
-    texts = [" ".join([*r.choices(words, k=30), *(["nastyword"] if i % 2 else []), *r.choices(words, k=r.randint(0, 30))]) for i in range(120)]
-    m = toxicity.train(texts, np.array([i % 2 for i in range(120)]))
+    texts = [" ".join([*r.choices(words, k=30), *(["nastyword"] if i % 2 else []), *r.choices(words, k=r.randint(0, 300))]) for i in range(240)]
+    m = toxicity.train(texts, np.array([i % 2 for i in range(240)]))
     clean = r.choices(words, k=300)
     assert m.score([" ".join(clean)])[0] < 0.7
     assert all(m.score([" ".join([*clean[:at], "nastyword", *clean[at:]])])[0] >= 0.7 for at in (0, 1, 50, 97, 103, 104, 105, 110, 111, 207, 208, 299, 300))
