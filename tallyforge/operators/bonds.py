@@ -2,7 +2,7 @@
 
 Questions come as a frame ``ask`` (secid, on_date); schedules as coupons
 (secid, period_start, pay_date, amount?), amortizations (secid, pay_date, amount) and
-offers (secid, offer_date). An unknown payment is null and makes what depends on it null.
+offers (secid, offer_date, kind, price_pct?). An unknown payment is null and makes what depends on it null.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.functions.cleaning import let
+
 # Bounds of a yield, days a year, basis points that are still equal.
 LOW, HIGH, YEAR, THRESHOLD_BP = -0.99, 10.0, 365, 5
-STEPS = 60
+#: First guess and steps of the search for a yield.
+GUESS, STEPS = 0.1, 24
 
 
 def year_fraction(a: Column, b: Column, basis: str = "act365") -> Column:
@@ -24,12 +27,14 @@ def year_fraction(a: Column, b: Column, basis: str = "act365") -> Column:
         d2 = F.when((d1 == 30) & (F.dayofmonth(b) == 31), 30).otherwise(F.dayofmonth(b))
         return (360 * (F.year(b) - F.year(a)) + 30 * (F.month(b) - F.month(a)) + (d2 - d1)) / F.lit(360.0)
     new_year = lambda y: F.make_date(y, F.lit(1), F.lit(1))
-    share = lambda y: F.datediff(F.least(b, new_year(y + 1)), F.greatest(a, new_year(y))) / F.datediff(new_year(y + 1), new_year(y))
-    return F.aggregate(F.sequence(F.year(a), F.year(b)), F.lit(0.0), lambda s, y: s + share(y))
+    start, end = F.least(a, b), F.greatest(a, b)
+    share = lambda y: F.datediff(F.least(end, new_year(y + 1)), F.greatest(start, new_year(y))) / F.datediff(new_year(y + 1), new_year(y))
+    whole = F.aggregate(F.sequence(F.year(start), F.year(end)), F.lit(0.0), lambda s, y: s + share(y))
+    return F.when(b < a, -whole).otherwise(whole)
 
 
 def face_values(ask: DataFrame, issues: DataFrame, amortizations: DataFrame) -> DataFrame:
-    paid = amortizations.join(ask.select("secid", "on_date"), "secid").where("pay_date <= on_date").groupBy("secid", "on_date").agg(F.sum("amount").alias("paid"))
+    paid = amortizations.join(ask.select("secid", "on_date").distinct(), "secid").where("pay_date <= on_date").groupBy("secid", "on_date").agg(F.sum("amount").alias("paid"))
     x = ask.join(issues.select("secid", "initial_face"), "secid").join(paid, ["secid", "on_date"], "left")
     return x.select(*ask.columns, (F.col("initial_face") - F.coalesce("paid", F.lit(0))).cast("decimal(24,6)").alias("face"))
 
@@ -80,16 +85,34 @@ def present_value(flows: Column, y: Column, simple: bool = False) -> Column:
 
 
 def solve_yield(flows: Column, price: Column, simple: bool = False) -> Column:
-    """Root of PV(y) = price by bisection; PV falls in y, so the sign at the middle decides."""
+    """Root of PV(y) = price by Newton's steps, kept between bounds that the sign of PV - price moves; a step out of them halves.
+
+    The steps are taken on ln PV over ln(1 + y) (over y for simple compounding), which is
+    nearly straight: its slope is the duration, so few steps do for any flows.
+    """
     low = F.greatest(F.lit(LOW), -1 / F.array_max(F.transform(flows, lambda f: f["t"])) + 1e-9) if simple else F.lit(LOW)
 
-    def halve(s: Column, _: Column) -> Column:
-        m = (s["lo"] + s["hi"]) / 2
-        above = present_value(flows, m, simple) > price
-        return F.struct(F.when(above, m).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(m).alias("hi"))
+    def add(y: Column):
+        def one(s: Column, f: Column) -> Column:
+            v = f["a"] / discount(f["t"], y, simple)
+            return let(v, lambda v: F.struct((s["pv"] + v).alias("pv"), (s["tv"] + v * f["t"] / ((1 + y * f["t"]) if simple else F.lit(1.0))).alias("tv")))
+
+        return one
+
+    def step(s: Column, _: Column) -> Column:
+        at = F.aggregate(flows, F.struct(F.lit(0.0).alias("pv"), F.lit(0.0).alias("tv")), add(s["y"]))
+
+        def moved(x: Column) -> Column:
+            above = x["pv"] > price
+            far = F.log(x["pv"] / price) * x["pv"] / F.nullif(x["tv"], F.lit(0.0))
+            to = s["y"] + far if simple else (1 + s["y"]) * F.exp(far) - 1
+            bounds = F.struct(F.when(above, s["y"]).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(s["y"]).alias("hi"), to.alias("y"))
+            return let(bounds, lambda n: F.struct(n["lo"].alias("lo"), n["hi"].alias("hi"), F.when((n["y"] >= n["lo"]) & (n["y"] <= n["hi"]), n["y"]).otherwise((n["lo"] + n["hi"]) / 2).alias("y")))
 
-    start = F.struct(low.cast("double").alias("lo"), F.lit(HIGH).alias("hi"))
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+        return let(at, moved)
+
+    start = F.struct(low.cast("double").alias("lo"), F.lit(HIGH).alias("hi"), F.lit(GUESS).alias("y"))
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: s["y"])
     fine = (F.size(flows) > 0) & (price > 0) & (present_value(flows, low, simple) >= price) & (present_value(flows, F.lit(HIGH), simple) <= price)
     return F.when(fine, F.bround(root, 10))
 
@@ -99,6 +122,11 @@ def macaulay(flows: Column, y: Column) -> Column:
     return F.when(present_value(flows, y) > 0, F.bround(top / present_value(flows, y), 8))
 
 
+def duration_days(years: Column) -> Column:
+    """Whole days, half a day counting as one."""
+    return F.round(years.cast("decimal(20,8)") * YEAR, 0).cast("int")
+
+
 def modified_duration(years: Column, y: Column) -> Column:
     return F.when(1 + y > 0, F.bround(years / (1 + y), 8))
 
@@ -111,9 +139,20 @@ def current_yield(flows: DataFrame, prices: DataFrame) -> DataFrame:
     return x.withColumn("current_yield", F.when(~F.coalesce("unknown", F.lit(False)) & (F.col("price") > 0), F.bround(F.coalesce(F.col("s").cast("double"), F.lit(0.0)) / F.col("price"), 8))).drop("s", "unknown")
 
 
-def next_offers(ask: DataFrame, offers: DataFrame) -> DataFrame:
-    x = ask.select("secid", "on_date").distinct().join(offers.select("secid", "offer_date"), "secid").where("offer_date > on_date")
-    return x.groupBy("secid", "on_date").agg(F.min("offer_date").alias("offer_date"))
+def next_offers(ask: DataFrame, offers: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(secid, on_date, offer_date, offer_kind, offer_pct) of the first offer after the date, of the named kinds; none if there is none."""
+    o = offers if kinds is None else offers.where(F.col("kind").isin(*kinds))
+    x = ask.select("secid", "on_date").distinct().join(o.select("secid", "offer_date", "kind", "price_pct"), "secid").where("offer_date > on_date")
+    x = x.groupBy("secid", "on_date").agg(F.min(F.struct("offer_date", "kind", "price_pct")).alias("o"))
+    return x.select("secid", "on_date", "o.offer_date", F.col("o.kind").alias("offer_kind"), F.col("o.price_pct").alias("offer_pct"))
+
+
+def offer_flows(at: DataFrame, issues: DataFrame, coupons: DataFrame, amortizations: DataFrame) -> DataFrame:
+    """Flows up to each offer of ``next_offers``, where the face value left is repaid at the offer's price (at par if it has none)."""
+    flows = future_flows(at, coupons, amortizations, "offer_date").select("secid", "on_date", "pay_date", "amount")
+    left = face_values(at.select("secid", F.col("on_date").alias("asked"), F.col("offer_date").alias("on_date"), "offer_pct"), issues, amortizations).where("face > 0")
+    paid = (F.col("face") * F.coalesce(F.col("offer_pct"), F.lit(100)) / 100).cast("decimal(24,6)")
+    return flows.unionByName(left.select("secid", F.col("asked").alias("on_date"), F.col("on_date").alias("pay_date"), paid.alias("amount")))
 
 
 def curve_segments(curve: DataFrame) -> DataFrame:

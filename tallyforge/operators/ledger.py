@@ -1,4 +1,4 @@
-"""Keys, diffs, reversals and identities of an append-only ledger."""
+"""Keys, diffs, reversals and identities of an append-only ledger."""
 
 from __future__ import annotations
 
@@ -18,9 +18,13 @@ EVENT_TYPES = (
 
 
 def number_text(x: Column) -> Column:
-    """10 and 10.00 alike; null is empty."""
-    s = F.coalesce(x.cast("string"), F.lit(""))
-    return F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    """10 and 10.00 alike, never with an exponent; null is empty. Digits before and after the point are printed apart, as how a
+    decimal with leading zeros is cast to a string depends on the session."""
+    d = x.cast("decimal(38,10)")
+    whole = F.floor(F.abs(d)).cast("decimal(28,0)")
+    part = F.rtrim(F.lpad(((F.abs(d) - whole) * 10**10).cast("decimal(10,0)").cast("string"), 10, "0"), F.lit("0"))
+    s = F.concat(F.when(d < 0, "-").otherwise(""), whole.cast("string"), F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
+    return F.coalesce(s, F.lit(""))
 
 
 def digest(*parts: Column) -> Column:
@@ -39,6 +43,7 @@ def natural_keys(items: DataFrame, order: str = "id", within: tuple[str, ...] =
 
 
 def split_unknown_types(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of known event types, and those of others (null among them), which no job may import."""
     known = F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))
     return items.where(known), items.where(~known)
 
@@ -112,13 +117,6 @@ def money_sum(items: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, F.when(one, F.col("amount")).alias("amount"), F.when(one, F.col("currency")).alias("currency"), (~one).alias("mixed"))
 
 
-def find_instruments(rows: DataFrame, instruments: DataFrame) -> DataFrame:
-    """instrument_id by ISIN first and ticker second; ISIN and ticker are unique in the dimension."""
-    by_isin = instruments.where("isin IS NOT NULL").select("isin", F.col("instrument_id").alias("i1"))
-    by_ticker = instruments.where("ticker IS NOT NULL").select("ticker", F.col("instrument_id").alias("i2"))
-    return rows.join(by_isin, "isin", "left").join(by_ticker, "ticker", "left").withColumn("instrument_id", F.coalesce("i1", "i2")).drop("i1", "i2")
-
-
 def reconcile(expected: DataFrame, actual: DataFrame, cash_tolerance=0.01, quantity_tolerance=0) -> DataFrame:
     """Control totals against projections, both ways, by (report_id, kind, key).
 

@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 
 def staged(df: DataFrame, name: str = "staged") -> DataFrame:
-    """Write ``df`` in the shared folder (``spark.checkpoint.dir``; a temporary one where that is unset) and read it back."""
+    """Write ``df`` in the shared folder (``spark.checkpoint.dir``) and read it back.
+
+    Where that is unset and all tasks run on this machine, a temporary folder is made; a cluster must name one.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     path, schema = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", df.schema

@@ -58,16 +58,21 @@ def duration(spark, d):
     return x.select("secid", "price_source", "years", B.modified_duration(F.col("years"), F.col("own_yield")).alias("modified"))
 
 
-def ytp(spark, d):
+def _to_offer(spark, d, kinds=None):
     i, c, a, o, _, ask = _all(spark, d)
-    at = B.next_offers(ask, o)
-    flows = B.future_flows(at, c, a, "offer_date").select("secid", "on_date", "pay_date", "amount")
-    face = B.face_values(at.select("secid", F.col("offer_date").alias("on_date")), i, a).select("secid", F.col("on_date").alias("pay_date"), F.col("face").alias("amount"))
-    f = B.flow_arrays(flows.unionByName(face.withColumn("on_date", F.lit(ON).cast("date"))))
+    f = B.flow_arrays(B.offer_flows(B.next_offers(ask, o, kinds), i, c, a))
     x = B.dealt_out(_priced(spark, d).join(f, ["secid", "on_date"]), "secid", "price_source")
     return x.select("secid", "price_source", F.round(B.solve_yield(F.col("flows"), F.col("price")), 8).alias("ytp"))
 
 
+def ytp(spark, d):
+    return _to_offer(spark, d)
+
+
+def ytp_put(spark, d):
+    return _to_offer(spark, d, ("put",))
+
+
 def current_yield(spark, d):
     _, c, _, _, _, ask = _all(spark, d)
     coupons = ask.join(c.select("secid", "pay_date", "amount"), "secid").where("pay_date > on_date")
@@ -100,16 +105,17 @@ def yield_compare(spark, d):
 
 
 def yield_distribution(spark, d):
-    return B.distribution(_compared(spark, d)).select("price_source", "compared", "skipped", F.round("median", 1).alias("median"), F.round("largest", 1).alias("largest"), "within")
+    return B.distribution(_compared(spark, d)).select("price_source", "compared", "skipped", F.round("median", 1).alias("median"), F.round("largest", 1).alias("largest"), "within", F.round("p90", 1).alias("p90"), F.round("mean_bp", 1).alias("mean_bp"))
 
 
 def yield_outliers(spark, d):
-    return _compared(spark, d).select("secid", "price_source", F.round("diff_bp", 1).alias("diff_bp")).orderBy(F.abs("diff_bp").desc_nulls_first(), "secid", "price_source").limit(20)
+    return _compared(spark, d).where("outlier").select("secid", "price_source", F.round("diff_bp", 1).alias("diff_bp")).orderBy(F.abs("diff_bp").desc_nulls_first(), "secid", "price_source").limit(20)
 
 
 def year_fractions(spark, d):
-    i = demo.demo_issues(spark, d)
-    return i.select("secid", *[F.round(B.year_fraction(F.col("issue_date"), F.col("maturity_date"), b), 8).alias(n) for n, b in (("act365", "act365"), ("thirty", "30/360"), ("actact", "actact"))])
+    back = F.col("pk") % 3 == 0  # end before start
+    i = demo.demo_issues(spark, d).withColumns({"a": F.when(back, F.col("maturity_date")).otherwise(F.col("issue_date")), "b": F.when(back, F.col("issue_date")).otherwise(F.col("maturity_date"))})
+    return i.select("secid", *[F.round(B.year_fraction(F.col("a"), F.col("b"), b), 8).alias(n) for n, b in (("act365", "act365"), ("thirty", "30/360"), ("actact", "actact"))])
 
 
 _B = f"WITH RECURSIVE {demo.BONDS_SQL}"
@@ -131,9 +137,12 @@ sol AS (SELECT secid, price_source, price, ts, xs, -0.99::DOUBLE AS lo, 10.0::DO
 
 
 _YTM = _bisect("flo", "own")
+_YTP = r""", nof AS (SELECT secid, min(offer_date) AS od, arg_min(coalesce(price_pct, 100), offer_date) AS pct FROM off WHERE offer_date > DATE '2025-03-02' AND {} GROUP BY ALL),
+fof AS (SELECT secid, pay_date, amount FROM flo JOIN nof USING (secid) WHERE pay_date <= od
+  UNION ALL SELECT secid, od, paid FROM (SELECT nof.secid, od, (1000 - coalesce(sum(amount) FILTER (pay_date <= od), 0)) * pct / 100.0::DOUBLE AS paid FROM nof LEFT JOIN amo USING (secid) GROUP BY nof.secid, od, pct) WHERE paid > 0)""" + _bisect("fof", "own")
 _CMP = r""", cmp AS (SELECT secid, price_source, round((y - published_yield) * 10000, 2) AS diff_bp, y, published_yield, secid IN (SELECT secid FROM flo WHERE amount IS NULL) AS unknown,
   secid IN (SELECT secid FROM off WHERE offer_date > DATE '2025-03-02') AS offer FROM own)"""
-QUERIES = {f.__name__: f for f in (face_value, accrued_interest, dirty_price, future_flows, ytm, duration, ytp, current_yield, g_spread, settlement_match, yield_compare, yield_distribution, yield_outliers, year_fractions)}
+QUERIES = {f.__name__: f for f in (face_value, accrued_interest, dirty_price, future_flows, ytm, duration, ytp, ytp_put, current_yield, g_spread, settlement_match, yield_compare, yield_distribution, yield_outliers, year_fractions)}
 SQL = {
     "face_value": _B + _STATE + " SELECT secid, face::DOUBLE AS face FROM fac",
     "accrued_interest": _B + _STATE + " SELECT * FROM acc",
@@ -142,9 +151,8 @@ SQL = {
     "ytm": _B + _STATE + _YTM + " SELECT secid, price_source, round(y, 8) AS ytm FROM own",
     "duration": _B + _STATE + _YTM + r""", du AS (SELECT *, round(list_sum(list_transform(range(1, len(ts) + 1), lambda j: ts[j] * xs[j] / pow(1 + y, ts[j]))) / list_sum(list_transform(range(1, len(ts) + 1), lambda j: xs[j] / pow(1 + y, ts[j]))), 8) AS years FROM own)
     SELECT secid, price_source, years, round(years / (1 + y), 8) AS modified FROM du""",
-    "ytp": _B + _STATE + r""", nof AS (SELECT secid, min(offer_date) AS od FROM off WHERE offer_date > DATE '2025-03-02' GROUP BY ALL),
-    fof AS (SELECT secid, pay_date, amount FROM flo JOIN nof USING (secid) WHERE pay_date <= od
-      UNION ALL SELECT nof.secid, od, 1000 - coalesce(sum(amount) FILTER (pay_date <= od), 0) FROM nof LEFT JOIN amo USING (secid) GROUP BY nof.secid, od)""" + _bisect("fof", "own") + " SELECT secid, price_source, round(y, 8) AS ytp FROM own WHERE secid IN (SELECT secid FROM nof)",
+    "ytp": _B + _STATE + _YTP.format("true") + " SELECT secid, price_source, round(y, 8) AS ytp FROM own WHERE secid IN (SELECT secid FROM nof)",
+    "ytp_put": _B + _STATE + _YTP.format("kind = 'put'") + " SELECT secid, price_source, round(y, 8) AS ytp FROM own WHERE secid IN (SELECT secid FROM nof)",
     "current_yield": _B + _STATE + r""" SELECT secid, price_source, round(round(CASE WHEN bool_or(c.secid IS NOT NULL AND c.cents IS NULL) OR any_value(price) IS NULL THEN NULL ELSE coalesce(sum(c.cents), 0) / 100.0::DOUBLE / any_value(price) END, 8), 6) AS current_yield
     FROM pri LEFT JOIN cup c USING (secid) WHERE c.pay_date IS NULL OR true GROUP BY ALL""".replace("LEFT JOIN cup c USING (secid) WHERE c.pay_date IS NULL OR true", "LEFT JOIN (SELECT * FROM cup WHERE pay_date > DATE '2025-03-02' AND pay_date <= DATE '2025-03-02' + 365) c USING (secid)"),
     "g_spread": _B + r""", cv(x0, y0, x1, y1) AS (VALUES (0.25::DOUBLE, 0.05::DOUBLE, 1.0::DOUBLE, 0.07::DOUBLE), (1.0, 0.07, 2.0, 0.08), (2.0, 0.08, 3.0, 0.085)),
@@ -158,6 +166,11 @@ SQL = {
     SELECT secid, count(*) AS n, min(d) AS first FROM day JOIN pub USING (secid) WHERE abs(a - p) <= 1 GROUP BY ALL""",
     "yield_compare": _B + _STATE + _YTM + _CMP + r""" SELECT secid, price_source, round(diff_bp, 1) AS diff_bp, coalesce(abs(diff_bp) > 5, true) AS outlier,
     coalesce(nullif(concat_ws(', ', CASE WHEN unknown THEN 'unknown coupons' END, CASE WHEN offer THEN 'offer before maturity' END, CASE WHEN published_yield IS NULL THEN 'no published yield' WHEN y IS NULL THEN 'no root' END), ''), 'ok') AS note FROM cmp""",
-    "yield_distribution": _B + _STATE + _YTM + _CMP + " SELECT price_source, count(diff_bp) AS compared, count(*) - count(diff_bp) AS skipped, round(quantile_cont(abs(diff_bp), 0.5), 1) AS median, round(max(abs(diff_bp)), 1) AS largest, count(*) FILTER (abs(diff_bp) <= 5) AS within FROM cmp GROUP BY ALL",
-    "yield_outliers": _B + _STATE + _YTM + _CMP + " SELECT secid, price_source, round(diff_bp, 1) AS diff_bp FROM cmp ORDER BY abs(diff_bp) DESC NULLS FIRST, secid, price_source LIMIT 20",
+    "yield_distribution": _B + _STATE + _YTM + _CMP + " SELECT price_source, count(diff_bp) AS compared, count(*) - count(diff_bp) AS skipped, round(quantile_cont(abs(diff_bp), 0.5), 1) AS median, round(max(abs(diff_bp)), 1) AS largest, count(*) FILTER (abs(diff_bp) <= 5) AS within, round(quantile_cont(abs(diff_bp), 0.9), 1) AS p90, round(avg(diff_bp), 1) AS mean_bp FROM cmp GROUP BY ALL",
+    "year_fractions": _B + r""", yf AS (SELECT secid, CASE WHEN pk % 3 = 0 THEN issue_date + 182 * n ELSE issue_date END AS a, CASE WHEN pk % 3 = 0 THEN issue_date ELSE issue_date + 182 * n END AS b FROM iss),
+    sp AS (SELECT *, least(a, b) AS s, greatest(a, b) AS e, least(day(a), 30) AS d1 FROM yf),
+    yr AS (SELECT secid, sum(date_diff('day', greatest(s, make_date(y, 1, 1)), least(e, make_date(y + 1, 1, 1))) / date_diff('day', make_date(y, 1, 1), make_date(y + 1, 1, 1))::DOUBLE) AS w FROM sp, LATERAL (SELECT unnest(range(year(s), year(e) + 1)) AS y) GROUP BY secid)
+    SELECT secid, round((b - a) / 365.0::DOUBLE, 8) AS act365, round((360 * (year(b) - year(a)) + 30 * (month(b) - month(a)) + (CASE WHEN d1 = 30 AND day(b) = 31 THEN 30 ELSE day(b) END - d1)) / 360.0::DOUBLE, 8) AS thirty,
+      round(CASE WHEN b < a THEN -w ELSE w END, 8) AS actact FROM sp JOIN yr USING (secid)""",
+    "yield_outliers": _B + _STATE + _YTM + _CMP + " SELECT secid, price_source, round(diff_bp, 1) AS diff_bp FROM cmp WHERE coalesce(abs(diff_bp) > 5, true) ORDER BY abs(diff_bp) DESC NULLS FIRST, secid, price_source LIMIT 20",
 }

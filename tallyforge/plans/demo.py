@@ -60,7 +60,7 @@ def demo_amortizations(issues: DataFrame) -> DataFrame:
 
 
 def demo_offers(issues: DataFrame) -> DataFrame:
-    return issues.where("pk % 4 = 0").select("secid", F.date_add("issue_date", 364).alias("offer_date"), F.lit("put").alias("kind"), F.lit(100).cast(AMOUNT).alias("price_pct"))
+    return issues.where("pk % 4 = 0").select("secid", F.date_add("issue_date", 364).alias("offer_date"), F.when(F.col("pk") % 8 == 0, "put").otherwise("call").alias("kind"), F.when(F.col("pk") % 3 == 0, 100).when(F.col("pk") % 3 == 1, 102.5).cast(AMOUNT).alias("price_pct"))
 
 
 def demo_quotes(issues: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ cup AS (SELECT secid, issue_date + 182 * (i - 1)::INT AS period_start, issue_dat
   CASE WHEN pk % 7 = 0 AND 2 * i > n THEN NULL ELSE (2 * 100000 * rate * 182 + 36500) // 73000 END AS cents FROM iss, LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
 amo AS (SELECT secid, issue_date + 182 * n AS pay_date, CASE WHEN pk % 5 = 0 THEN 400 ELSE 1000 END AS amount FROM iss
   UNION ALL SELECT secid, issue_date + 182, 300 FROM iss WHERE pk % 5 = 0 UNION ALL SELECT secid, issue_date + 182 * (n - 1), 300 FROM iss WHERE pk % 5 = 0),
-off AS (SELECT secid, issue_date + 364 AS offer_date FROM iss WHERE pk % 4 = 0),
+off AS (SELECT secid, issue_date + 364 AS offer_date, CASE WHEN pk % 8 = 0 THEN 'put' ELSE 'call' END AS kind, CASE pk % 3 WHEN 0 THEN 100 WHEN 1 THEN 102.5 END AS price_pct FROM iss WHERE pk % 4 = 0),
 quo AS (SELECT secid, 'LAST' AS price_source, 90 + pk % 20 AS clean_pct, CASE WHEN pk % 11 <> 0 THEN rate / 100.0::DOUBLE END AS published_yield FROM iss
   UNION ALL SELECT secid, 'WAPRICE', 91 + pk % 20, CASE WHEN pk % 11 <> 0 THEN rate / 100.0::DOUBLE END FROM iss),
 ask AS (SELECT secid, DATE '2025-03-02' AS on_date FROM iss)

@@ -132,7 +132,7 @@ UNION ALL SELECT CASE WHEN old THEN 1 ELSE 2 END, CASE WHEN old THEN key || ':r1
     "schedule_payments": f"""WITH {BONDS_SQL}, good AS (SELECT secid, issue_date + 182 * n AS ends FROM iss WHERE pk % 13 <> 0)
 SELECT secid, 'coupon' AS kind, pay_date, cents / 100.0::DOUBLE AS amount FROM cup JOIN good USING (secid)
 UNION ALL SELECT secid, CASE WHEN pay_date = ends THEN 'maturity' ELSE 'amortization' END, pay_date, amount::DOUBLE FROM amo JOIN good USING (secid)
-UNION ALL SELECT secid, 'put', offer_date, 100::DOUBLE FROM off JOIN good USING (secid)""",
+UNION ALL SELECT secid, 'put', offer_date, price_pct::DOUBLE FROM off JOIN good USING (secid)""",
     "board_quotes": """SELECT (p_partkey // 500)::VARCHAR AS board, p_partkey::VARCHAR AS secid, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS pos, (p_size + CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END)::VARCHAR AS price,
   'N' AS status, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS last_price FROM part""",
     "resolve_instruments": """WITH m AS (SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber % 3 <> 0 THEN 'T' || l_partkey END AS ticker, CASE WHEN l_linenumber % 2 <> 0 THEN 'RU' || lpad(l_partkey::VARCHAR, 9, '0') || (l_partkey % 10) END AS isin, l_partkey AS k FROM lineitem),
