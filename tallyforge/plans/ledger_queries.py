@@ -34,7 +34,7 @@ def negative_positions(spark, d):
     return P.first_negative(demo_ledger(spark, d), ("account_id", "instrument_id")).select("account_id", "instrument_id", "day", D("quantity"))
 
 
-def _with_reversals(spark, d):
+def with_reversals(spark, d):
     base = demo_ledger(spark, d)
     r = L.reversals_of(base.where("id % 50 = 0")).withColumn("id", F.col("reverses_id") + 1_000_000_000)
     r = r.withColumn("amount", F.when(F.col("reverses_id") % 150 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(24,6)"))
@@ -43,11 +43,11 @@ def _with_reversals(spark, d):
 
 
 def reversal_check(spark, d):
-    return L.unpaired_reversals(_with_reversals(spark, d))
+    return L.unpaired_reversals(with_reversals(spark, d))
 
 
 def live_rows(spark, d):
-    return L.live_rows(_with_reversals(spark, d)).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
+    return L.live_rows(with_reversals(spark, d)).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
 def duplicate_keys(spark, d):
@@ -102,7 +102,9 @@ def reconcile(spark, d):
 
 def check_all_reports(spark, d):
     x = demo_ledger(spark, d)
-    marks = x.select("account_id", "currency").distinct().crossJoin(spark.range(1, 5).select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 7).cast("int")).alias("as_of"), F.concat(F.lit("w"), "id").alias("report_id")))
+    week = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("w")
+    marks = x.select("account_id", "currency").distinct().select("account_id", "currency", week)
+    marks = marks.select("account_id", "currency", F.date_add(F.lit("2024-01-01").cast("date"), F.col("w") * 7).alias("as_of"), F.concat(F.lit("w"), "w").alias("report_id"))
     out = P.at_dates(x, marks, ["account_id", "currency"], F.coalesce("settlement_date", "trade_date"), F.col("amount"))
     return out.select("report_id", "account_id", "currency", "as_of", D("total"))
 
@@ -123,9 +125,15 @@ def money_sum(spark, d):
 def clean_numbers(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(24,2)").alias("v"))
     text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "(").otherwise(""), c.format_decimal(F.col("v"), 2), F.when(F.col("o_orderkey") % 3 == 0, ")").otherwise(F.lit(" руб.")))
+    odd = F.array(*[F.lit(x) for x in ODD_NUMBERS])
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.element_at(odd, (F.floor(F.col("o_orderkey") / 5) % len(ODD_NUMBERS) + 1).cast("int"))).otherwise(text)
     return o.select("o_orderkey", c.parse_decimal(text).cast("double").alias("value"))
 
 
+#: Cells as statements have them, with their values.
+ODD_NUMBERS = {"1 234,56": 1234.56, "(1 234,56)": -1234.56, "1.234,56": 1234.56, "1,234.56": 1234.56, "−5": -5.0, "1.234.567": 1234567.0, "12 USD": 12.0, "n/a": None, "—": None, "abc": None, "1,2,3": None, "": None, "0,00 ₽": 0.0}
+
+
 def clean_dates(spark, d):
     t, n = F.col("o_orderdate"), F.col("o_orderkey") % 4
     text = F.when(n == 0, F.date_format(t, "dd.MM.yyyy")).when(n == 1, F.date_format(t, "yyyy-MM-dd HH:mm")).when(n == 2, F.date_format(t, "d/M/yyyy")).otherwise(F.date_format(t, "dd.MM.yy"))
@@ -199,10 +207,11 @@ SQL = {
     "money_sum": _L + "SELECT account_id, CASE WHEN account_id <> 3 THEN s END AS amount, CASE WHEN account_id <> 3 THEN 'RUB' END AS currency, account_id = 3 AS mixed FROM (SELECT account_id, sum(amount)::DOUBLE AS s FROM ledger GROUP BY ALL)",
     "reconcile": f"WITH {LEDGER_SQL}, {_REC} SELECT * FROM rec",
     "inbox": f"WITH {LEDGER_SQL}, {_REC}, {_REV}, {_NEG} SELECT 'discrepancy' AS kind, concat_ws(':', report_id, kind, key) AS title FROM rec UNION ALL SELECT 'violation', concat_ws(':', 'reversal', id, problem) FROM rc UNION ALL SELECT 'violation', concat_ws(':', 'negative', account_id, instrument_id) FROM neg",
-    "clean_numbers": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS value FROM orders",
+    "clean_numbers": f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN [{', '.join('NULL' if v is None else str(v) for v in ODD_NUMBERS.values())}][(o_orderkey // 5) % {len(ODD_NUMBERS)} + 1]::DOUBLE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS value FROM orders",
     "clean_dates": "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders",
     "clean_currency": "SELECT c_custkey, ['RUB', 'USD', 'EUR', 'CNY', 'GBP', 'RUB', NULL, 'USD'][(c_custkey % 8 + 1)::INT] AS currency FROM customer",
     "longest_phrase": r"""WITH dict(p, v, i) AS (VALUES ('ring', 'jewel', 0), ('widget', 'part', 1), ('red', 'colour', 2), ('small', 'size', 3), ('small ring', 'small jewel', 4), ('bolt', 'part', 5), ('gear', 'part', 6))
     SELECT p_partkey, (SELECT v FROM dict WHERE contains(p_name, p) ORDER BY length(p) DESC, i LIMIT 1) AS match FROM part""",
+    "signature_normalize": rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(translate(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n{c.SPACES}]+', ' ', 'g'))), 'ё', 'е'), '{c.PUNCTUATION.replace("'", "''")}', ' ', 'g'), ' +', ' ', 'g'))) AS sig FROM documents""",
     "raw_dedupe": "SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY ALL",
 }
