@@ -50,7 +50,7 @@ def _solved(spark, d):
 
 
 def ytm(spark, d):
-    return _solved(spark, d).select("secid", "price_source", F.round("own_yield", 8).alias("ytm"))
+    return _solved(spark, d).select("secid", "price_source", (F.round("own_yield", 8) + 0.0).alias("ytm"))
 
 
 def duration(spark, d):
@@ -148,7 +148,7 @@ SQL = {
     "accrued_interest": _B + _STATE + " SELECT * FROM acc",
     "dirty_price": _B + _STATE + " SELECT secid, price_source, round(price, 6) AS price FROM pri",
     "future_flows": _B + _STATE + " SELECT secid, count(*) AS n, sum(amount::DECIMAL(24,6))::DOUBLE AS total, max(pay_date) AS last, bool_or(amount IS NULL) AS unknown FROM flo GROUP BY ALL",
-    "ytm": _B + _STATE + _YTM + " SELECT secid, price_source, round(y, 8) AS ytm FROM own",
+    "ytm": _B + _STATE + _YTM + " SELECT secid, price_source, round(y, 8) + 0.0::DOUBLE AS ytm FROM own",
     "duration": _B + _STATE + _YTM + r""", du AS (SELECT *, round(list_sum(list_transform(range(1, len(ts) + 1), lambda j: ts[j] * xs[j] / pow(1 + y, ts[j]))) / list_sum(list_transform(range(1, len(ts) + 1), lambda j: xs[j] / pow(1 + y, ts[j]))), 8) AS years FROM own)
     SELECT secid, price_source, years, round(years / (1 + y), 8) AS modified FROM du""",
     "ytp": _B + _STATE + _YTP.format("true") + " SELECT secid, price_source, round(y, 8) AS ytp FROM own WHERE secid IN (SELECT secid FROM nof)",

@@ -104,7 +104,7 @@ def _board(spark, d):
 
 def verify_board(spark, d):
     return _board(spark, d).select(
-        "secid", "price_source", F.round("own_yield", 7).alias("own_yield"), F.round("own_yield_to_offer", 7).alias("own_yield_to_offer"), F.round("diff_bp", 1).alias("diff_bp"),
+        "secid", "price_source", (F.round("own_yield", 7) + 0.0).alias("own_yield"), F.round("own_yield_to_offer", 7).alias("own_yield_to_offer"), F.round("diff_bp", 1).alias("diff_bp"),
         F.round("diff_to_offer_bp", 1).alias("diff_to_offer_bp"), D("own_accrued"), D("published_accrued"), "settled", F.col("own_duration").cast("long").alias("own_duration"), "outlier", "note",
     )
 
@@ -168,7 +168,7 @@ SQL = {
     "unknown_types": f"WITH {demo.LEDGER_SQL}, x AS (SELECT CASE WHEN id % 37 = 0 THEN 'GIFT' WHEN id % 41 = 0 THEN NULL ELSE event_type END AS event_type FROM ledger) SELECT event_type, event_type IS NOT NULL AND event_type <> 'GIFT' AS known, count(*) AS n FROM x GROUP BY ALL",
     "unbalanced_reports": f"""WITH {demo.LEDGER_SQL}, m AS (SELECT account_id, floor((settlement_date - DATE '2024-01-01') / 7)::BIGINT AS w, sum(amount) AS q FROM ledger GROUP BY ALL),
     r AS (SELECT *, sum(q) OVER (PARTITION BY account_id ORDER BY w) AS z FROM m) SELECT 'a' || account_id || 'w' || w AS report, (z - q)::DOUBLE AS opening, q::DOUBLE AS moved, (z + 1)::DOUBLE AS closing FROM r WHERE (account_id + w) % 7 = 0""",
-    "verify_board": _B + _BOARD + _CMP + r""" SELECT secid, price_source, round(y1, 7) AS own_yield, round(y2, 7) AS own_yield_to_offer, round(d1, 1) AS diff_bp, round(d2, 1) AS diff_to_offer_bp, accrued AS own_accrued, published_accrued, settled,
+    "verify_board": _B + _BOARD + _CMP + r""" SELECT secid, price_source, round(y1, 7) + 0.0::DOUBLE AS own_yield, round(y2, 7) AS own_yield_to_offer, round(d1, 1) AS diff_bp, round(d2, 1) AS diff_to_offer_bp, accrued AS own_accrued, published_accrued, settled,
     floor(round(list_sum(list_transform(range(1, len(ts) + 1), lambda j: ts[j] * xs[j] / pow(1 + y1, ts[j]))) / list_sum(list_transform(range(1, len(ts) + 1), lambda j: xs[j] / pow(1 + y1, ts[j]))), 8) * 365 + 0.5)::BIGINT AS own_duration, coalesce(abs(d1) > 5, true) AS outlier,
     coalesce(nullif(concat_ws(', ', CASE WHEN cand = 0 THEN 'accrued interest differs: wrong schedule' WHEN cand > 1 THEN 'no accrued interest: settlement day unclear' END, CASE WHEN unknown THEN 'unknown coupons' END, CASE WHEN offer THEN 'offer before maturity' END, CASE WHEN pk % 5 = 0 THEN 'amortization' END,
       CASE WHEN pk % 19 = 0 THEN 'face value in USD' END, CASE WHEN published_yield IS NULL THEN 'no published yield' WHEN y1 IS NULL AND y2 IS NULL THEN 'no root' END, CASE WHEN coalesce(abs(d1) > 5, true) AND abs(d2) <= 5 THEN 'agrees with the offer' END), ''), 'ok') AS note FROM cmp""",
