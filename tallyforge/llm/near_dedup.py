@@ -7,17 +7,17 @@ neighbours. How long a prefix must be depends on the region: the shortest with w
 most ``REGION`` rows agree makes all pairs of these rows candidates, and adjacent rows
 that agree in the first value are candidates everywhere.
 
-Crowds, which are larger regions that agree in ``CROWD`` values, get rounds of their own
-once these links are known. Every row outside a crowd's largest component is compared
-with all rows of other components, by signature, and its most alike ones are candidates,
-four times as many in each round as in the last, until no row has one left that is
-untried. What is linked already needs no more pairs, so the rounds cost in proportion to
-the crowd where one component holds most of it, and up to the square of its rows where
-they stay apart.
-
-Candidates whose signatures (one byte a value) are too unlike are dropped, with a margin
-of four standard deviations. The rest are confirmed on full sets, in two rounds: each
-class's most alike candidate, then those pairs that still lie in different components.
+Crowds are larger regions that agree in ``CROWD`` values. Once these links are known, every
+row outside its crowd's largest component is compared with all of the crowd's rows that
+are in other components, on full sets and in one pass: both sides are cut into blocks,
+each pair of blocks meets in one task, and only links leave it, one for each row and
+component. What is linked already is not compared, so the work is in proportion to the
+crowd where one component holds most of it, and up to the square of its rows where they
+stay apart; no row of a join stands for a pair.
+
+The other candidates whose signatures (one byte a value) are too unlike are dropped, with
+a margin of four standard deviations. The rest are confirmed on full sets, in two rounds:
+each class's most alike candidate, then those pairs that still lie in different components.
 Components are found by star contraction.
 
 Orders are range-partitioned; regions at a cut between two partitions count as crowds.
@@ -52,9 +52,8 @@ TREES, DEPTH = 16, 8
 VALUES = TREES * DEPTH
 #: Rows of a region that are all compared; percent of the union that two sets must share; least estimate.
 REGION, SHARED, ESTIMATE = 8, 75, 0.6
-#: Values that a crowd agrees in, its rows in one task's block, candidates a row and block in the first round, and
-#: differing lowest bits (of VALUES) beyond which signatures are not compared further (five standard deviations).
-CROWD, BLOCK, FIRST, BITS = 2, 1000, 4, 36
+#: Values that a crowd agrees in, and rows on each side of a task that compares its rows.
+CROWD, BLOCK = 2, 500
 #: Word hashes that a worker remembers, and sorted rows that it holds, at most.
 REMEMBER, HELD = 500_000, 200_000
 _r = np.random.default_rng(42)
@@ -224,58 +223,68 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float = ESTIMATE) -> Dat
     return x.select("a", "b", "la", "lb").mapInPandas(run, "a long, b long, e double")
 
 
-def most_alike(node: np.ndarray, root: np.ndarray, low: np.ndarray, from_: np.ndarray, to: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Likely pairs of rows ``from_`` and ``to`` with different roots, ``most`` a row of ``from_``; and whether there are more."""
-    bits = np.packbits(low & 1, axis=1).view(np.uint64)
-    a, b, more = [node[:0]], [node[:0]], False
-    for at in range(0, len(from_), 256):
-        f = from_[at : at + 256]
-        differ = sum(np.bitwise_count(bits[f, None, k] ^ bits[None, to, k]) for k in range(bits.shape[1]))
-        i, j = np.nonzero((differ <= BITS) & (root[f, None] != root[None, to]))
-        for piece in np.array_split(np.arange(len(i)), np.unique(np.searchsorted(i, np.arange(8, len(f), 8)))):
-            x, y = f[i[piece]], to[j[piece]]
-            e = likeness(low[x], low[y])
-            x, y, e = x[e >= ESTIMATE], y[e >= ESTIMATE], e[e >= ESTIMATE]
-            order = np.lexsort((node[y], -e, x))
-            x, y = x[order], y[order]
-            place = np.arange(len(x)) - np.searchsorted(x, x)
-            more |= bool((place >= most).any())
-            a.append(node[x[place < most]])
-            b.append(node[y[place < most]])
-    x, y = np.concatenate(a), np.concatenate(b)
-    return np.minimum(x, y), np.maximum(x, y), more
-
-
-def apart(crowds: DataFrame, low: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """Distinct likely pairs (a, b) of crowds' rows in different components; a null pair says that rows have more than ``most``."""
+def block_links(texts: list[str], node: np.ndarray, root: np.ndarray, lone: np.ndarray, shared: int = SHARED) -> list[tuple[int, int]]:
+    """Linked pairs of lone rows and others with different roots, by full sets; one for each lone row and root."""
+    sets = [shingle_set(t) for t in texts]
+    long = np.array([len(x) for x in sets])
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    end = np.cumsum(long)
+    to = np.flatnonzero(~lone & (long > 0))
+    out: list[tuple[int, int]] = []
+    if not len(to):
+        return out
+    line = np.concatenate([place[end[j] - long[j] : end[j]] for j in to])
+    starts = np.cumsum(long[to]) - long[to]
+    mark = np.zeros(place.max() + 1, np.int32)
+    for i in np.flatnonzero(lone & (long > 0)):
+        own = place[end[i] - long[i] : end[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[line], starts)
+        mark[own] = 0
+        j = to[(100 * both >= shared * (long[i] + long[to] - both)) & (root[to] != root[i])]
+        out += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j[np.unique(root[j], return_index=True)[1]]]
+    return out
+
+
+def crowd_links(crowds: DataFrame, docs: DataFrame, id_col: str, text_col: str, roots: DataFrame) -> DataFrame:
+    """Links (a, b) between rows of one crowd that are in different components."""
     rows = crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
     parts = rows.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
-    parts = parts.where(F.col("n") > F.col("main.n")).select("crowd", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("main.root").alias("main"))
-    rows = stash(rows.join(parts, "crowd"), "op2-crowds").join(low, "node")
-    to = rows.select("crowd", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "root", "low", F.lit(False).alias("lone"))
-    lone = rows.where("root <> main").select("crowd", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", "low", F.lit(True).alias("lone"))
+    alone = F.col("n") - F.col("main.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parts = parts.where(alone > 0).select("crowd", blocks(F.col("n")).alias("blocks"), blocks(alone).alias("lone_blocks"), F.col("main.root").alias("main"))
+    rows = stash(rows.join(parts, "crowd"), "op2-crowds")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    to = rows.select("crowd", dealt("blocks", 1).alias("x"), every("lone_blocks").alias("y"), "node", "root", F.lit(False).alias("lone"))
+    lone = rows.where("root <> main").select("crowd", every("blocks").alias("x"), dealt("lone_blocks", 2).alias("y"), "node", "root", F.lit(True).alias("lone"))
+    texts = docs.select(whole_id(docs, id_col).alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    texts = stash(texts.join(rows.select("node").distinct(), "node", "left_semi").distinct(), "op2-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        crowd, block, node, root, lone = (t.column(c).to_numpy() for c in ("crowd", "block", "node", "root", "lone"))
-        low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, VALUES)
-        first = np.append(0, np.flatnonzero((crowd[1:] != crowd[:-1]) | (block[1:] != block[:-1])) + 1)
-        more = False
-        for x, y in zip(first, np.append(first[1:], len(node))):
-            i = np.arange(x, y)
-            a, b, rest = most_alike(node, root, low, i[lone[i]], i[~lone[i]], most)
-            more |= rest
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-        if more:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
-
-    both = to.unionByName(lone).repartition("crowd", "block").sortWithinPartitions("crowd", "block")
-    return both.mapInArrow(run, "a long, b long").distinct()
+        held, cell = [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                got = block_links(t.column("text").to_pylist(), *(t.column(c).to_numpy() for c in ("node", "root", "lone")))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy() for c in ("crowd", "x", "y")], axis=1)
+            first = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()]
+            for i, j in zip(first, [*first[1:], batch.num_rows]):
+                if cell != tuple(at[i]):
+                    yield from flush()
+                    cell = tuple(at[i])
+                held.append(batch.slice(i, j - i))
+        yield from flush()
+
+    cells = to.unionByName(lone).join(texts, "node").repartition("crowd", "x", "y").sortWithinPartitions("crowd", "x", "y")
+    return cells.select("crowd", "x", "y", "node", "root", "lone", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shared: int = SHARED) -> DataFrame:
@@ -305,27 +314,16 @@ def linked(x: np.ndarray, y: np.ndarray, shared: int = SHARED) -> bool:
     return 100 * both >= shared * (len(x) + len(y) - both)
 
 
-def joined_crowds(found: DataFrame, known: DataFrame, docs: DataFrame, id_col: str, text_col: str, tried: DataFrame, roots: DataFrame) -> DataFrame:
-    """The roots after all likely pairs of crowds' rows in different components have been tried on full sets."""
+def joined_crowds(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, roots: DataFrame) -> DataFrame:
+    """The roots after the crowds' links between different components are known too."""
     crowds = found.where("b IS NULL").select("crowd", F.col("a").alias("node")).distinct()
     wide = crowds.groupBy("crowd").count().where("count > 1").select("crowd")
     crowds = stash(crowds.join(wide, "crowd"), "op2-crowds")
-    low = known.join(crowds.select("node").distinct(), "node", "left_semi")
-    low = stash(lows(low.groupBy("node").agg(F.min("sig").alias("sig"))), "op2-lows")
-    most, more, gone = FIRST, True, []
-    while more:
-        pairs = stash(apart(crowds, low, roots, most), "op2-apart")
-        more = not pairs.where("a IS NULL").isEmpty()
-        new = stash(pairs.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "op2-apart")
-        links = stash(confirmed(new, docs, id_col, text_col), "op2-links")
-        if not links.isEmpty():
-            tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            gone.append(roots)
-            roots = stash(components(links.unionByName(tree)), "op2-roots")
-        discard(pairs, links)
-        gone.append(new)
-        tried, most = tried.unionByName(new), 4 * most
-    discard(crowds, low, *gone)
+    links = stash(crowd_links(crowds, docs, id_col, text_col, roots), "op2-links")
+    if not links.isEmpty():
+        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stash(components(links.unionByName(tree)), "op2-roots")
+    discard(crowds, links)
     return roots
 
 
@@ -356,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stash(components(more.unionByName(tree)), "op2-roots")
     discard(pairs, more)
-    roots = joined_crowds(found, known, docs, id_col, text_col, best.unionByName(rest), roots)
+    roots = joined_crowds(found, docs, id_col, text_col, roots)
 
     # a class by the least id of its component
     c = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
