@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
 Parquet in the shared folder and reads it back as the next stage's documents.
+
+Defined cases: documents without a letter (null and empty texts too) go in the first stage;
+rows of one id are one document, of which near-dedup keeps one row; rows without an id stay
+there and are hashed by their text in the mix; a document that the mix takes several times is
+written as often; very long texts are worked on whole; an empty table gives empty stages; all
+other columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
