@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontamination, fingerprints, html_text, language, mixing, near_dedup, secrets, token_files, toxicity, urls
+from tallyforge.llm import decontamination, fingerprints, hard_negatives, html_text, language, mixing, near_dedup, quality, secrets, token_files, toxicity, urls
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,8 @@ QUERIES = {
     "op8_html": html_text.op8_html,
     "op9_secrets": secrets.op9_secrets,
     "op10_fingerprint": fingerprints.op10_fingerprint,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_quality": quality.op13_quality,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op1_mix": mixing.OP1_SQL}
+ORACLE_SQL = {"op1_mix": mixing.OP1_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
