@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontamination, fingerprints, hard_negatives, html_text, language, mixing, near_dedup, quality, secrets, token_files, toxicity, urls
+from tallyforge.llm import decontamination, fingerprints, hard_negatives, html_text, language, mixing, near_dedup, quality, secrets, token_alignment, token_files, toxicity, urls
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_html": html_text.op8_html,
     "op9_secrets": secrets.op9_secrets,
     "op10_fingerprint": fingerprints.op10_fingerprint,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_quality": quality.op13_quality,
     "pipeline": pipeline,
