@@ -105,7 +105,7 @@ def codebook(x: np.ndarray, k: int = CLUSTERS, steps: int = STEPS) -> np.ndarray
     """Centres of Lloyd's iterations, started from the first distinct rows."""
     first = np.sort(np.unique(x, axis=0, return_index=True)[1])[:k] if x.size else np.arange(min(1, len(x)))
     c = x[first].astype(float)
-    for _ in range(steps):
+    for _ in range(steps if len(c) else 0):
         at = nearest(x, c)
         n = np.bincount(at, minlength=len(c))
         s = np.zeros_like(c)
