@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import cleaning as c
+from tallyforge.operators.connected import components
 from tallyforge.operators.staging import numbered, staged
 
 # Forms of bond codes and words in names.
@@ -62,6 +63,45 @@ def resolve_instruments(mentions: DataFrame, instruments: DataFrame) -> tuple[Da
     return rows.where(~lost).drop("ref"), g.select("instrument_id", *cols, "kind"), rows.where(lost).drop("ref", "instrument_id").withColumn("reason", F.lit("the ticker goes with several ISINs"))
 
 
+def resolve_chains(mentions: DataFrame, instruments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with instrument_id, the dimension's codes after them, rejects), through chains of mentions of any length.
+
+    ``mentions`` has seq (unique), ticker, isin; ``instruments`` has instrument_id, ticker,
+    isin (either may be null). Codes that one mention or one known instrument names together
+    are one instrument, and so is whatever is linked through further codes. A group
+
+    * without a known instrument is a new one; ids follow the order of first mentions;
+    * with one known instrument is that one, and its other codes become the instrument's;
+    * with several is in conflict: a mention goes to the known instrument of its own ISIN,
+      else of its own ticker, and is rejected if it has neither; nothing is linked.
+
+    A mention without codes stays, without an instrument. The codes after the batch are
+    (instrument_id, code), ``I`` or ``T`` before an ISIN or a ticker.
+    """
+    tagged = lambda x: x.withColumns({"t": F.concat(F.lit("T"), c.ticker(F.col("ticker"))), "i": F.concat(F.lit("I"), c.isin(F.col("isin")))})
+    m, k = tagged(mentions), tagged(instruments)
+    node = lambda x: x.select(F.coalesce("i", "t").alias("a"), F.coalesce("t", "i").alias("b"))
+    group = staged(components(node(m).unionByName(node(k)).where("a IS NOT NULL").distinct()), "chains")
+    codes = k.select(F.col("instrument_id").cast("long").alias("instrument_id"), F.explode(F.array("t", "i")).alias("node")).where("node IS NOT NULL")
+    known = codes.join(group, "node").groupBy("label").agg(F.min("instrument_id").alias("instrument_id"), (F.min("instrument_id") != F.max("instrument_id")).alias("conflict"))
+    m = m.join(group.withColumnRenamed("node", "_code"), F.coalesce("i", "t") == F.col("_code"), "left").drop("_code").join(known, "label", "left")
+    m = staged(m, "chained")
+    top = instruments.agg(F.coalesce(F.max("instrument_id"), F.lit(0))).first()[0]
+    fresh = m.where("label IS NOT NULL AND instrument_id IS NULL").groupBy("label").agg(F.min("seq").alias("seq"))
+    fresh = staged(numbered(fresh, ["seq"], top + 1, "fresh").select("label", "fresh"), "fresh")
+    own = codes.groupBy("node").agg(F.min("instrument_id").alias("own"))
+    m = m.join(fresh, "label", "left")
+    m = m.join(own.withColumnsRenamed({"node": "i", "own": "by_isin"}), "i", "left").join(own.withColumnsRenamed({"node": "t", "own": "by_ticker"}), "t", "left")
+    m = m.withColumn("instrument_id", F.when(F.col("conflict"), F.coalesce("by_isin", "by_ticker")).otherwise(F.coalesce("instrument_id", "fresh")))
+    plain = m.select(*[f"`{x}`" for x in mentions.columns], "instrument_id", "label")
+    lost = F.col("label").isNotNull() & F.col("instrument_id").isNull()
+    # a group in conflict keeps the codes it had
+    told = group.join(known.where("NOT conflict").select("label", "instrument_id").unionByName(fresh.withColumnRenamed("fresh", "instrument_id")), "label").select("instrument_id", F.col("node").alias("code"))
+    after = told.unionByName(codes.select("instrument_id", F.col("node").alias("code"))).distinct()
+    rejects = plain.where(lost).drop("instrument_id", "label").withColumn("reason", F.lit("its chain joins known instruments"))
+    return plain.where(~lost).drop("label"), after, rejects
+
+
 def resolve_accounts(rows: DataFrame, accounts: DataFrame, code: str = "account") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with account_id, the dimension after them, rejects).
 
