@@ -5,24 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame, name: str = "staged") -> DataFrame:
-    """Write ``df`` in the shared folder (``spark.checkpoint.dir``) and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
     Where that is unset and all tasks run on this machine, a temporary folder is made; a cluster must name one.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path, schema = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", df.schema
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write ``df`` in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -31,13 +36,11 @@ def numbered(rows: DataFrame, order: list[str], first: int, name: str = "id") ->
     """Give ids from ``first`` on in ``order``.
 
     The range partitions are written before they are counted, so that counts and ids come
-    from the same partitions; no task numbers more than one partition's rows.
+    from the same partitions; no task numbers more than one partition's rows. Where each
+    partition starts is a running sum over one row a partition, joined back.
     """
     rows = staged(rows.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "numbered")
-    counts = {r.pid: r.n for r in rows.groupBy("pid").agg(F.count("*").alias("n")).collect()}
-    start, at = {}, first
-    for p in sorted(counts):
-        start[p], at = at, at + counts[p]
-    offset = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map(F.lit(0), F.lit(0))
-    at = F.row_number().over(W.partitionBy("pid").orderBy(*order)) - 1 + offset[F.col("pid")]
-    return rows.withColumn(name, at.cast("long")).drop("pid")
+    before = W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("pid").agg(F.count("*").alias("n")).select("pid", (F.lit(first) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("start"))
+    at = F.row_number().over(W.partitionBy("pid").orderBy(*order)) - 1 + F.col("start")
+    return rows.join(starts, "pid").withColumn(name, at.cast("long")).drop("pid", "start")

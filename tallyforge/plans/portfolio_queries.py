@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.operators import identities, returns
+from tallyforge.operators import bitemporal, identities, returns, store
+from tallyforge.operators.staging import shared_folder
+from tallyforge.plans.check_queries import SQL as CHECKS_SQL
+from tallyforge.plans.check_queries import verify_board
 from tallyforge.plans.demo import LEDGER_SQL, demo_ledger, table
+from tallyforge.sources import snapshots
 
-UNTIL = "2024-02-03"
+AS_OF, UNTIL = "2024-01-20", "2024-02-03"
+VERIFY_SQL = CHECKS_SQL["verify_board"]
 D = lambda x: F.col(x).cast("double").alias(x)
 
 
@@ -107,6 +115,89 @@ def customer_xirr(spark, d):
     return returns.money_weighted(flows, ("customer",)).select("customer", "flows", "roots", F.round("xirr", 6).alias("xirr"))
 
 
+# ratings on two axes of time, from the events table
+
+
+def demo_ratings(spark, d):
+    """Facts on 20 issues and 5 issuers by three agencies; recorded up to six days late, often for days that have one."""
+    e = table(spark, d, "events").where("event_type IN ('view', 'error')").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
+    issue = F.col("k") % 3 > 0
+    day = F.to_date("ts")
+    return e.select(
+        "event_id", F.when(issue, "issue").otherwise("issuer").alias("entity_type"), F.when(issue, F.col("k") % 20).otherwise(F.col("k") % 5).alias("entity_id"), (F.col("user_id") % 3).cast("int").alias("agency"),
+        day.alias("valid_from"), F.date_add(day, (F.col("event_id") % 7).cast("int")).alias("recorded_at"), F.when(F.col("event_id") % 6 > 0, F.floor(F.col("value") / 10).cast("int")).alias("rating"),
+    )
+
+
+def _rectangles(spark, d):
+    return bitemporal.rectangles(demo_ratings(spark, d), ["entity_type", "entity_id", "agency"], "rating", "event_id")
+
+
+def ratings_known_on(spark, d):
+    """All ratings with their days, as known on one day."""
+    x = _rectangles(spark, d)
+    on = F.lit("2024-01-20").cast("date")
+    return x.where((F.col("known_from") <= on) & (F.col("known_to").isNull() | (F.col("known_to") > on))).select("entity_type", "entity_id", "agency", "valid_from", "valid_to", F.col("value").alias("rating"))
+
+
+def rating_history_area(spark, d):
+    """Days times days that each value covers up to a day on both axes: a measure of the whole rectangle table."""
+    end = F.lit("2024-02-10").cast("date")
+    side = lambda a, b: F.date_diff(F.least(F.coalesce(b, end), end), a)
+    x = _rectangles(spark, d).withColumn("area", side(F.col("valid_from"), F.col("valid_to")) * side(F.col("known_from"), F.col("known_to")))
+    return x.groupBy("entity_type", "entity_id", "agency", F.col("value").alias("rating")).agg(F.sum("area").cast("long").alias("area"))
+
+
+def rating_at_purchase(spark, d):
+    """The rating that a purchase's instrument had on its day, as it was known some days later: the issue's, else the issuer's."""
+    t = demo_ledger(spark, d).where("event_type = 'BUY'")
+    marks = t.select(F.col("id").alias("mark_id"), F.col("instrument_id").alias("issue"), (F.col("instrument_id") % 5).alias("issuer"), F.col("trade_date").alias("valid_on"), F.date_add("trade_date", (F.col("id") % 5).cast("int")).alias("known_on"))
+    return bitemporal.resolved(_rectangles(spark, d), marks).select("mark_id", "rating", "source")
+
+
+_RATINGS = r"""WITH e AS (SELECT *, regexp_extract(props, '(\d+)', 1)::INT AS k FROM events WHERE event_type IN ('view', 'error')),
+fact AS (SELECT event_id, CASE WHEN k % 3 > 0 THEN 'issue' ELSE 'issuer' END AS entity_type, CASE WHEN k % 3 > 0 THEN k % 20 ELSE k % 5 END AS entity_id, (user_id % 3)::INT AS agency,
+  ts::DATE AS v, ts::DATE + (event_id % 7)::INT AS r, CASE WHEN event_id % 6 > 0 THEN floor(value / 10)::INT END AS rating FROM e)
+"""
+
+
+# the committed ledger
+
+
+def _committed(spark, d, name):
+    """The ledger as three batches, one of them committed twice: first by mistake with every amount doubled."""
+    root = f"{shared_folder(spark)}/{name}"
+    x = demo_ledger(spark, d)
+    third = lambda k: x.where(F.col("id") % 3 == k)
+    store.commit(third(0), root, "b0")
+    store.commit(third(1).withColumn("amount", (F.col("amount") * 2).cast("decimal(24,6)")), root, "b1")
+    store.commit(third(2), root, "b2")
+    store.commit(third(1), root, "b1")
+    return root
+
+
+def load_entries(spark, d):
+    root = _committed(spark, d, f"ledger-{uuid.uuid4().hex}")
+    x = store.load(spark, root, 3, AS_OF)
+    # the place in the stable order is what a reader of the sorted rows counts
+    return x.withColumn("place", F.row_number().over(W.partitionBy("account_id").orderBy("trade_date", "id"))).select("place", "id", "event_type", "trade_date", "instrument_id", D("quantity"), D("amount"))
+
+
+def ledger_totals(spark, d):
+    root = _committed(spark, d, f"ledger-{uuid.uuid4().hex}")
+    return store.read(spark, root).groupBy("account_id", "month").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+
+def save_board_run(spark, d):
+    """Two runs of a board's verification, the first saved twice; their headers."""
+    root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    checks = verify_board(spark, d)
+    odd = checks.where("secid LIKE '%3'")
+    for run, rows in (("r1", odd), ("r2", odd), ("r1", checks)):
+        snapshots.save_run(rows, root, run, board="TQCB")
+    return snapshots.runs(spark, root)
+
+
 _NAV = f"""WITH RECURSIVE {LEDGER_SQL},
 lim AS (SELECT DATE '{UNTIL}' AS until),
 px AS (SELECT instrument_id, trade_date AS day, arg_max(price, id) AS price FROM ledger WHERE price IS NOT NULL AND instrument_id IS NOT NULL GROUP BY ALL HAVING (dayofmonth(trade_date) + instrument_id) % 3 <> 0),
@@ -144,7 +235,13 @@ FROM roots LEFT JOIN halve AS h ON h.k = roots.k AND h.n = {returns.HALVINGS}"""
 _FLOWS = f"SELECT account_id, day, -external_flow AS amount FROM nav UNION ALL SELECT account_id, day, nav FROM nav WHERE day = DATE '{UNTIL}'"
 _ORDERS = "SELECT o_custkey AS customer, o_orderdate::DATE AS day, CASE WHEN o_orderstatus = 'F' THEN -1 WHEN o_orderpriority LIKE '1%' THEN -2 ELSE 1 END * o_totalprice::DECIMAL(18,2) AS amount FROM orders"
 
-QUERIES = {f.__name__: f for f in (identity_chains, identity_codes, identity_conflicts, daily_prices, daily_nav, time_weighted, account_xirr, customer_xirr)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        identity_chains, identity_codes, identity_conflicts, daily_prices, daily_nav, time_weighted, account_xirr, customer_xirr, ratings_known_on, rating_history_area, rating_at_purchase,
+        load_entries, ledger_totals, save_board_run,
+    )
+}
 SQL = {
     "identity_chains": _CHAINS + "SELECT seq, ticker, isin, instrument_id FROM res WHERE instrument_id IS NOT NULL",
     "identity_conflicts": _CHAINS + "SELECT seq, ticker, isin, 'its chain joins known instruments' AS reason FROM res WHERE instrument_id IS NULL",
@@ -154,4 +251,17 @@ SQL = {
     "time_weighted": _NAV + ", r AS (SELECT *, lag(nav) OVER (PARTITION BY account_id ORDER BY day) AS b FROM nav) SELECT account_id, count(*) AS days, count(*) FILTER (WHERE b = 0) AS restarts, CASE WHEN count(*) FILTER (WHERE b < 0) = 0 THEN round(coalesce(product(CASE WHEN b > 0 THEN (nav - external_flow) / b END), 1) - 1, 8) END AS twr FROM r GROUP BY 1",
     "account_xirr": _xirr("account_id", _NAV, _FLOWS),
     "customer_xirr": _xirr("customer", "WITH RECURSIVE lim AS (SELECT 1 AS one)", _ORDERS),
+    "ratings_known_on": _RATINGS + """, k AS (SELECT * FROM fact WHERE r <= DATE '2024-01-20' QUALIFY row_number() OVER (PARTITION BY entity_type, entity_id, agency, v ORDER BY r DESC, event_id DESC) = 1)
+SELECT entity_type, entity_id, agency, v AS valid_from, lead(v) OVER (PARTITION BY entity_type, entity_id, agency ORDER BY v) AS valid_to, rating FROM k""",
+    "rating_history_area": _RATINGS + """, keys AS (SELECT DISTINCT entity_type, entity_id, agency FROM fact), days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-09', INTERVAL 1 DAY))::DATE AS day),
+cell AS (SELECT f.entity_type, f.entity_id, f.agency, y.day AS y, x.day AS x, arg_max(coalesce(f.rating, -1), (f.v, f.r, f.event_id)) AS rating FROM fact AS f JOIN days AS y ON f.v <= y.day JOIN days AS x ON f.r <= x.day GROUP BY ALL)
+SELECT entity_type, entity_id, agency, nullif(rating, -1) AS rating, count(*) AS area FROM cell GROUP BY ALL""",
+    "rating_at_purchase": _RATINGS.replace("WITH e AS", f"WITH {LEDGER_SQL.replace('e AS', 'e_ AS', 1).replace('FROM e)', 'FROM e_)')}, e AS") + """, mark AS (SELECT id AS mark_id, instrument_id AS issue, instrument_id % 5 AS issuer, trade_date AS y, trade_date + (id % 5)::INT AS x FROM ledger WHERE event_type = 'BUY'),
+got AS (SELECT m.mark_id, f.entity_type, f.rating FROM mark AS m JOIN fact AS f ON f.v <= m.y AND f.r <= m.x AND ((f.entity_type = 'issue' AND f.entity_id = m.issue) OR (f.entity_type = 'issuer' AND f.entity_id = m.issuer))
+  QUALIFY row_number() OVER (PARTITION BY m.mark_id, f.entity_type, f.agency ORDER BY f.v DESC, f.r DESC, f.event_id DESC) = 1),
+one AS (SELECT mark_id, entity_type, min(rating) AS rating FROM got GROUP BY mark_id, entity_type QUALIFY row_number() OVER (PARTITION BY mark_id ORDER BY min(rating) IS NULL, entity_type) = 1)
+SELECT m.mark_id, o.rating, o.entity_type AS source FROM mark AS m LEFT JOIN one AS o USING (mark_id)""",
+    "load_entries": f"WITH {LEDGER_SQL} SELECT row_number() OVER (ORDER BY trade_date, id) AS place, id, event_type, trade_date, instrument_id, quantity::DOUBLE AS quantity, amount::DOUBLE AS amount FROM ledger WHERE account_id = 3 AND trade_date <= DATE '{AS_OF}'",
+    "ledger_totals": f"WITH {LEDGER_SQL} SELECT account_id, strftime(trade_date, '%Y-%m') AS month, count(*) AS n, sum(amount)::DOUBLE AS amount FROM ledger GROUP BY ALL",
+    "save_board_run": f"WITH b AS ({VERIFY_SQL}) SELECT 'r1' AS run_id, 'TQCB' AS board, count(*) AS checked, count(*) FILTER (WHERE note <> 'ok') AS outliers FROM b UNION ALL SELECT 'r2', 'TQCB', count(*), count(*) FILTER (WHERE note <> 'ok') FROM b WHERE secid LIKE '%3'",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import cleaning as c
+from tallyforge.operators.store import Layout, commit, read
 
 BLOCKS = "map<string, struct<columns: array<string>, data: array<array<string>>>>"
 PATH = r"([^/]+)/([^/]+)/([^/]+)\.json$"
@@ -78,22 +79,36 @@ def read_snapshots(spark: SparkSession, root: str, day: str | None = None, endpo
 
 
 def vanished(catalog: DataFrame, spark: SparkSession, root: str) -> DataFrame:
-    """Catalog rows whose file (by its path's end) is no longer under ``root``."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("_name")).distinct()
-    return catalog.join(there, F.regexp_extract(catalog["path"], r"([^/]+)$", 1) == there["_name"], "left_anti")
+    """Catalog rows whose file (by its path below ``root``) is no longer there."""
+    under = F.lit(f"/{root.split('://')[-1].strip('/')}/")
+    name = lambda p: F.regexp_extract(p, r"([^/]+)$", 1)
+    # what follows the root in the path; the file's name for a catalog that was made elsewhere
+    key = lambda p: F.when(F.contains(p, under), F.substring_index(p, under, -1)).otherwise(F.concat(F.lit("/"), name(p)))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    there = files.select(F.explode(F.array(key(F.col("path")), F.concat(F.lit("/"), name(F.col("path"))))).alias("_key")).distinct()
+    return catalog.join(there, key(catalog["path"]) == there["_key"], "left_anti")
+
+
+RUNS = Layout(key="run_id", day="saved_on", order=("secid",), buckets=8)
 
 
 def save_run(checks: DataFrame, path: str, run_id: str, **header: str) -> DataFrame:
-    """Append a verification run: its rows under ``path/checks`` and its header under ``path/runs``.
+    """Save a verification run, its rows and its header, in one commit; saved again, it replaces itself. Returns the header.
 
-    Rows whose note is other than ok count as outliers. Returns the header.
+    Rows whose note is other than ok count as outliers.
     """
-    spark = checks.sparkSession
-    checks.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(f"{path}/checks")
-    mine = spark.read.parquet(f"{path}/checks").where(F.col("run_id") == run_id)
-    top = mine.agg(F.count("*").alias("checked"), F.count_if(F.col("note") != "ok").alias("outliers")).select(F.lit(run_id).alias("run_id"), *[F.lit(v).alias(k) for k, v in header.items()], "checked", "outliers")
-    top.write.mode("append").parquet(f"{path}/runs")
-    return spark.read.parquet(f"{path}/runs").where(F.col("run_id") == run_id)
+    rows = checks.withColumns({"run_id": F.lit(run_id), "saved_on": F.current_date(), **{f"run_{k}": F.lit(v) for k, v in header.items()}})
+    commit(rows, path, run_id, RUNS)
+    return runs(checks.sparkSession, path).where(F.col("run_id") == run_id)
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each saved run: run_id, its header, and how many rows were checked and are outliers."""
+    rows = read(spark, path)
+    if rows is None:
+        raise FileNotFoundError(f"no run is saved in {path}")
+    header = [c for c in rows.columns if c.startswith("run_") and c != "run_id"]
+    return rows.groupBy("run_id", *[F.col(c).alias(c[4:]) for c in header]).agg(F.count("*").alias("checked"), F.count_if(F.col("note") != "ok").alias("outliers"))
 
 
 def iso_date(x: Column) -> Column:
