@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import let
+from tallyforge.operators.quantiles import exact_quantiles
+from tallyforge.operators.staging import staged
 
 # Bounds of a yield, days a year, basis points that are still equal.
 LOW, HIGH, YEAR, THRESHOLD_BP = -0.99, 10.0, 365, 5
@@ -189,7 +191,10 @@ def compare_board(quotes: DataFrame) -> DataFrame:
 
 def distribution(compared: DataFrame) -> DataFrame:
     d = F.abs("diff_bp")
-    return compared.groupBy("price_source").agg(
-        F.count("diff_bp").alias("compared"), F.count_if(F.col("diff_bp").isNull()).alias("skipped"), F.percentile(d, 0.5).alias("median"), F.percentile(d, 0.9).alias("p90"),
-        F.max(d).alias("largest"), F.count_if(d <= THRESHOLD_BP).alias("within"), F.bround(F.avg("diff_bp"), 2).alias("mean_bp"),
+    x = staged(compared.select("price_source", "diff_bp", d.alias("far")), "compared")
+    q = exact_quantiles(x, ["price_source"], "far", [0.5, 0.9])
+    q = q.groupBy("price_source").agg(*[F.max(F.when(F.col("share") == p, F.col("quantile"))).alias(name) for p, name in ((0.5, "median"), (0.9, "p90"))])
+    n = x.groupBy("price_source").agg(
+        F.count("diff_bp").alias("compared"), F.count_if(F.col("diff_bp").isNull()).alias("skipped"), F.max(d).alias("largest"), F.count_if(d <= THRESHOLD_BP).alias("within"), F.bround(F.avg("diff_bp"), 2).alias("mean_bp"),
     )
+    return n.join(q, "price_source", "left").select("price_source", "compared", "skipped", "median", "p90", "largest", "within", "mean_bp")

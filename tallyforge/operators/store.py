@@ -40,6 +40,12 @@ def _files(spark: SparkSession, root: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    """Whether the folder is there and holds anything."""
+    fs, at = _files(spark, root)
+    return fs.exists(at(".")) and len(fs.listStatus(at("."))) > 0
+
+
 def manifest(spark: SparkSession, root: str) -> tuple[int, dict]:
     """(number, content) of the newest manifest; (0, no batches) where there is none."""
     fs, at = _files(spark, root)
@@ -63,7 +69,11 @@ def _publish(spark: SparkSession, root: str, number: int, content: dict) -> None
     out.close()
     plain = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     plain[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")  # never over a manifest that is there
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, final, plain)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, final, plain)
+    except Exception:
+        fs.delete(draft, False)
+        raise
 
 
 def commit(rows: DataFrame, root: str, batch: str, layout: Layout = Layout(), tries: int = 5) -> int:

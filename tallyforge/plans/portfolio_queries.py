@@ -8,11 +8,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.operators import bitemporal, identities, returns, store
+from tallyforge.operators.concentration import concentration, herfindahl
+from tallyforge.operators.deposits import deposit_schedule
+from tallyforge.operators.quantiles import exact_quantiles
 from tallyforge.operators.staging import shared_folder
 from tallyforge.plans.check_queries import SQL as CHECKS_SQL
 from tallyforge.plans.check_queries import verify_board
 from tallyforge.plans.demo import LEDGER_SQL, demo_ledger, table
 from tallyforge.sources import snapshots
+from tallyforge.streaming import ingest
 
 AS_OF, UNTIL = "2024-01-20", "2024-02-03"
 VERIFY_SQL = CHECKS_SQL["verify_board"]
@@ -198,6 +202,55 @@ def save_board_run(spark, d):
     return snapshots.runs(spark, root)
 
 
+def append_new_keys(spark, d):
+    """Four batches of a stream, with keys that came before in other batches, in the same one, and one batch tried twice."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    x = demo_ledger(spark, d)
+    cut = lambda sql: x.where(sql)
+    again = x.where("id % 5 = 0").withColumn("id", F.col("id") + 1_000_000_000)
+    for number, batch in ((0, cut("id % 4 = 0")), (1, cut("id % 4 = 1").unionByName(again)), (1, cut("id % 4 = 1").unionByName(again)), (2, cut("id % 4 < 3")), (3, cut("id % 4 = 3").unionByName(again).unionByName(cut("id % 4 = 3")))):
+        ingest.append_new(batch, root, number)
+    return store.read(spark, root).groupBy("account_id").agg(F.count("*").alias("n"), F.count_distinct("natural_key").alias("keys"), F.sum("id").alias("ids"))
+
+
+# quantiles, deposits, concentration
+
+
+def order_quantiles(spark, d):
+    o = table(spark, d, "orders")
+    return exact_quantiles(o, ["o_orderstatus"], "o_totalprice", [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]).select("o_orderstatus", "share", F.round("quantile", 6).alias("quantile"))
+
+
+HOLIDAYS = ["2024-05-01", "2024-05-09", "2024-06-12", "2024-11-04", "2025-01-01", "2025-01-02", "2025-01-03", "2025-01-06", "2025-01-07", "2025-01-08"]
+
+
+def demo_deposits(spark, d):
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    return c.select(
+        k.alias("deposit_id"), (1000 + F.abs("c_acctbal") * 10).cast("decimal(24,2)").alias("amount"), (4 + k % 15).cast("decimal(9,4)").alias("rate_pct"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 120).cast("int")).alias("opened"),
+        (1 + k % 24).cast("int").alias("months"), F.when(k % 4 == 0, None).otherwise(F.element_at(F.array(F.lit(1), F.lit(3), F.lit(6)), (k % 3 + 1).cast("int"))).alias("every"), (k % 2 == 0).alias("capitalised"), F.when(k % 5 == 0, 360).otherwise(365).alias("base"),
+    )
+
+
+def deposit_payments(spark, d):
+    return deposit_schedule(demo_deposits(spark, d), HOLIDAYS).select("deposit_id", "n", "due", "paid_on", "days", D("interest"), D("balance"), D("principal"))
+
+
+def _shares(spark, d):
+    v = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    currency = F.element_at(F.array(F.lit("RUB"), F.lit("USD"), F.lit("CNY")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    v = v.select((F.col("l_suppkey") % 10).alias("account_id"), F.col("p_brand").alias("issuer"), currency.alias("currency"), F.col("p_type").alias("kind"), F.col("l_extendedprice").alias("value"))
+    return concentration(v, "account_id", [["issuer"], ["currency"], ["kind"], ["currency", "kind"]])
+
+
+def concentration_shares(spark, d):
+    return _shares(spark, d).select("account_id", "cut", "issuer", "currency", "kind", D("value"), F.round("share", 8).alias("share"))
+
+
+def concentration_index(spark, d):
+    return herfindahl(_shares(spark, d), "account_id").select("account_id", "cut", "n", F.round("herfindahl", 8).alias("herfindahl"), F.round("top_share", 8).alias("top_share"))
+
+
 _NAV = f"""WITH RECURSIVE {LEDGER_SQL},
 lim AS (SELECT DATE '{UNTIL}' AS until),
 px AS (SELECT instrument_id, trade_date AS day, arg_max(price, id) AS price FROM ledger WHERE price IS NOT NULL AND instrument_id IS NOT NULL GROUP BY ALL HAVING (dayofmonth(trade_date) + instrument_id) % 3 <> 0),
@@ -235,11 +288,16 @@ FROM roots LEFT JOIN halve AS h ON h.k = roots.k AND h.n = {returns.HALVINGS}"""
 _FLOWS = f"SELECT account_id, day, -external_flow AS amount FROM nav UNION ALL SELECT account_id, day, nav FROM nav WHERE day = DATE '{UNTIL}'"
 _ORDERS = "SELECT o_custkey AS customer, o_orderdate::DATE AS day, CASE WHEN o_orderstatus = 'F' THEN -1 WHEN o_orderpriority LIKE '1%' THEN -2 ELSE 1 END * o_totalprice::DECIMAL(18,2) AS amount FROM orders"
 
+_SHARES = """WITH v AS (SELECT l_suppkey % 10 AS account_id, p_brand AS issuer, ['RUB', 'USD', 'CNY'][l_linenumber % 3 + 1] AS currency, p_type AS kind, l_extendedprice::DECIMAL(28,6) AS value FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT account_id, issuer, currency, kind, grouping_id(account_id, issuer, currency, kind)::BIGINT AS cut, sum(value) AS value FROM v GROUP BY GROUPING SETS ((account_id), (account_id, issuer), (account_id, currency), (account_id, kind), (account_id, currency, kind))),
+s AS (SELECT *, value::DOUBLE / max(CASE WHEN cut = 7 THEN value END) OVER (PARTITION BY account_id)::DOUBLE AS share FROM g)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         identity_chains, identity_codes, identity_conflicts, daily_prices, daily_nav, time_weighted, account_xirr, customer_xirr, ratings_known_on, rating_history_area, rating_at_purchase,
-        load_entries, ledger_totals, save_board_run,
+        load_entries, ledger_totals, save_board_run, append_new_keys, order_quantiles, deposit_payments, concentration_shares, concentration_index,
     )
 }
 SQL = {
@@ -264,4 +322,19 @@ SELECT m.mark_id, o.rating, o.entity_type AS source FROM mark AS m LEFT JOIN one
     "load_entries": f"WITH {LEDGER_SQL} SELECT row_number() OVER (ORDER BY trade_date, id) AS place, id, event_type, trade_date, instrument_id, quantity::DOUBLE AS quantity, amount::DOUBLE AS amount FROM ledger WHERE account_id = 3 AND trade_date <= DATE '{AS_OF}'",
     "ledger_totals": f"WITH {LEDGER_SQL} SELECT account_id, strftime(trade_date, '%Y-%m') AS month, count(*) AS n, sum(amount)::DOUBLE AS amount FROM ledger GROUP BY ALL",
     "save_board_run": f"WITH b AS ({VERIFY_SQL}) SELECT 'r1' AS run_id, 'TQCB' AS board, count(*) AS checked, count(*) FILTER (WHERE note <> 'ok') AS outliers FROM b UNION ALL SELECT 'r2', 'TQCB', count(*), count(*) FILTER (WHERE note <> 'ok') FROM b WHERE secid LIKE '%3'",
+    "append_new_keys": f"WITH {LEDGER_SQL}, came AS (SELECT natural_key, account_id, id, CASE WHEN id % 4 = 0 THEN 0 WHEN id % 4 = 1 THEN 1 WHEN id % 4 = 2 THEN 2 ELSE 3 END AS b FROM ledger UNION ALL SELECT natural_key, account_id, id + 1000000000, 1 FROM ledger WHERE id % 5 = 0), one AS (SELECT c.* FROM came AS c JOIN ledger AS l USING (natural_key) QUALIFY row_number() OVER (PARTITION BY natural_key ORDER BY c.b, c.id) = 1) SELECT account_id, count(*) AS n, count(DISTINCT natural_key) AS keys, sum(id)::BIGINT AS ids FROM one GROUP BY 1",
+    "order_quantiles": """WITH r AS (SELECT o_orderstatus, o_totalprice AS v, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice))
+SELECT o_orderstatus, p AS share, round(sum(v * greatest(0, 1 - abs(k - (n - 1) * p))), 6) AS quantile FROM r, (SELECT unnest([0.0, 0.25, 0.5, 0.9, 0.99, 1.0])::DOUBLE AS p) GROUP BY ALL""",
+    "deposit_payments": f"""WITH RECURSIVE t AS (SELECT c_custkey AS id, ((1000 + abs(c_acctbal) * 10)::DECIMAL(24,2) * 100)::BIGINT AS cents, 4 + c_custkey % 15 AS rate, DATE '2024-01-01' + (c_custkey % 120)::INT AS opened, (1 + c_custkey % 24)::INT AS months,
+  CASE WHEN c_custkey % 4 = 0 THEN (1 + c_custkey % 24)::INT ELSE [1, 3, 6][c_custkey % 3 + 1] END AS every, c_custkey % 2 = 0 AS cap, CASE WHEN c_custkey % 5 = 0 THEN 360 ELSE 365 END AS base FROM customer),
+cal AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2026-12-31', INTERVAL 1 DAY))::DATE AS day),
+work AS (SELECT day FROM cal WHERE isodow(day) < 6 AND day NOT IN ({', '.join(f"DATE '{h}'" for h in HOLIDAYS)})),
+biz AS (SELECT c.day, w.day AS paid FROM cal AS c ASOF JOIN work AS w ON w.day >= c.day),
+sch AS (SELECT t.*, k::INT AS k, CASE WHEN opened = last_day(opened) THEN last_day(opened + to_months(least(k * every, months)::INT)) ELSE (opened + to_months(least(k * every, months)::INT))::DATE END AS due FROM t, LATERAL (SELECT unnest(range(1, ceil(months / every)::INT + 1)) AS k)),
+s AS (SELECT sch.*, biz.paid, coalesce(lag(biz.paid) OVER (PARTITION BY id ORDER BY k), opened) AS since, max(k) OVER (PARTITION BY id) AS n FROM sch JOIN biz ON biz.day = sch.due),
+w AS (SELECT id, 0 AS k, cents AS bal, 0::BIGINT AS interest FROM t UNION ALL
+  SELECT id, k, CASE WHEN cap THEN bal + i ELSE bal END, i FROM (SELECT s.id, s.k, s.cap, w.bal, (2 * w.bal * s.rate * (s.paid - s.since) + 100 * s.base) // (200 * s.base) AS i FROM w JOIN s ON s.id = w.id AND s.k = w.k + 1))
+SELECT s.id AS deposit_id, s.k AS n, s.due, s.paid AS paid_on, s.paid - s.since AS days, w.interest / 100.0::DOUBLE AS interest, w.bal / 100.0::DOUBLE AS balance, CASE WHEN s.k = s.n THEN w.bal / 100.0::DOUBLE ELSE 0 END AS principal FROM s JOIN w ON w.id = s.id AND w.k = s.k""",
+    "concentration_shares": _SHARES + "SELECT account_id, cut, issuer, currency, kind, value::DOUBLE AS value, round(share, 8) AS share FROM s",
+    "concentration_index": _SHARES + ", r AS (SELECT *, row_number() OVER (PARTITION BY account_id, cut ORDER BY share DESC NULLS LAST) AS p FROM s) SELECT account_id, cut, count(*) AS n, round(sum(share * share), 8) AS herfindahl, round(sum(share) FILTER (WHERE p <= 5), 8) AS top_share FROM r GROUP BY ALL",
 }
