@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import let
 from tallyforge.operators.quantiles import exact_quantiles
-from tallyforge.operators.staging import staged
+from tallyforge.operators.staging import dealt_out, staged
 
 # Bounds of a yield, days a year, basis points that are still equal.
 LOW, HIGH, YEAR, THRESHOLD_BP = -0.99, 10.0, 365, 5
@@ -77,11 +77,6 @@ def discount(t: Column, y: Column, simple: bool = False) -> Column:
     return 1 + y * t if simple else F.pow(1 + y, t)
 
 
-def dealt_out(df: DataFrame, *cols: str) -> DataFrame:
-    """Rows that are small but dear to compute, over all shuffle partitions: by size alone they would be merged into one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
-
-
 def present_value(flows: Column, y: Column, simple: bool = False) -> Column:
     return F.aggregate(flows, F.lit(0.0), lambda s, f: s + f["a"] / discount(f["t"], y, simple))
 

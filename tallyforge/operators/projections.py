@@ -27,6 +27,12 @@ def cash_balances(ledger: DataFrame, as_of=None, by=("account_id", "currency"))
     return rows.groupBy(*by).agg(F.sum("amount").alias("amount"))
 
 
+def settled_cash(ledger: DataFrame, accounts: DataFrame, currency: str, as_of=None) -> DataFrame:
+    """(account_id, amount) of every account's cash in one currency; 0 where it has no entry in it."""
+    b = cash_balances(ledger.where(F.col("currency") == currency), as_of, ("account_id",))
+    return accounts.select("account_id").join(b, "account_id", "left").select("account_id", F.coalesce("amount", F.lit(0).cast("decimal(24,6)")).alias("amount"))
+
+
 def external_flow_by_day(ledger: DataFrame, by_currency: bool = False) -> DataFrame:
     keys = ["day", *(["currency"] if by_currency else [])]
     return ledger.where(F.col("event_type").isin(*EXTERNAL)).withColumn("day", F.coalesce("settlement_date", "trade_date")).groupBy(*keys).agg(F.sum("amount").alias("amount"))

@@ -32,6 +32,12 @@ def amortizations(files: DataFrame, key: str = "secid") -> DataFrame:
     return x.where("pay_date IS NOT NULL AND amount IS NOT NULL")
 
 
+def payment_units(files: DataFrame, key: str = "secid") -> DataFrame:
+    """(key, unit): the currencies that coupons and amortizations are told in."""
+    x = block_rows(files, "coupons").unionByName(block_rows(files, "amortizations"))
+    return x.select(F.col(key).alias("key"), c.exchange_currency(cell("faceunit")).alias("unit")).where("unit IS NOT NULL").distinct()
+
+
 def offers(files: DataFrame, key: str = "secid") -> DataFrame:
     word = F.lower(F.trim(cell("offertype")))
     kind = F.coalesce(*[F.when(word.isin(*words), k) for k, words in OFFER_KINDS.items()])
@@ -49,11 +55,12 @@ def schedules(securities: DataFrame, bondization: DataFrame, key: str = "secid")
     i, cup, amo, off = issues(securities, key), coupons(bondization, key), amortizations(bondization, key), offers(bondization, key)
     paid = amo.groupBy("key").agg(F.max("pay_date").alias("last"), F.sum("amount").alias("repaid"))
     empty = cup.groupBy("key").agg(F.bool_or(F.col("period_start") >= F.col("pay_date")).alias("empty"))
-    x = i.join(paid, "key", "left").join(empty, "key", "left")
+    units = payment_units(bondization, key).join(i.select("key", "currency"), "key").groupBy("key").agg(F.bool_or(F.col("unit") != F.col("currency")).alias("foreign"))
+    x = i.join(paid, "key", "left").join(empty, "key", "left").join(units, "key", "left")
     reason = (
         F.when(F.col("secid").isNull(), "no code").when(F.col("currency").isNull(), "no currency").when(F.col("initial_face").isNull(), "no face value")
         .when(F.col("initial_face") <= 0, "face value is not positive").when(F.col("last").isNull() & F.col("maturity_date").isNull(), "neither amortizations nor maturity")
-        .when(F.col("repaid") > F.col("initial_face"), "amortizations exceed the face value").when(F.col("empty"), "a coupon period is empty")
+        .when(F.col("repaid") > F.col("initial_face"), "amortizations exceed the face value").when(F.col("empty"), "a coupon period is empty").when(F.col("foreign"), "a payment is in another currency")
     )
     x = x.withColumn("reason", reason)
     good = x.where("reason IS NULL").select("key", "secid", "name", "currency", "initial_face", F.coalesce("maturity_date", "last").alias("maturity_date"), F.col("last").isNull().alias("whole"), F.col("maturity_date").alias("told"))

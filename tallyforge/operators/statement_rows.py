@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import cleaning as c
 from tallyforge.functions.cleaning import let
 from tallyforge.operators.matching import longest_phrase
+from tallyforge.operators.staging import dealt_out, staged
 
 # Phrases of sections, columns, totals, operations and directions.
 SECTIONS = {
@@ -125,17 +126,21 @@ def resolve_columns(names: Column) -> Column:
     return let(let(F.transform(names, c.normalize_signature), of), unique)
 
 
-def section_of(caption: Column, before: Column, columns: Column) -> Column:
-    """By the caption, then by the nearest text before the table, then by which columns there are."""
-    phrase = F.transform(F.concat(F.array(caption), F.reverse(before)), lambda t: longest_phrase(c.normalize_signature(t), by_phrase(SECTIONS)))
+def phrase_of(texts: Column) -> Column:
+    """The section that the first of the texts names: the caption, then the nearest text before the table. No phrase holds a digit."""
+    phrase = F.transform(texts, lambda t: longest_phrase(c.normalize_signature(t), by_phrase(SECTIONS)))
+    return F.get(F.filter(phrase, lambda s: s.isNotNull()), F.lit(0))
+
+
+def section_of(columns: Column) -> Column:
+    """By which columns there are."""
     has = lambda *names: reduce(lambda a, b: a | b, [F.map_contains_key(columns, n) for n in names])
-    by_columns = (
+    return (
         F.when(has("quantity") & has("price") & has("direction", "broker_trade_no"), "trades")
         .when(has("description") & has("credit", "debit", "amount"), "cash_flow")
         .when(has("closing_balance") & has("currency") & ~has("ticker"), "cash_balances")
         .when(has("closing_balance") & has("ticker", "isin"), "security_balances")
     )
-    return F.coalesce(F.get(F.filter(phrase, lambda s: s.isNotNull()), F.lit(0)), by_columns)
 
 
 def is_total(cells: Column) -> Column:
@@ -159,8 +164,13 @@ def statement_headers(parsed: DataFrame) -> DataFrame:
 def table_rows(parsed: DataFrame) -> DataFrame:
     """(report, idx, section, label, row, cells, names, columns) of all rows but totals."""
     t = parsed.select("report", F.explode("tables").alias("t")).select("report", "t.*").withColumn("names", column_names(F.col("headers"), F.col("rows")))
-    t = t.withColumn("columns", resolve_columns(F.col("names")))
-    t = t.withColumn("section", section_of(F.col("caption"), F.col("before"), F.col("columns")))
+    # statements of one broker share their headings and texts: each distinct list is looked up once
+    t = staged(t, "tables")
+    t = t.join(dealt_out(t.select("names").distinct()).withColumn("columns", resolve_columns(F.col("names"))), "names")
+    near = lambda x: F.regexp_replace(x, r"\d+", "0")
+    t = t.withColumn("said", F.transform(F.concat(F.array("caption"), F.reverse("before")), near))
+    said = dealt_out(t.select("said").distinct()).withColumn("phrase", phrase_of(F.col("said")))
+    t = t.join(said, "said").withColumn("section", F.coalesce("phrase", section_of(F.col("columns"))))
     label = F.get(F.filter(F.concat(F.array("caption"), F.reverse("before")), lambda x: x != ""), F.lit(0))
     numeric = F.exists("rows", lambda r: F.exists(r, lambda x: c.parse_decimal(x).isNotNull()) & (F.size(F.filter(r, lambda x: x != "")) >= 2))
     t = t.where(F.col("section").isNotNull() | ((F.size("names") >= 2) & numeric))

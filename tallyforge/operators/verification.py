@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import bonds as B
+from tallyforge.operators import store
 from tallyforge.sources.snapshots import save_run
 
 # A difference of accrued interest that still counts as none, and the currency of a plain issue.
@@ -73,5 +74,5 @@ def run_board(quotes: DataFrame, schedule: dict[str, DataFrame], path: str, run_
     """
     compared = verify_board(quotes, schedule["issues"], schedule["coupons"], schedule["amortizations"], schedule["offers"])
     top = save_run(compared, path, run_id, **header)
-    saved = compared.sparkSession.read.parquet(f"{path}/checks").where(F.col("run_id") == run_id)
+    saved = store.read(compared.sparkSession, path).where(F.col("run_id") == run_id)
     return top, B.distribution(saved), outliers(saved)

@@ -53,6 +53,13 @@ def ytm(spark, d):
     return _solved(spark, d).select("secid", "price_source", (F.round("own_yield", 8) + 0.0).alias("ytm"))
 
 
+def ytm_simple(spark, d):
+    """Yields by simple compounding, in which a payment t years off is divided by 1 + y t."""
+    _, c, a, _, _, ask = _all(spark, d)
+    x = B.dealt_out(_priced(spark, d).join(B.flow_arrays(B.future_flows(ask, c, a)), ["secid", "on_date"], "left"), "secid", "price_source")
+    return x.select("secid", "price_source", (F.round(B.solve_yield(F.col("flows"), F.col("price"), simple=True), 7) + 0.0).alias("ytm"))
+
+
 def duration(spark, d):
     x = _solved(spark, d).withColumn("years", B.macaulay(F.col("flows"), F.col("own_yield")))
     return x.select("secid", "price_source", "years", B.modified_duration(F.col("years"), F.col("own_yield")).alias("modified"))
@@ -137,18 +144,20 @@ sol AS (SELECT secid, price_source, price, ts, xs, -0.99::DOUBLE AS lo, 10.0::DO
 
 
 _YTM = _bisect("flo", "own")
+_SIMPLE = _YTM.replace("pow(1 + (lo + hi) / 2, ts[j])", "(1 + (lo + hi) / 2 * ts[j])").replace("pow(0.01, ts[j])", "(1 + greatest(-0.99, -1 / list_max(ts) + 1e-9) * ts[j])").replace("pow(11, ts[j])", "(1 + 10 * ts[j])").replace("-0.99::DOUBLE AS lo", "greatest(-0.99::DOUBLE, -1 / list_max(ts) + 1e-9) AS lo")
 _YTP = r""", nof AS (SELECT secid, min(offer_date) AS od, arg_min(coalesce(price_pct, 100), offer_date) AS pct FROM off WHERE offer_date > DATE '2025-03-02' AND {} GROUP BY ALL),
 fof AS (SELECT secid, pay_date, amount FROM flo JOIN nof USING (secid) WHERE pay_date <= od
   UNION ALL SELECT secid, od, paid FROM (SELECT nof.secid, od, (1000 - coalesce(sum(amount) FILTER (pay_date <= od), 0)) * pct / 100.0::DOUBLE AS paid FROM nof LEFT JOIN amo USING (secid) GROUP BY nof.secid, od, pct) WHERE paid > 0)""" + _bisect("fof", "own")
 _CMP = r""", cmp AS (SELECT secid, price_source, round((y - published_yield) * 10000, 2) AS diff_bp, y, published_yield, secid IN (SELECT secid FROM flo WHERE amount IS NULL) AS unknown,
   secid IN (SELECT secid FROM off WHERE offer_date > DATE '2025-03-02') AS offer FROM own)"""
-QUERIES = {f.__name__: f for f in (face_value, accrued_interest, dirty_price, future_flows, ytm, duration, ytp, ytp_put, current_yield, g_spread, settlement_match, yield_compare, yield_distribution, yield_outliers, year_fractions)}
+QUERIES = {f.__name__: f for f in (face_value, accrued_interest, dirty_price, future_flows, ytm, ytm_simple, duration, ytp, ytp_put, current_yield, g_spread, settlement_match, yield_compare, yield_distribution, yield_outliers, year_fractions)}
 SQL = {
     "face_value": _B + _STATE + " SELECT secid, face::DOUBLE AS face FROM fac",
     "accrued_interest": _B + _STATE + " SELECT * FROM acc",
     "dirty_price": _B + _STATE + " SELECT secid, price_source, round(price, 6) AS price FROM pri",
     "future_flows": _B + _STATE + " SELECT secid, count(*) AS n, sum(amount::DECIMAL(24,6))::DOUBLE AS total, max(pay_date) AS last, bool_or(amount IS NULL) AS unknown FROM flo GROUP BY ALL",
     "ytm": _B + _STATE + _YTM + " SELECT secid, price_source, round(y, 8) + 0.0::DOUBLE AS ytm FROM own",
+    "ytm_simple": _B + _STATE + _SIMPLE + " SELECT secid, price_source, round(y, 7) + 0.0::DOUBLE AS ytm FROM own",
     "duration": _B + _STATE + _YTM + r""", du AS (SELECT *, round(list_sum(list_transform(range(1, len(ts) + 1), lambda j: ts[j] * xs[j] / pow(1 + y, ts[j]))) / list_sum(list_transform(range(1, len(ts) + 1), lambda j: xs[j] / pow(1 + y, ts[j]))), 8) AS years FROM own)
     SELECT secid, price_source, years, round(years / (1 + y), 8) AS modified FROM du""",
     "ytp": _B + _STATE + _YTP.format("true") + " SELECT secid, price_source, round(y, 8) AS ytp FROM own WHERE secid IN (SELECT secid FROM nof)",

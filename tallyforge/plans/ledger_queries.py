@@ -22,6 +22,13 @@ def cash_asof(spark, d):
     return P.cash_balances(demo_ledger(spark, d), AS_OF).select("account_id", "currency", D("amount"))
 
 
+def settled_cash(spark, d):
+    """Twelve accounts' cash in two currencies; two accounts have no entries, and none has a dollar."""
+    x, accounts = demo_ledger(spark, d), spark.range(12).select(F.col("id").cast("int").alias("account_id"))
+    one = lambda code: P.settled_cash(x, accounts, code, AS_OF).select("account_id", F.lit(code).alias("currency"), D("amount"))
+    return one("RUB").unionByName(one("USD"))
+
+
 def external_flow(spark, d):
     return P.external_flow_by_day(demo_ledger(spark, d)).select("day", D("amount"))
 
@@ -179,12 +186,13 @@ _REC = r"""act AS (SELECT account_id AS code, 'a' || account_id AS report_id, 'c
   UNION ALL SELECT account_id * 20 + instrument_id, 'a' || account_id, 'security', instrument_id::VARCHAR, sum(quantity)::DOUBLE FROM ledger WHERE event_type IN ('BUY', 'SELL') AND trade_date <= DATE '2024-01-20' GROUP BY ALL HAVING sum(quantity) <> 0),
 rec AS (SELECT report_id, kind, key, CASE code % 7 WHEN 0 THEN q + 1 ELSE 0 END AS expected, q AS actual, CASE code % 7 WHEN 0 THEN -1 ELSE q END::DOUBLE AS difference FROM act WHERE code % 7 = 0 OR code % 7 = 1 AND q <> 0)"""
 QUERIES = {f.__name__: f for f in (
-    positions_asof, cash_asof, external_flow, fifo_lots, negative_positions, reversal_check, live_rows, duplicate_keys, currency_check, natural_keys, idempotent_diff,
+    positions_asof, cash_asof, settled_cash, external_flow, fifo_lots, negative_positions, reversal_check, live_rows, duplicate_keys, currency_check, natural_keys, idempotent_diff,
     declarative_diff, reconcile, check_all_reports, inbox, money_sum, clean_numbers, clean_dates, clean_currency, signature_normalize, longest_phrase, raw_dedupe,
 )}
 _L = f"WITH {LEDGER_SQL} "
 SQL = {
     "positions_asof": _L + "SELECT account_id, instrument_id, sum(quantity)::DOUBLE AS quantity FROM ledger WHERE event_type IN ('BUY', 'SELL') AND trade_date <= DATE '2024-01-20' GROUP BY ALL HAVING sum(quantity) <> 0",
+    "settled_cash": _L + f" SELECT a AS account_id, c AS currency, coalesce((SELECT sum(amount) FROM ledger WHERE account_id = a AND currency = c AND settlement_date <= DATE '{AS_OF}'), 0)::DOUBLE AS amount FROM range(12) AS r(a), (VALUES ('RUB'), ('USD')) AS v(c)",
     "cash_asof": _L + "SELECT account_id, currency, sum(amount)::DOUBLE AS amount FROM ledger WHERE settlement_date <= DATE '2024-01-20' GROUP BY ALL",
     "external_flow": _L + "SELECT settlement_date AS day, sum(amount)::DOUBLE AS amount FROM ledger WHERE event_type = 'CASH_IN' GROUP BY ALL",
     "fifo_lots": f"WITH {LEDGER_SQL}, {_FIFO}",

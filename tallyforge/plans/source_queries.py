@@ -63,8 +63,8 @@ def _text(*cells) -> Column:
     return F.array(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in cells])
 
 
-def demo_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(secid, content) of descriptions and of payments. Issues divisible by 13 have no face value; only those divisible by 5 list amortizations."""
+def demo_answers(spark: SparkSession, sf_dir: str, units: bool = False) -> tuple[DataFrame, DataFrame]:
+    """With ``units``, payments tell their currency, a wrong one in the coupons of issues divisible by 17 and in amortizations of those by 25. (secid, content) of descriptions and of payments. Issues divisible by 13 have no face value; only those divisible by 5 list amortizations."""
     i = demo_issues(spark, sf_dir)
     face = F.when(F.col("pk") % 13 != 0, F.col("initial_face").cast("decimal(18,2)"))
     d = F.array(_text("SECID", F.col("secid")), _text("FACEUNIT", "SUR"), _text("INITIALFACEVALUE", face), _text("MATDATE", F.col("maturity_date")))
@@ -73,9 +73,13 @@ def demo_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     c = rows(demo_coupons(i), _text(F.col("period_start"), F.col("pay_date"), F.coalesce(F.col("amount"), F.lit(0)), F.col("rate_pct"))).withColumnRenamed("data", "c")
     a = rows(demo_amortizations(i.where("pk % 5 = 0")), _text(F.col("pay_date"), F.col("amount"))).withColumnRenamed("data", "a")
     o = rows(demo_offers(i), _text(F.col("offer_date"), "Оферта", F.col("price_pct"))).withColumnRenamed("data", "o")
+    if units:
+        told = lambda name, n, unit: F.transform(name, lambda r: F.concat(r, F.array(F.when(F.substring("secid", 2, 20).cast("long") % n == 0, unit).otherwise("SUR"))))
+        c, a = c.withColumn("c", told("c", 17, "USD")), a.withColumn("a", told("a", 25, "CNY"))
+    more = ("faceunit",) if units else ()
     x = i.select("secid").join(c, "secid", "left").join(a, "secid", "left").join(o, "secid", "left")
     none = F.array().cast("array<array<string>>")
-    blocks = F.struct(_block(("startdate", "coupondate", "value", "valueprc"), F.coalesce("c", none)).alias("coupons"), _block(("amortdate", "value"), F.coalesce("a", none)).alias("amortizations"), _block(("offerdate", "offertype", "price"), F.coalesce("o", none)).alias("offers"))
+    blocks = F.struct(_block(("startdate", "coupondate", "value", "valueprc", *more), F.coalesce("c", none)).alias("coupons"), _block(("amortdate", "value", *more), F.coalesce("a", none)).alias("amortizations"), _block(("offerdate", "offertype", "price"), F.coalesce("o", none)).alias("offers"))
     return securities, x.select("secid", F.to_json(blocks, {"ignoreNullFields": "false"}).alias("content"))
 
 
@@ -86,6 +90,11 @@ def schedule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.unionByName(s["rejects"].select("secid", none("string", "currency"), none("double", "initial_face"), none("date", "maturity_date"), "reason"))
 
 
+def schedule_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = S.schedules(*demo_answers(spark, sf_dir, units=True))
+    return s["rejects"].select("secid", "reason")
+
+
 def schedule_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.schedules(*demo_answers(spark, sf_dir))
     c = s["coupons"].select("secid", F.lit("coupon").alias("kind"), "pay_date", F.col("amount").cast("double").alias("amount"))
@@ -117,7 +126,7 @@ _KEY = "substr(sha256('k1|csv|A-' || c_nationkey || '|' || day || '|' || usual |
 _SIGNED = "CASE WHEN usual = 'CASH_OUT' THEN -abs({0}) ELSE {0} END"
 _NEW = "(c_acctbal::DECIMAL(18,2) + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END)::DOUBLE"
 
-QUERIES = {"csv_rows": csv_rows, "csv_entries": csv_entries, "csv_import": csv_import, "schedule_issues": schedule_issues, "schedule_payments": schedule_payments, "board_quotes": board, "resolve_instruments": instruments}
+QUERIES = {"csv_rows": csv_rows, "csv_entries": csv_entries, "csv_import": csv_import, "schedule_issues": schedule_issues, "schedule_currencies": schedule_currencies, "schedule_payments": schedule_payments, "board_quotes": board, "resolve_instruments": instruments}
 SQL = {
     "csv_rows": f"""WITH {_CSV} SELECT file, line, k::VARCHAR AS row_id, 'A-' || c_nationkey AS account, day AS date, CASE WHEN gift THEN 'GIFT' ELSE usual END AS kind, amt AS amount, 'RUB' AS currency,
   CASE WHEN gift THEN 'line ' || line || ', field kind: GIFT' ELSE '' END AS problem FROM c""",
@@ -129,6 +138,7 @@ SELECT 0 AS place, 'reversal:' || key AS natural_key, usual AS event_type, 'cash
 UNION ALL SELECT CASE WHEN old THEN 1 ELSE 2 END, CASE WHEN old THEN key || ':r1' ELSE key END, usual, 'cash_flows:' || k, b, NULL FROM x WHERE new AND (NOT old OR a <> b)""",
     "schedule_issues": f"""WITH {BONDS_SQL} SELECT secid, CASE WHEN pk % 13 <> 0 THEN 'RUB' END AS currency, CASE WHEN pk % 13 <> 0 THEN 1000::DOUBLE END AS initial_face, CASE WHEN pk % 13 <> 0 THEN issue_date + 182 * n END AS maturity_date,
   CASE WHEN pk % 13 = 0 THEN 'no face value' END AS reason FROM iss""",
+    "schedule_currencies": f"""WITH {BONDS_SQL} SELECT secid, CASE WHEN pk % 13 = 0 THEN 'no face value' ELSE 'a payment is in another currency' END AS reason FROM iss WHERE pk % 13 = 0 OR pk % 17 = 0 OR pk % 25 = 0""",
     "schedule_payments": f"""WITH {BONDS_SQL}, good AS (SELECT secid, issue_date + 182 * n AS ends FROM iss WHERE pk % 13 <> 0)
 SELECT secid, 'coupon' AS kind, pay_date, cents / 100.0::DOUBLE AS amount FROM cup JOIN good USING (secid)
 UNION ALL SELECT secid, CASE WHEN pay_date = ends THEN 'maturity' ELSE 'amortization' END, pay_date, amount::DOUBLE FROM amo JOIN good USING (secid)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.functions import cleaning as c
+from tallyforge.operators import imports as I
 from tallyforge.operators import statement_rows as R
+from tallyforge.operators.staging import staged
 from tallyforge.plans.demo import table
 from tallyforge.sources.statements import statements
 
@@ -45,6 +48,51 @@ def demo_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("report"), body.alias("content"))
 
 
+def controlled_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements with control totals of cash and securities at the day's end. Users divisible by 7 are told one too much cash, those divisible by 11 no securities."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int")).where(F.col("event_type").isNotNull())
+    cents, n = F.floor(F.col("value") * 100).cast("long"), (1 + F.col("k") % 10).cast("long")
+    t, fee = F.col("event_type"), F.when(F.col("k") % 3 == 0, F.floor(F.col("value") * 100).cast("long") % 300).otherwise(0)
+    moved = F.when(t == "purchase", -n * cents - fee).when(t == "click", n * cents - fee).when(t.isin("view", "signup"), cents).otherwise(-cents)
+    held = F.when(t == "purchase", n).when(t == "click", -n)
+    e = e.select("user_id", F.to_date("ts").alias("day"), moved.alias("moved"), held.alias("held"), F.when(held.isNotNull(), F.col("k") % 20).cast("int").alias("ticker"))
+    run = lambda c, *by: F.sum(c).over(W.partitionBy(*by).orderBy("day"))
+    cash = e.groupBy("user_id", "day").agg(F.sum("moved").alias("moved")).select("user_id", "day", run("moved", "user_id").alias("cash"))
+    sums = e.where("ticker IS NOT NULL").groupBy("user_id", "day", "ticker").agg(F.sum("held").alias("held"))
+    grid = cash.select("user_id", "day").join(sums.select("user_id", "ticker").distinct(), "user_id").join(sums, ["user_id", "day", "ticker"], "left")
+    left = grid.select("user_id", "day", "ticker", run(F.coalesce("held", F.lit(0)), "user_id", "ticker").alias("held")).where("held <> 0")
+    lines = left.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("ticker", _row(F.concat(F.lit("T"), "ticker"), F.col("held").cast("string")).alias("line")))).alias("s"))
+    money = c.format_decimal(((F.col("cash") + F.when(F.col("user_id") % 7 == 0, 100).otherwise(0)).cast("decimal(20,0)") / 100).cast("decimal(18,2)"), 2)
+    totals = cash.join(lines, ["user_id", "day"], "left").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("report"),
+        F.concat(
+            _table("Остатки денежных средств", ("Валюта", "Исходящий остаток"), F.array(_row(F.lit("RUB"), money))),
+            F.when(F.col("s").isNull() | (F.col("user_id") % 11 == 0), "").otherwise(_table("Портфель по ценным бумагам", ("Тикер", "Исходящий остаток"), F.transform("s", lambda r: r["line"]))),
+        ).alias("totals"),
+    )
+    return demo_statements(spark, sf_dir).join(totals, "report").select("report", F.replace("content", F.lit("</body>"), F.concat("totals", F.lit("</body>"))).alias("content"))
+
+
+def statement_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = staged(statements(controlled_statements(spark, sf_dir), "report", "content"), "parsed")
+    b = R.statement_balances(R.mapped_rows(R.table_rows(parsed)), R.statement_headers(parsed))
+    return b.select("report", "kind", "ticker", F.col("quantity").cast("double").alias("quantity"), F.when(F.col("kind") == "cash", F.col("currency")).alias("currency"), "as_of")
+
+
+def import_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import into an empty ledger: which statements are committed, with how many rows, and how many totals differ by how much cash."""
+    parsed = staged(statements(controlled_statements(spark, sf_dir), "report", "content"), "parsed")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    ledger = empty(", ".join(f"{k} {v}" for k, v in I.LEDGER.items()))
+    accounts = empty("account_id long, code string, name string, kind string, currency string")
+    instruments = empty("instrument_id long, ticker string, isin string, name string, kind string, currency string")
+    done = I.import_statements(parsed, ledger, accounts, instruments)
+    rows = done.rows.groupBy(F.col("source_report").alias("report")).agg(F.count("*").alias("taken"))
+    off = done.discrepancies.groupBy(F.col("report_id").alias("report")).agg(F.count("*").alias("differ"), F.sum(F.when(F.col("kind") == "cash", F.col("difference"))).cast("double").alias("cash_off"))
+    x = done.reports.join(rows, "report", "left").join(off, "report", "left")
+    return x.select("report", "period_end", "committed", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("differ", F.lit(0)).alias("differ"), "cash_off")
+
+
 def statement_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = R.statement_operations(R.mapped_rows(R.table_rows(statements(demo_statements(spark, sf_dir), "report", "content"))))
     d = lambda x: F.col(x).cast("double").alias(x)
@@ -58,7 +106,15 @@ def statement_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS = r"""e AS (SELECT *, regexp_extract(props, '(\d+)', 1)::INT AS k, floor(value * 100)::BIGINT AS cents, ts::DATE AS day,
   concat_ws('-', user_id::VARCHAR, (ts::DATE)::VARCHAR) AS report FROM events WHERE event_type IS NOT NULL)"""
 
-QUERIES = {"statement_operations": statement_operations, "statement_headers": statement_headers}
+_TOTALS = rf"""WITH {_EVENTS},
+x AS (SELECT report, user_id, day, CASE event_type WHEN 'purchase' THEN 1 + k % 10 WHEN 'click' THEN -(1 + k % 10) END AS q, (k % 20)::INT AS ticker, CASE WHEN k % 3 = 0 THEN cents % 300 ELSE 0 END AS fee, cents, event_type,
+  CASE WHEN event_type IN ('purchase', 'click') THEN 1 + (k % 3 = 0 AND cents % 300 <> 0)::INT ELSE 1 + (event_type = 'view' AND k % 4 = 0 AND cents % 500 <> 0)::INT END AS n FROM e),
+dy AS (SELECT report, user_id, day, sum(n)::BIGINT AS n, sum(CASE WHEN q IS NOT NULL THEN -q * cents - fee WHEN event_type IN ('view', 'signup') THEN cents ELSE -cents END) AS moved FROM x GROUP BY ALL),
+ud AS (SELECT report, user_id, day, n, sum(moved) OVER (PARTITION BY user_id ORDER BY day) AS cash FROM dy),
+held AS (SELECT ud.report, ud.user_id, ud.day, x.ticker, sum(x.q) AS held FROM ud JOIN x ON x.user_id = ud.user_id AND x.day <= ud.day AND x.q IS NOT NULL GROUP BY ALL HAVING sum(x.q) <> 0)
+"""
+
+QUERIES = {f.__name__: f for f in (statement_operations, statement_headers, statement_balances, import_reports)}
 SQL = {
     "statement_operations": f"""
 WITH {_EVENTS},
@@ -72,4 +128,8 @@ UNION ALL SELECT report, CASE event_type WHEN 'view' THEN 'COUPON' WHEN 'signup'
 UNION ALL SELECT report, 'TAX', day, NULL, NULL, NULL, NULL, NULL, -tc / 100.0::DOUBLE, 'RUB', NULL, true FROM m WHERE tc <> 0
 """,
     "statement_headers": f"WITH {_EVENTS} SELECT DISTINCT report, day AS period_start, day AS period_end, 'U-' || user_id::VARCHAR AS account_code FROM e",
+    "statement_balances": _TOTALS + """SELECT report, 'cash' AS kind, NULL AS ticker, (cash + CASE WHEN user_id % 7 = 0 THEN 100 ELSE 0 END) / 100.0::DOUBLE AS quantity, 'RUB' AS currency, day AS as_of FROM ud
+UNION ALL SELECT report, 'security', 'T' || ticker, held::DOUBLE, NULL, day FROM held WHERE user_id % 11 <> 0""",
+    "import_reports": _TOTALS + """, h AS (SELECT report, count(*) AS m FROM held WHERE user_id % 11 = 0 GROUP BY 1)
+SELECT report, day AS period_end, user_id % 7 <> 0 AND m IS NULL AS committed, CASE WHEN user_id % 7 <> 0 AND m IS NULL THEN n ELSE 0 END AS taken, coalesce(m, 0) + (user_id % 7 = 0)::INT AS differ, CASE WHEN user_id % 7 = 0 THEN -1.0::DOUBLE END AS cash_off FROM ud LEFT JOIN h USING (report)""",
 }

@@ -80,10 +80,10 @@ def read_snapshots(spark: SparkSession, root: str, day: str | None = None, endpo
 
 def vanished(catalog: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     """Catalog rows whose file (by its path below ``root``) is no longer there."""
-    under = F.lit(f"/{root.split('://')[-1].strip('/')}/")
+    under = f"/{root.split('://')[-1].strip('/')}/"
     name = lambda p: F.regexp_extract(p, r"([^/]+)$", 1)
     # what follows the root in the path; the file's name for a catalog that was made elsewhere
-    key = lambda p: F.when(F.contains(p, under), F.substring_index(p, under, -1)).otherwise(F.concat(F.lit("/"), name(p)))
+    key = lambda p: F.when(F.contains(p, F.lit(under)), F.substring_index(p, under, -1)).otherwise(F.concat(F.lit("/"), name(p)))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     there = files.select(F.explode(F.array(key(F.col("path")), F.concat(F.lit("/"), name(F.col("path"))))).alias("_key")).distinct()
     return catalog.join(there, key(catalog["path"]) == there["_key"], "left_anti")

@@ -1,19 +1,23 @@
 """Broker statements in HTML (S1, S2): one row per statement, with its tables, in parallel by file.
 
-The Python stage only turns markup into cells. A task holds one statement at a time, and
+The Python stage only turns markup into cells. A task holds a hundred statements at a time, and
 everything after it (sections, columns, rows) is column expressions without a shuffle.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators.staging import dealt_out
+
 # Encodings tried after the declared one, spaces, elements without an end tag.
 ENCODINGS = ("utf-8", "cp1251", "koi8-r")
 SPACE = re.compile("[ \\t\\r\\n          ]+")
@@ -32,15 +36,21 @@ TEXTS = 3
 TABLES = "array<struct<idx int, caption string, before array<string>, headers array<string>, rows array<array<string>>>>"
 
 
+def readable(content: bytes, name: str) -> bool:
+    """Whether the bytes are valid in the encoding, and the encoding is known."""
+    try:
+        codecs.getincrementaldecoder(name)("strict").decode(content, True)
+    except (LookupError, UnicodeDecodeError):
+        return False
+    return True
+
+
 def decode(content: bytes | None) -> str:
+    """The text in the declared encoding, if the bytes are valid in it, else in the first usual one in which they are."""
     content = bytes(content or b"")
-    declared = CHARSET.search(content[:4096])
-    for name in [*([declared[1].decode("ascii").lower()] if declared else []), *ENCODINGS]:
-        try:
-            return content.decode(name)
-        except (LookupError, UnicodeDecodeError):
-            continue
-    return content.decode("utf-8", "replace")
+    declared = [m.decode("ascii").lower() for m in CHARSET.findall(content[:4096])[:1]]
+    encoding = next(filter(lambda name: readable(content, name), chain(declared, ENCODINGS)), None)
+    return content.decode(encoding) if encoding else content.decode("utf-8", "replace")
 
 
 class Tables(HTMLParser):
@@ -140,19 +150,26 @@ def table_of(found: dict) -> dict:
     return {"idx": found["idx"], "caption": found["caption"] or "", "before": found["before"], "headers": header, "rows": rows}
 
 
+#: Statements whose tables are held at once.
+TOGETHER = 100
+
+
 def statements(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
     """(report, text, tables) of every file: its decoded markup and its tables in document order.
 
     Null or blank content has no tables; equal files give equal rows.
     """
     d = files.select(F.col(id_col).cast("string").alias("report"), F.col(content_col).cast("binary").alias("content"))
+    # parsing is dear and bytes are few: by size alone many statements would be one task's
+    d = dealt_out(d, "report")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples():
-                text = decode(r.content)
-                tables = [table_of(t) for t in Tables(text).found] if text.strip() else []
-                yield pd.DataFrame({"report": [r.report], "text": [text], "tables": [tables]})
+            for at in range(0, len(pdf), TOGETHER):
+                part = pdf.iloc[at : at + TOGETHER]
+                texts = [decode(x) for x in part["content"]]
+                tables = [[table_of(t) for t in Tables(x).found] if x.strip() else [] for x in texts]
+                yield pd.DataFrame({"report": part["report"].to_numpy(), "text": texts, "tables": pd.Series(tables, dtype=object)})
 
     return d.mapInPandas(run, f"report string, text string, tables {TABLES}")
 
