@@ -9,16 +9,20 @@ over the residual graph) labels all blocks of a page at once, so a short line or
 between paragraphs of an article goes with them.
 
 The classifier's inputs are the block's text (length, links, how it ends, likeness to
-the page's title), its place (tag, depth, what stands under the same parent, how far
-down the page) and words of class and id names. Elements that state a role are no
-inputs. Its labels come from a bounded sample of pages that have an article or main
-element: blocks in it are content, blocks outside it are not, and blocks whose element
-in it states another role teach nothing. Weights start from, and are held near, prior
-ones, which serve alone where no page has such an element.
-
-Navigation, footers, asides, forms and the like cannot be content by their meaning;
-such an element adds a fixed cost to calling its blocks content (``STATED``). An article
-element adds none: what is content, the classifier and the cut decide.
+the page's title), its place (tag, depth, what stands under the same parent, how
+far down the page), words of class and
+id names (of its element and the one around it, and apart from these of elements further
+out), and whether it stands in a navigation, footer, aside, form or the like. A name with a
+word that turns it round (no-sidebar, comments-open) counts as none. An article or main
+element ends what the elements around it say; and an element that holds an article, the
+page's heading, or both a header and a footer, only wraps the page and says nothing.
+
+All weights are learned, none is beyond what the cut can turn. Labels come from a bounded
+sample of pages that have an article or main element: blocks in it are content, blocks
+outside it are not. Text and place learn first; then what names and elements say is learned
+on top of that, where blocks in an article whose names or elements speak against them count
+with the probability that text and place give them. Weights start from, and are held near, prior ones,
+which serve alone where no page has such an element.
 
 Defined cases: null and empty html give an empty text; markup that never closes ends
 with the page; text outside any element is a block; scripts, styles, the head and
@@ -44,7 +48,7 @@ from tallyforge.llm.common import hashed_sample, table
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^<>])*+)>|<[!?][^>]*>""")
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 
@@ -59,19 +63,23 @@ CHROME_WORDS = frozenset(
     "share sharing subscribe newsletter signup login".split()
 )
 VAGUE_WORDS = frozenset("rail widget header social related recommended pagination pager tags toc legal copyright".split())
+TURNED = frozenset("no not without has with open opened closed enabled disabled hide hidden".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd figcaption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 SHUTS_P = frozenset("p h1 h2 h3 h4 h5 h6 ul ol div section article table blockquote pre hr form footer header nav aside main dl figure".split())
 
 #: Pages from which the classifier learns, at most.
 SAMPLE = 1_000
-#: Weights of edges: one parent, a parent in the other's, one parent across a gap, others (by distance in the tree).
-NEAR, NESTED, SAME_PARENT, FAR = 3.0, 2.5, 1.5, 0.3
-#: Cost of calling a block content whose element states another role, and bound of the classifier's log-odds.
-STATED, MOST = 20.0, 12.0
+#: Weights of edges: one parent, a parent in the other's, one parent across a gap, others (by distance in the tree), a block and the long texts around it.
+NEAR, NESTED, SAME_PARENT, FAR, BETWEEN = 3.0, 2.5, 1.5, 0.3, 1.5
+#: What standing in an article or main element adds to the log-odds; it can't be learned, as the labels come from it.
+INSIDE = 1.5
+#: Bound of the classifier's log-odds; characters from which a block's text is long.
+MOST, LONG = 12.0, 100
 #: The inputs, and the weights that hold before any page is seen (the first is the bias).
-INPUTS = ("bias", "length", "linked", "sentence", "short", "paragraph", "heading", "title", "item", "siblings", "parent text", "parent linked", "named", "named vaguely", "top", "bottom", "depth")
-PRIOR = np.array([-1.5, 0.8, -3.0, 0.8, -0.5, 0.8, 0.5, 1.0, -0.5, 0.8, 1.2, -2.0, -12.0, -1.0, 0.0, 0.0, 0.0])
+INPUTS = ("bias", "length", "linked", "sentence", "short", "paragraph", "heading", "title", "item", "siblings", "parent text", "parent linked", "named", "named above", "vague", "stated", "top", "bottom", "depth")
+PRIOR = np.array([-1.5, 0.8, -3.0, 0.8, -0.5, 0.8, 0.5, 1.0, -0.5, 0.8, 1.2, -2.0, -5.0, -2.5, -1.0, -6.0, 0.0, 0.0, 0.0])
+SAYING = [INPUTS.index(x) for x in ("named", "named above", "vague", "stated")]
 #: Elements above a block's parent that count for distances in the tree.
 REACH = 6
 #: How firmly the prior holds, counted in pages of a sample.
@@ -79,16 +87,49 @@ FIRMNESS = 0.02
 
 
 class Block:
-    __slots__ = ("text", "linked", "stated", "inside", "named", "vague", "tag", "parent", "depth", "above")
+    __slots__ = ("text", "linked", "tag", "element", "parent", "depth", "above", "stated", "inside", "named", "far", "vague")
 
-    def __init__(self, text, linked, stated, inside, named, vague, tag, parent, depth, above):
-        self.text, self.linked, self.tag, self.depth = text, linked, tag, depth
+    def __init__(self, text, linked, tag, element, parent, depth, above):
+        self.text, self.linked, self.tag, self.depth, self.element = text, linked, tag, depth, element
         #: number of the element that holds the block's paragraph, and of those around it, from the inside
         self.parent, self.above = parent, above
+
+    def told(self, e: Element, around: Element) -> None:
+        """What the innermost element and the one around it say."""
         #: in an element that states another role; in an article or main element
-        self.stated, self.inside = stated, inside
-        #: its element, or one around it, has a word of the first or of the second list in its names
-        self.named, self.vague = named, vague
+        self.stated, self.inside = e.stated, e.inside
+        #: its element or the one around it has a word of the first list in its names, one further out has, one of the second list
+        near = e.own or (around.own and not e.content)
+        self.named, self.far, self.vague = near, e.named and not near, e.vague
+
+
+#: What an element may hold.
+HEADED, ARTICLE, FOOTED, TOPPED = 1, 2, 4, 8
+HOLDS = {"h1": HEADED, "article": ARTICLE, "main": ARTICLE, "footer": FOOTED, "header": TOPPED, "nav": TOPPED}
+
+
+class Element:
+    __slots__ = ("tag", "content", "role", "own", "maybe", "gone", "holds", "up", "stated", "inside", "named", "vague", "hidden")
+
+    def __init__(self, tag: str, attrs: str, up: int):
+        self.tag, self.up, self.content, self.role, self.holds = tag, up, tag in CONTENT, tag in CHROME, 0
+        self.own, self.maybe, self.gone = names_of(attrs) if attrs else (False, False, False)
+        if tag in ("html", "body") or self.content:
+            self.own = self.maybe = False
+
+    def told(self, around: Element) -> None:
+        """Take in what the element around it says; called from the outside in, once all elements are known."""
+        wraps = bool(self.holds & ARTICLE) or self.holds & (FOOTED | TOPPED) == FOOTED | TOPPED
+        if self.tag not in ("header", "nav", "aside", "footer"):
+            wraps = wraps or bool(self.holds & HEADED)
+        self.own, self.maybe = self.own and not wraps, self.maybe and not wraps
+        self.inside = around.inside or self.content
+        # a header inside an article is the article's own
+        role = self.role and not wraps and not (self.tag == "header" and around.inside)
+        self.stated = not self.content and (around.stated or role)
+        self.named = not self.content and (around.named or self.own)
+        self.vague = not self.content and (around.vague or self.maybe)
+        self.hidden = around.hidden or self.gone
 
 
 def names_of(attrs: str) -> tuple[bool, bool, bool]:
@@ -97,8 +138,10 @@ def names_of(attrs: str) -> tuple[bool, bool, bool]:
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").lower()
         if name in ("class", "id", "role"):
-            words = TOKEN.findall(value)
-            named, vague = named or not CHROME_WORDS.isdisjoint(words), vague or not VAGUE_WORDS.isdisjoint(words)
+            for one in value.split():
+                words = TOKEN.findall(one)
+                if TURNED.isdisjoint(words):
+                    named, vague = named or not CHROME_WORDS.isdisjoint(words), vague or not VAGUE_WORDS.isdisjoint(words)
         elif name == "hidden" or name == "aria-hidden" and "true" in value or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
     return named, vague, hidden
@@ -106,20 +149,18 @@ def names_of(attrs: str) -> tuple[bool, bool, bool]:
 
 def blocks_of(html: str) -> list[Block]:
     html = RAW.sub(" ", html)
-    # open elements: (tag, stated, inside, named, vague, hidden, number)
-    stack = [("", False, False, False, False, False, 0)]
-    out, piece, linked, links, number, at = [], [], 0, 0, 0, 0
+    elements, stack = [Element("", "", 0)], [0]  # numbers of the open elements
+    out, piece, linked, links, at = [], [], 0, 0, 0
 
     def flush():
         nonlocal linked
         if piece:
             text = " ".join(unescape("".join(piece)).split())
             piece.clear()
-            tag, stated, inside, named, vague, hidden, me = stack[-1]
-            if text and not hidden:
+            if text:
+                tag = elements[stack[-1]].tag
                 up = 2 if len(stack) > 1 and tag in PARAGRAPH else 1
-                above = [e[6] for e in stack[-up - 1 : -up - 1 - REACH : -1]]
-                out.append(Block(text, min(1.0, linked / len(text)), stated, inside, named, vague, tag, stack[-up][6], len(stack), above))
+                out.append(Block(text, min(1.0, linked / len(text)), tag, stack[-1], stack[-up], len(stack), stack[-up - 1 : -up - 1 - REACH : -1]))
         linked = 0
 
     for m in TAG.finditer(html):
@@ -142,23 +183,30 @@ def blocks_of(html: str) -> list[Block]:
         links = 0
         if shut:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+                if elements[stack[i]].tag == tag:
                     del stack[i:]
                     break
         elif tag not in VOID:
-            if tag in SHUTS_P and stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li":
+            last = elements[stack[-1]].tag
+            if tag in SHUTS_P and last == "p" or tag == "li" and last == "li":
                 stack.pop()
-            _, stated, inside, named, vague, hidden, _ = stack[-1]
-            own, maybe, gone = names_of(m[3]) if m[3] else (False, False, False)
-            if tag in ("html", "body") or tag in CONTENT:
-                own = maybe = False
-            number += 1
-            # a header inside an article is the article's own
-            role = tag in CHROME and not (tag == "header" and inside)
-            stack.append((tag, stated or role, inside or tag in CONTENT, named or own, vague or maybe, hidden or gone, number))
+            kind = HOLDS.get(tag, 0)
+            for i in reversed(stack) if kind else ():
+                if elements[i].holds & kind:
+                    break  # and so have those around it
+                elements[i].holds |= kind
+            elements.append(Element(tag, m[3], stack[-1]))
+            stack.append(len(elements) - 1)
     piece.append(html[at:])
     flush()
-    return out
+    root = elements[0]
+    root.stated = root.inside = root.named = root.vague = root.hidden = False
+    for e in elements[1:]:
+        e.told(elements[e.up])
+    for b in out:
+        e = elements[b.element]
+        b.told(e, elements[e.up])
+    return [b for b in out if not elements[b.element].hidden]
 
 
 def title_of(html: str) -> set[str]:
@@ -180,7 +228,7 @@ def features(bs: list[Block], title: set[str]) -> np.ndarray:
         like = sum(w in title for w in words) / len(words) if words else 0.0
         rows.append((
             1.0, min(size, 400) / 200, b.linked, b.text[-1] in ".!?…:;\"'»”)", size < 25, b.tag == "p", b.tag in HEADING, like, b.tag in ("li", "td", "dd"),
-            min(many[p], 10) / 5, long[p] / whole, linked[p] / long[p], b.named, b.vague, i < 2, i >= n - 2, min(b.depth, 12) / 6,
+            min(many[p], 10) / 5, long[p] / whole, linked[p] / long[p], b.named, b.far, b.vague, b.stated, i < 2, i >= n - 2, min(b.depth, 12) / 6,
         ))
         at += size
     return np.array(rows, np.float64).reshape(-1, len(INPUTS))
@@ -193,8 +241,8 @@ class BlockModel:
     def log_odds(self, bs: list[Block], title: set[str]) -> np.ndarray:
         return (features(bs, title) @ self.weights).clip(-MOST, MOST)
 
-    def kept(self, bs: list[Block], title: set[str], stated: float = STATED) -> list[bool]:
-        odds = self.log_odds(bs, title) - np.array([stated * b.stated for b in bs])
+    def kept(self, bs: list[Block], title: set[str]) -> list[bool]:
+        odds = self.log_odds(bs, title) + np.array([INSIDE * b.inside for b in bs])
         return labels(odds.tolist(), edges(bs))
 
     def main_text(self, html: str) -> str:
@@ -212,13 +260,19 @@ def nearness(p: Block, b: Block) -> float:
         return NEAR
     if b.parent in p.above or p.parent in b.above:
         far = (p.above.index(b.parent) if b.parent in p.above else b.above.index(p.parent)) + 1
-        return NESTED if far == 1 else NESTED / far**2
+        return NESTED / far
     common = next((i for i, e in enumerate(p.above) if e in b.above), REACH)
     return FAR / (1 + common + (b.above.index(p.above[common]) if common < len(p.above) else REACH))
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: neighbours, blocks of one parent across a gap, and a block with the long texts of one element that stand around it in this element."""
     out, last = [], {}
+    prose = [len(b.text) >= LONG and b.linked < 0.3 and not (b.stated or b.named) for b in bs]
+    after, late = [None] * len(bs), None
+    for i in range(len(bs) - 1, -1, -1):
+        after[i], late = late, i if prose[i] else late
+    early = None
     for i, b in enumerate(bs):
         if i:
             out.append((i - 1, i, nearness(bs[i - 1], b)))
@@ -226,6 +280,12 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
             if j is not None and j != i - 1:
                 out.append((j, i, SAME_PARENT))
         last[b.parent] = i
+        if prose[i]:
+            early = i
+        elif early is not None and after[i] is not None and not (b.stated or b.named):
+            p = bs[early].parent
+            if p == bs[after[i]].parent and (p == b.parent or p in b.above):
+                out += [(early, i, BETWEEN), (i, after[i], BETWEEN)]
     return out
 
 
@@ -310,12 +370,31 @@ def max_flow(nodes: list[int], left: list[float], near: list[dict[int, float]])
 
 
 def taught(b: Block) -> int | None:
-    """The label of a block on a page with an article or main element."""
+    """The label of a block on a page with an article or main element; None where it may be either."""
     if b.inside:
-        return None if b.stated or b.named or b.vague else 1
+        return None if b.stated or b.named or b.far or b.vague else 1
     return 0
 
 
+def learned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights from blocks with labels 1, 0 and NaN (either).
+
+    Text and place learn first, by themselves, so that they can tell blocks whose names and
+    elements say nothing. What these say is learned on top of that, where blocks that may be
+    either have the probability that text and place give them.
+    """
+    sure = ~np.isnan(y)
+    if len({*y[sure]}) < 2:
+        return PRIOR
+    plain = np.delete(np.arange(x.shape[1]), SAYING)
+    w = PRIOR.copy()
+    w[plain] = logistic(x[sure][:, plain], y[sure], PRIOR[plain])
+    odds = x[:, plain] @ w[plain]
+    y = np.where(sure, y, 1 / (1 + np.exp(-odds.clip(-30, 30))))
+    w[SAYING] = logistic(x[:, SAYING], y, PRIOR[SAYING], offset=odds)
+    return w
+
+
 def fit_block_model(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> BlockModel:
     """Logistic regression on the blocks of at most ``sample`` pages, chosen by hash among all that have an article or main element."""
     named = pages.where(F.regexp_like(html_col, F.lit(r"(?i)<(article|main)\b"))).select(F.lit(1).alias("one"), F.col(id_col).alias("id"), F.col(html_col).alias("html"))
@@ -327,29 +406,29 @@ def fit_block_model(pages: DataFrame, id_col: str = "page_id", html_col: str = "
                 bs = blocks_of(h)
                 if bs:
                     own = [taught(b) for b in bs]
-                    y += [k for k in own if k is not None]
-                    x += [f.tolist() for f, k in zip(features(bs, title_of(h)), own) if k is not None]
+                    y += own
+                    x += features(bs, title_of(h)).tolist()
             if y:
-                yield pd.DataFrame({"y": y, "x": x})
+                yield pd.DataFrame({"y": pd.array(y, "Int32"), "x": x})
 
     # a sample's blocks meet as one sum of outer products for each label and step: the rows themselves are few
     got = hashed_sample(named, "one", sample).repartition(16).mapInPandas(gather, "y int, x array<double>").collect()
-    if len({r.y for r in got}) < 2:
+    if not got:
         return BlockModel()
-    y = np.array([r.y for r in got], float)
+    y = np.array([np.nan if r.y is None else r.y for r in got], float)
     x = np.array([r.x for r in got])
     order = np.lexsort(np.hstack([x, y[:, None]]).T)  # the sums don't depend on the order in which rows came
-    return BlockModel(logistic(x[order], y[order]))
+    return BlockModel(learned(x[order], y[order]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, firmness: float = FIRMNESS) -> np.ndarray:
-    """Newton's method for the weights of greatest posterior likelihood; both labels weigh alike."""
-    n = np.where(y == 1, 1 / max(y.sum(), 1), 1 / max((1 - y).sum(), 1))
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, firmness: float = FIRMNESS, offset: np.ndarray | float = 0.0) -> np.ndarray:
+    """Newton's method for the weights of greatest posterior likelihood, ``offset`` beside them; both labels weigh alike."""
+    a, b = y / max(y.sum(), 1), (1 - y) / max((1 - y).sum(), 1)
     w = prior.copy()
     for _ in range(40):
-        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + firmness * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (n * (y - p)) - firmness * (w - prior))
+        p = 1 / (1 + np.exp(-(x @ w + offset).clip(-30, 30)))
+        h = (x * ((a + b) * p * (1 - p))[:, None]).T @ x + firmness * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (a * (1 - p) - b * p) - firmness * (w - prior))
         w += step
         if np.abs(step).max() < 1e-6:
             break
