@@ -7,13 +7,17 @@ neighbours. How long a prefix must be depends on the region: the shortest with w
 most ``REGION`` rows agree makes all pairs of these rows candidates, and adjacent rows
 that agree in the first value are candidates everywhere.
 
-Crowds are larger regions that agree in ``CROWD`` values. Once these links are known, every
-row outside its crowd's largest component is compared with all of the crowd's rows that
-are in other components, on full sets and in one pass: both sides are cut into blocks,
-each pair of blocks meets in one task, and only links leave it, one for each row and
-component. What is linked already is not compared, so the work is in proportion to the
-crowd where one component holds most of it, and up to the square of its rows where they
-stay apart; no row of a join stands for a pair.
+Crowds are larger regions that agree in ``CROWD`` values. Once these links are known,
+rows of crowds that are not all in one component are joined on their rarest shingles, of
+which two linked sets must share one: a quarter of the larger set's, a seventh of the
+smaller one's, by counts in ``BUCKETS`` buckets over the crowds. What the sizes and the
+places of a shared shingle leave possible is confirmed on full sets, so nothing is lost.
+Words that a whole crowd shares are not among a set's rarest unless most of the set is
+such, so texts with a common passage do not meet. Groups of one shingle with up to ``FEW``
+rows make pairs of ids; larger ones, whose rows are mostly linked already, are cut into
+blocks in which rows outside the group's largest component are compared with the others,
+in one pass that only links leave. Only there can work grow with the square of the rows,
+if they hardly differ and yet stay apart.
 
 The other candidates whose signatures (one byte a value) are too unlike are dropped, with
 a margin of four standard deviations. The rest are confirmed on full sets, in two rounds:
@@ -52,8 +56,8 @@ TREES, DEPTH = 16, 8
 VALUES = TREES * DEPTH
 #: Rows of a region that are all compared; percent of the union that two sets must share; least estimate.
 REGION, SHARED, ESTIMATE = 8, 75, 0.6
-#: Values that a crowd agrees in, and rows on each side of a task that compares its rows.
-CROWD, BLOCK = 2, 500
+#: Values that a crowd agrees in, buckets of its shingles' counts, rows of a group that makes pairs, and rows on each side of a task for larger groups.
+CROWD, BUCKETS, FEW, BLOCK = 2, 1 << 20, 32, 500
 #: Word hashes that a worker remembers, and sorted rows that it holds, at most.
 REMEMBER, HELD = 500_000, 200_000
 _r = np.random.default_rng(42)
@@ -246,20 +250,101 @@ def block_links(texts: list[str], node: np.ndarray, root: np.ndarray, lone: np.n
     return out
 
 
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(n, (shingle_set(t.as_py()) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["bucket", "n"])
+
+    got = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.uint32)
+    out[got.column("bucket").to_numpy()] = np.minimum(got.column("n").to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def rarest(s: np.ndarray, counts: np.ndarray, shared: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a set, of which every set linked with it holds one, and their places; those counted once are left out."""
+    often = counts[(s % np.uint64(BUCKETS)).astype(np.int64)]
+    first = np.lexsort((s, often))[: len(s) * (100 - shared) // 100 + 1]
+    place = np.flatnonzero(often[first] > 1)
+    return s[first[place]], place
+
+
+def rare_keys(texts: DataFrame, shared: int = SHARED) -> DataFrame:
+    """(h, node, root, n, place) for the rarest shingles of each text."""
+    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, root, t in zip(*(b.column(c).to_pylist() for c in ("node", "root", "text"))):
+                s = shingle_set(t)
+                h, place = rarest(s, counts.value, shared)
+                same = lambda x, n=len(h): pa.array(np.full(n, x, np.int64))
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), same(node), same(root), same(len(s)), pa.array(place, pa.int64())], ["h", "node", "root", "n", "place"])
+
+    return texts.select("node", "root", "text").mapInArrow(run, "h long, node long, root long, n long, place long")
+
+
+def rare_groups(keys: DataFrame, shared: int = SHARED) -> DataFrame:
+    """The keys of rows that may be linked with a row of another component through the shingle; with ``reach``, the largest partner's size, and the group's rows ``many``.
+
+    A set with n shingles, linked with one of m and sharing nothing before place i of its
+    own order, has (100 + shared) * (n - i) >= shared * (n + m); and if n <= m, it
+    shares one of its first (100 - shared) / (100 + shared) * n + 1.
+    """
+    reach = F.floor((100 + shared) * (F.col("n") - F.col("place")) / shared - F.col("n") + 1e-6)
+    keys = keys.withColumn("reach", reach)
+    small = F.col("reach") >= F.col("n")
+    g = keys.groupBy("h").agg(F.count("*").alias("many"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.when(small, F.col("reach"))).alias("most"), F.min(F.when(small, F.col("n"))).alias("least"))
+    g = g.where("r0 <> r1 AND most IS NOT NULL").select("h", "many", "most", "least")
+    return keys.join(g, "h").where("n BETWEEN least AND most").select("h", "node", "root", "n", "reach", "many")
+
+
+def rare_pairs(groups: DataFrame, shared: int = SHARED) -> DataFrame:
+    """Pairs (a, b) of small groups whose sizes and places leave a link possible."""
+    few = groups.where(F.col("many") <= FEW).select("h", "node", "root", "n", "reach")
+    x, y = few.where("reach >= n"), few.toDF("h", "node2", "root2", "n2", "reach2")
+    fits = (F.col("root") != F.col("root2")) & (F.col("n") <= F.col("n2")) & (F.col("n2") <= F.col("reach")) & (F.col("n") <= F.col("reach2")) & (100 * F.col("n") >= shared * F.col("n2"))
+    return x.join(y, "h").where(fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def crowd_links(crowds: DataFrame, docs: DataFrame, id_col: str, text_col: str, roots: DataFrame) -> DataFrame:
-    """Links (a, b) between rows of one crowd that are in different components."""
+    """Links (a, b) between rows of crowds that are in different components."""
     rows = crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("crowd").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("crowd")
+    rows = stash(rows.join(mixed, "crowd").select("node", "root").distinct(), "op2-crowds")
+    texts = docs.select(whole_id(docs, id_col).alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    texts = stash(texts.join(rows, "node").distinct(), "op2-texts")
+    keys = stash(rare_keys(texts), "op2-keys")
+    groups = stash(rare_groups(keys), "op2-groups")
+    pairs = stash(rare_pairs(groups), "op2-pairs")
+    links = confirmed(pairs, docs, id_col, text_col)
+    large = groups.where(F.col("many") > FEW)
+    # groups of the same rows are one
+    same = large.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).groupBy("n", "sum").agg(F.min("h").alias("h"))
+    large = stash(large.join(same.select("h"), "h", "left_semi").select(F.col("h").alias("crowd"), "node", "root").distinct(), "op2-large")
+    if not large.isEmpty():
+        links = links.unionByName(large_links(large, texts.select("node", "text")))
+    return links.distinct()
+
+
+def large_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the rows of large groups outside the group's largest component and those of other components, block by block."""
     parts = rows.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
     alone = F.col("n") - F.col("main.n")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     parts = parts.where(alone > 0).select("crowd", blocks(F.col("n")).alias("blocks"), blocks(alone).alias("lone_blocks"), F.col("main.root").alias("main"))
-    rows = stash(rows.join(parts, "crowd"), "op2-crowds")
+    rows = rows.join(parts, "crowd")
     dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     to = rows.select("crowd", dealt("blocks", 1).alias("x"), every("lone_blocks").alias("y"), "node", "root", F.lit(False).alias("lone"))
     lone = rows.where("root <> main").select("crowd", every("blocks").alias("x"), dealt("lone_blocks", 2).alias("y"), "node", "root", F.lit(True).alias("lone"))
-    texts = docs.select(whole_id(docs, id_col).alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    texts = stash(texts.join(rows.select("node").distinct(), "node", "left_semi").distinct(), "op2-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cell = [], None

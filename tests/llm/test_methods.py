@@ -655,3 +655,33 @@ def test_stages_take_empty_tables_and_odd_columns(spark, hostile, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
             assert out.count() >= 0 and (name == "token_files" or out.columns == docs.columns)
+
+
+@pytest.mark.parametrize("few", [32, 2])
+def test_crowd_rows_meet_on_their_rarest_shingles(spark, monkeypatch, few):
+    """Every link between components is found, whether groups make pairs or blocks; a common passage alone makes none."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    r = random.Random(3)
+    common_words = " ".join(f"licence{i}" for i in range(60))
+    rows = []
+    for i in range(60):
+        own = [f"w{r.randrange(10**6)}" for _ in range(r.choice([4, 8, 12, 20, 30]))]
+        rows.append((2 * i, " ".join(own) + " " + common_words))
+        cut = r.randrange(12)
+        rows.append((2 * i + 1, " ".join(own) + " " + common_words[: len(common_words) - 11 * cut] + (" end" if i % 3 else "")))
+    sets = {i: near_dedup.shingle_set(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and near_dedup.linked(sets[a], sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    crowds = docs.select(F.lit(1).cast("long").alias("crowd"), F.col("doc_id").alias("node"))
+    none = spark.createDataFrame([], "node long, root long")
+    got = {tuple(x) for x in near_dedup.crowd_links(crowds, docs, "doc_id", "text", none).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_texts_that_share_a_passage_make_no_groups(spark):
+    r = random.Random(4)
+    passage = " ".join(f"licence{i}" for i in range(100))
+    rows = [(i, i, " ".join(f"w{r.randrange(10**9)}" for _ in range(r.randrange(30, 60))) + " " + passage) for i in range(400)]
+    texts = spark.createDataFrame(rows, "node long, root long, text string")
+    keys = near_dedup.rare_keys(texts)
+    assert keys.count() > 0 and near_dedup.rare_groups(keys).count() == 0
