@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import let
 from tallyforge.operators.quantiles import exact_quantiles
-from tallyforge.operators.staging import dealt_out, staged
+from tallyforge.operators.staging import dealt_out, joined, staged
 
 # Bounds of a yield, days a year, basis points that are still equal.
 LOW, HIGH, YEAR, THRESHOLD_BP = -0.99, 10.0, 365, 5
@@ -36,19 +36,19 @@ def year_fraction(a: Column, b: Column, basis: str = "act365") -> Column:
 
 
 def face_values(ask: DataFrame, issues: DataFrame, amortizations: DataFrame) -> DataFrame:
-    paid = amortizations.join(ask.select("secid", "on_date").distinct(), "secid").where("pay_date <= on_date").groupBy("secid", "on_date").agg(F.sum("amount").alias("paid"))
-    x = ask.join(issues.select("secid", "initial_face"), "secid").join(paid, ["secid", "on_date"], "left")
+    paid = joined(amortizations, ask.select("secid", "on_date").distinct(), "secid").where("pay_date <= on_date").groupBy("secid", "on_date").agg(F.sum("amount").alias("paid"))
+    x = joined(joined(ask, issues.select("secid", "initial_face"), "secid"), paid, ["secid", "on_date"], "left")
     return x.select(*ask.columns, (F.col("initial_face") - F.coalesce("paid", F.lit(0))).cast("decimal(24,6)").alias("face"))
 
 
 def coupon_periods(ask: DataFrame, coupons: DataFrame) -> DataFrame:
     """The coupon whose [start, pay) holds the date; the first one by pay date."""
-    x = ask.select("secid", "on_date").distinct().join(coupons, "secid").where("period_start <= on_date AND on_date < pay_date")
+    x = joined(ask.select("secid", "on_date").distinct(), coupons, "secid").where("period_start <= on_date AND on_date < pay_date")
     return x.groupBy("secid", "on_date").agg(F.min_by(F.struct("period_start", "pay_date", "amount"), "pay_date").alias("c"))
 
 
 def accrued_interest(ask: DataFrame, coupons: DataFrame) -> DataFrame:
-    x = ask.join(coupon_periods(ask, coupons), ["secid", "on_date"], "left")
+    x = joined(ask, coupon_periods(ask, coupons), ["secid", "on_date"], "left")
     part = F.round(F.col("c.amount") * F.datediff("on_date", "c.period_start") / F.datediff("c.pay_date", "c.period_start"), 2).cast("decimal(24,6)")
     return x.withColumn("accrued", F.when(F.col("c").isNull(), F.lit(0).cast("decimal(24,6)")).otherwise(part)).drop("c")
 
@@ -61,7 +61,7 @@ def dirty_prices(quotes: DataFrame) -> DataFrame:
 def future_flows(ask: DataFrame, coupons: DataFrame, amortizations: DataFrame, until: str | None = None) -> DataFrame:
     """(secid, on_date, pay_date, amount?) strictly after the date and, if named, up to the column ``until``."""
     pays = coupons.select("secid", "pay_date", "amount").unionByName(amortizations.select("secid", "pay_date", "amount"))
-    x = ask.join(pays, "secid").where("pay_date > on_date")
+    x = joined(ask, pays, "secid").where("pay_date > on_date")
     return x.where(F.col("pay_date") <= F.col(until)) if until else x
 
 
@@ -132,14 +132,14 @@ def current_yield(flows: DataFrame, prices: DataFrame) -> DataFrame:
     """Coupons of the next 365 days over the price; null if one is unknown. ``flows`` holds coupons alone."""
     near = flows.where(F.col("pay_date") <= F.date_add("on_date", YEAR)).groupBy("secid", "on_date")
     near = near.agg(F.sum("amount").alias("s"), F.bool_or(F.col("amount").isNull()).alias("unknown"))
-    x = prices.join(near, ["secid", "on_date"], "left")
+    x = joined(prices, near, ["secid", "on_date"], "left")
     return x.withColumn("current_yield", F.when(~F.coalesce("unknown", F.lit(False)) & (F.col("price") > 0), F.bround(F.coalesce(F.col("s").cast("double"), F.lit(0.0)) / F.col("price"), 8))).drop("s", "unknown")
 
 
 def next_offers(ask: DataFrame, offers: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(secid, on_date, offer_date, offer_kind, offer_pct) of the first offer after the date, of the named kinds; none if there is none."""
     o = offers if kinds is None else offers.where(F.col("kind").isin(*kinds))
-    x = ask.select("secid", "on_date").distinct().join(o.select("secid", "offer_date", "kind", "price_pct"), "secid").where("offer_date > on_date")
+    x = joined(ask.select("secid", "on_date").distinct(), o.select("secid", "offer_date", "kind", "price_pct"), "secid").where("offer_date > on_date")
     x = x.groupBy("secid", "on_date").agg(F.min(F.struct("offer_date", "kind", "price_pct")).alias("o"))
     return x.select("secid", "on_date", "o.offer_date", F.col("o.kind").alias("offer_kind"), F.col("o.price_pct").alias("offer_pct"))
 
@@ -165,7 +165,7 @@ def g_spread(bonds: DataFrame, curve: DataFrame) -> DataFrame:
     x = bonds.join(s, "curve").where(one)
     at = F.when(F.col("points") == 1, F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("tenor") - F.col("x0")) / (F.col("x1") - F.col("x0")))
     x = x.withColumn("spread", F.bround(F.col("yield") - at, 8)).groupBy("secid").agg(F.min_by("spread", "x0").alias("spread"))
-    return bonds.join(x, "secid", "left")
+    return joined(bonds, x, "secid", "left")
 
 
 def settlement_candidates(quotes: DataFrame, coupons: DataFrame, tolerance=0.01, most: int = 4) -> DataFrame:

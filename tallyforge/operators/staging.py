@@ -37,6 +37,16 @@ def dealt_out(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle and sort, for sides that grow with the data.
+
+    Spark guesses a side's size from the bytes of its compressed files, and rows that are
+    exploded or parsed from them count for nothing: left to itself it broadcasts, through
+    the driver, what is a hundred times its threshold.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def numbered(rows: DataFrame, order: list[str], first: int, name: str = "id") -> DataFrame:
     """Give ids from ``first`` on in ``order``.
 

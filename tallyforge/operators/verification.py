@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import bonds as B
 from tallyforge.operators import store
+from tallyforge.operators.staging import joined
 from tallyforge.sources.snapshots import save_run
 
 # A difference of accrued interest that still counts as none, and the currency of a plain issue.
@@ -22,7 +23,7 @@ def settlements(quotes: DataFrame, coupons: DataFrame, fallback_days: int = 1) -
     """(secid, trade_date, candidates, settled, on_date): the one day whose accrued interest is the published one, else some days after the trade."""
     days = quotes.select("secid", "trade_date", "published_accrued").distinct()
     found = B.settlement_candidates(days.where("published_accrued IS NOT NULL"), coupons, ACCRUED_TOLERANCE)
-    x = days.join(found, ["secid", "trade_date"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<date>")))
+    x = joined(days, found, ["secid", "trade_date"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<date>")))
     x = x.withColumn("settled", F.when(F.size("candidates") == 1, F.col("candidates")[0]))
     return x.select("secid", "trade_date", F.size("candidates").alias("candidates"), "settled", F.coalesce("settled", F.date_add("trade_date", fallback_days)).alias("on_date"))
 
@@ -30,7 +31,7 @@ def settlements(quotes: DataFrame, coupons: DataFrame, fallback_days: int = 1) -
 def verify_board(quotes: DataFrame, issues: DataFrame, coupons: DataFrame, amortizations: DataFrame, offers: DataFrame) -> DataFrame:
     """One row per quote: own and published yield, yield to the next offer, accrued interest and duration, differences and a note."""
     days = settlements(quotes, coupons)
-    ask = days.join(issues.select("secid", "currency"), "secid").select("secid", "currency", "on_date").distinct()
+    ask = joined(days, issues.select("secid", "currency"), "secid").select("secid", "currency", "on_date").distinct()
     state = B.accrued_interest(B.face_values(ask, issues, amortizations), coupons)
     flows = B.flow_arrays(B.future_flows(ask.select("secid", "on_date"), coupons, amortizations))
     at = B.next_offers(ask, offers)
@@ -38,7 +39,10 @@ def verify_board(quotes: DataFrame, issues: DataFrame, coupons: DataFrame, amort
     parts = amortizations.groupBy("secid").agg(F.count("*").alias("parts"))
 
     key = ["secid", "on_date"]
-    x = quotes.where("clean_pct > 0").join(days, ["secid", "trade_date"]).join(state, key).join(flows, key, "left").join(at, key, "left").join(to_offer, key, "left").join(parts, "secid", "left")
+    x = joined(joined(quotes.where("clean_pct > 0"), days, ["secid", "trade_date"]), state, key)
+    for side in (flows, at, to_offer):
+        x = joined(x, side, key, "left")
+    x = joined(x, parts, "secid", "left")
     x = B.dealt_out(B.dirty_prices(x), "secid", "price_source").withColumn("unknown", F.coalesce("unknown", F.lit(False)))
     x = x.withColumns({"own_yield": B.solve_yield(F.col("flows"), F.col("price")), "own_yield_to_offer": B.solve_yield(F.col("offer_flows"), F.col("price"))})
     x = x.withColumn("own_duration", B.duration_days(B.macaulay(F.col("flows"), F.col("own_yield"))))

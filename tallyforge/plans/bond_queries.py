@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import bonds as B
+from tallyforge.operators.staging import joined
 from tallyforge.plans import demo
 
 ON = "2025-03-02"
@@ -30,7 +31,7 @@ def accrued_interest(spark, d):
 def _priced(spark, d):
     i, c, a, _, q, ask = _all(spark, d)
     state = B.accrued_interest(B.face_values(ask, i, a), c)
-    return B.dirty_prices(q.join(state, "secid"))
+    return B.dirty_prices(joined(q, state, "secid"))
 
 
 def dirty_price(spark, d):
@@ -45,7 +46,7 @@ def future_flows(spark, d):
 def _solved(spark, d):
     _, c, a, _, _, ask = _all(spark, d)
     f = B.flow_arrays(B.future_flows(ask, c, a))
-    x = B.dealt_out(_priced(spark, d).join(f, ["secid", "on_date"], "left"), "secid", "price_source")
+    x = B.dealt_out(joined(_priced(spark, d), f, ["secid", "on_date"], "left"), "secid", "price_source")
     return x.withColumn("own_yield", B.solve_yield(F.col("flows"), F.col("price")))
 
 
@@ -56,7 +57,7 @@ def ytm(spark, d):
 def ytm_simple(spark, d):
     """Yields by simple compounding, in which a payment t years off is divided by 1 + y t."""
     _, c, a, _, _, ask = _all(spark, d)
-    x = B.dealt_out(_priced(spark, d).join(B.flow_arrays(B.future_flows(ask, c, a)), ["secid", "on_date"], "left"), "secid", "price_source")
+    x = B.dealt_out(joined(_priced(spark, d), B.flow_arrays(B.future_flows(ask, c, a)), ["secid", "on_date"], "left"), "secid", "price_source")
     return x.select("secid", "price_source", (F.round(B.solve_yield(F.col("flows"), F.col("price"), simple=True), 7) + 0.0).alias("ytm"))
 
 
@@ -68,7 +69,7 @@ def duration(spark, d):
 def _to_offer(spark, d, kinds=None):
     i, c, a, o, _, ask = _all(spark, d)
     f = B.flow_arrays(B.offer_flows(B.next_offers(ask, o, kinds), i, c, a))
-    x = B.dealt_out(_priced(spark, d).join(f, ["secid", "on_date"]), "secid", "price_source")
+    x = B.dealt_out(joined(_priced(spark, d), f, ["secid", "on_date"]), "secid", "price_source")
     return x.select("secid", "price_source", F.round(B.solve_yield(F.col("flows"), F.col("price")), 8).alias("ytp"))
 
 
@@ -82,7 +83,7 @@ def ytp_put(spark, d):
 
 def current_yield(spark, d):
     _, c, _, _, _, ask = _all(spark, d)
-    coupons = ask.join(c.select("secid", "pay_date", "amount"), "secid").where("pay_date > on_date")
+    coupons = joined(ask, c.select("secid", "pay_date", "amount"), "secid").where("pay_date > on_date")
     return B.current_yield(coupons, _priced(spark, d)).select("secid", "price_source", F.round("current_yield", 6).alias("current_yield"))
 
 
@@ -103,7 +104,7 @@ def settlement_match(spark, d):
 
 def _compared(spark, d):
     _, _, _, o, _, ask = _all(spark, d)
-    x = _solved(spark, d).join(B.next_offers(ask, o), ["secid", "on_date"], "left").withColumn("unknown", F.coalesce("unknown", F.lit(False)))
+    x = joined(_solved(spark, d), B.next_offers(ask, o), ["secid", "on_date"], "left").withColumn("unknown", F.coalesce("unknown", F.lit(False)))
     return B.compare_board(x)
 
 

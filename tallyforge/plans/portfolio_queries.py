@@ -11,7 +11,7 @@ from tallyforge.operators import bitemporal, identities, returns, store
 from tallyforge.operators.concentration import concentration, herfindahl
 from tallyforge.operators.deposits import deposit_schedule
 from tallyforge.operators.quantiles import exact_quantiles
-from tallyforge.operators.staging import shared_folder
+from tallyforge.operators.staging import shared_folder, staged
 from tallyforge.plans.check_queries import SQL as CHECKS_SQL
 from tallyforge.plans.check_queries import verify_board
 from tallyforge.plans.demo import LEDGER_SQL, demo_ledger, table
@@ -195,7 +195,7 @@ def ledger_totals(spark, d):
 def save_board_run(spark, d):
     """Two runs of a board's verification, the first saved twice; their headers."""
     root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
-    checks = verify_board(spark, d)
+    checks = staged(verify_board(spark, d), "checks")
     odd = checks.where("secid LIKE '%3'")
     for run, rows in (("r1", odd), ("r2", odd), ("r1", checks)):
         snapshots.save_run(rows, root, run, board="TQCB")

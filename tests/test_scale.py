@@ -1,0 +1,16 @@
+"""Plans that grow with the tables: what is not sent through the driver, and what is not done twice."""
+
+import pytest
+
+import __spark_entry__ as entry
+
+DIR = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["dirty_price", "future_flows", "ytm", "ytp", "ytp_put", "current_yield", "yield_compare", "settlement_match", "verify_board"])
+def test_sides_that_grow_are_not_broadcast(spark, name):
+    assert "Broadcast" not in plan(entry.queries()[name](spark, DIR))
