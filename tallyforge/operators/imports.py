@@ -66,7 +66,7 @@ def import_statements(parsed: DataFrame, ledger: DataFrame, accounts: DataFrame,
     period's end have no control totals to meet and are taken.
     """
     headers = staged(R.statement_headers(parsed), "headers")
-    mapped = staged(R.mapped_rows(R.table_rows(parsed)), "mapped")
+    mapped = R.mapped_rows(R.table_rows(parsed))
     reports, accounts, lost = resolve_accounts(headers, accounts, "account_code")
     reports = staged(reports.drop("account_code").join(accounts.select(F.col("account_id").cast("long").alias("account_id"), F.col("code").alias("account")), "account_id"), "reports")
 

@@ -156,9 +156,12 @@ def is_total(cells: Column) -> Column:
 def statement_headers(parsed: DataFrame) -> DataFrame:
     """(report, period_start, period_end, account_code), from the texts of tables and then from the whole text."""
     texts = F.flatten(F.transform("tables", lambda t: F.concat(t["before"], F.array(t["caption"]), F.transform(t["rows"], lambda r: F.array_join(r, " ")))))
-    text = F.get(F.filter(F.concat(texts, F.array("text")), lambda t: F.regexp_like(t, F.lit(PERIOD))), F.lit(0))
-    day = lambda i: c.parse_date(F.regexp_extract(text, PERIOD, i))
-    return parsed.select("report", day(1).alias("period_start"), day(2).alias("period_end"), F.nullif(F.regexp_extract("text", ACCOUNT, 1), F.lit("")).alias("account_code"))
+    holds = lambda t: F.regexp_like(t, F.lit(PERIOD))
+    told = F.coalesce(F.get(F.filter(texts, holds), F.lit(0)), F.when(holds(F.col("text")), F.col("text")))
+    # each step is a column of its own, so that none is computed again where the next uses it several times
+    x = parsed.select("report", told.alias("told"), F.regexp_extract("text", ACCOUNT, 1).alias("account"))
+    x = x.select("report", "account", *[F.regexp_extract("told", PERIOD, i).alias(n) for i, n in ((1, "a"), (2, "b"))])
+    return x.select("report", c.parse_date(F.col("a")).alias("period_start"), c.parse_date(F.col("b")).alias("period_end"), F.nullif("account", F.lit("")).alias("account_code"))
 
 
 def table_rows(parsed: DataFrame) -> DataFrame:
@@ -178,23 +181,28 @@ def table_rows(parsed: DataFrame) -> DataFrame:
 
 
 def mapped_rows(rows: DataFrame) -> DataFrame:
-    """Every row with its operations (0 to 4), its balance or null, and the reason why it has neither."""
+    """Every row with its operations (0 to 4), its balance or null, and the reason why it has neither.
+
+    The rows are written: a filter on what was mapped (an explode brings its own) would
+    else move below the steps and carry a copy of every step with it.
+    """
 
     def cell(name: str) -> Column:
         x = F.get("cells", F.try_element_at("columns", F.lit(name)))
-        return F.when(~c.is_blank(x), x)
+        return F.when(x.isNotNull() & ~c.is_blank(x), x)
 
     rows = rows.withColumns({name: cell(name) for name in COLUMNS})
-    number = {n: c.parse_decimal(F.col(n)) for n in ("quantity", "price", "amount", "accrued_int", "tax", "credit", "debit", "closing_balance", *FEES)}
-    dates = {n: c.parse_date(F.col(n)) for n in ("trade_date", "settlement_date")}
-    rows = rows.withColumns({f"n_{n}": x for n, x in {**number, **dates}.items()}).withColumns({"n_currency": F.when(F.col("currency").isNull(), DEFAULT_CURRENCY).otherwise(c.parse_currency(F.col("currency"))), "n_isin": c.isin(F.col("isin")), "n_ticker": F.trim("ticker")})
-    kind = longest_phrase(c.normalize_signature(F.col("description")), by_phrase(OPERATIONS))
-    rows = rows.withColumn("n_kind", F.when(F.col("section") == "cash_flow", kind))
+    there = lambda name, parse: F.when(F.col(name).isNotNull(), parse(F.col(name)))
+    number = {n: there(n, c.parse_decimal) for n in ("quantity", "price", "amount", "accrued_int", "tax", "credit", "debit", "closing_balance", *FEES)}
+    dates = {n: there(n, c.parse_date) for n in ("trade_date", "settlement_date")}
+    rows = rows.withColumns({f"n_{n}": x for n, x in {**number, **dates}.items()}).withColumns({"n_currency": F.when(F.col("currency").isNull(), DEFAULT_CURRENCY).otherwise(c.parse_currency(F.col("currency"))), "n_isin": there("isin", c.isin), "n_ticker": F.trim("ticker")})
+    rows = rows.withColumns({"said": there("description", c.normalize_signature), "word": there("direction", c.normalize_signature)})
+    rows = rows.withColumn("n_kind", F.when((F.col("section") == "cash_flow") & F.col("said").isNotNull(), longest_phrase(F.col("said"), by_phrase(OPERATIONS))))
     n = lambda name: F.col(f"n_{name}")
     unread = lambda name: F.when(F.col(name).isNotNull() & n(name).isNull(), F.concat(F.lit(f"{name} is not readable: "), name))
     missing = lambda name: F.when(F.col(name).isNull(), F.lit(f"{name} is missing"))
 
-    word = c.normalize_signature(F.col("direction"))
+    word = F.col("word")
     sign = F.when(n("quantity") < 0, "SELL").when((n("quantity") > 0) & (n("amount") < 0), "BUY").when((n("quantity") > 0) & (n("amount") > 0), "SELL")
     rows = rows.withColumn("n_direction", F.coalesce(F.when(has_any(word, BUY), "BUY").when(has_any(word, SELL), "SELL"), sign))
     accrued = F.coalesce(F.abs(n("accrued_int")), F.lit(0).cast(QUANTITY)).cast(MONEY)
@@ -210,7 +218,7 @@ def mapped_rows(rows: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(QUANTITY)
     moved = F.when(F.col("credit").isNotNull() | F.col("debit").isNotNull(), F.coalesce(n("credit"), zero) - F.abs(F.coalesce(n("debit"), zero))).otherwise(single)
     taxed = income & (F.coalesce(n("tax"), zero) != 0)
-    said = c.normalize_signature(F.col("description"))
+    said = F.col("said")
     withheld = F.when(income, F.when(n("tax").isNotNull(), F.lit(False)).when(has_any(said, NET), True).when(has_any(said, GROSS), False))
     flow = record(OPERATION, **common, kind=event, instrument_name=F.col("instrument_name"), fee_kind=F.try_element_at(F.split("n_kind", " "), F.lit(2)), amount=moved + F.when(taxed, F.abs(n("tax"))).otherwise(zero), withheld_at_source=withheld, note=F.col("description"))
     tax = F.when(taxed, record(OPERATION, **common, kind=F.lit("TAX"), amount=-F.abs(n("tax")), withheld_at_source=F.lit(True), note=F.col("description")))
@@ -231,7 +239,7 @@ def mapped_rows(rows: DataFrame) -> DataFrame:
     cash = section == "cash_balances"
     balance = record(BALANCE, kind=F.when(cash, "cash").otherwise("security"), ticker=F.when(~cash, n("ticker")), isin=F.when(~cash, n("isin")), quantity=n("closing_balance"), currency=n("currency"))
     balance = F.when(F.col("reason").isNull() & section.isin("cash_balances", "security_balances"), balance)
-    return rows.select("report", "idx", "row", "section", "label", "names", "cells", operations.alias("operations"), balance.alias("balance"), "reason")
+    return staged(rows.select("report", "idx", "row", "section", "label", "names", "cells", operations.alias("operations"), balance.alias("balance"), "reason"), "mapped")
 
 
 def statement_operations(mapped: DataFrame) -> DataFrame:
