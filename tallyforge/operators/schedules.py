@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import cleaning as c
+from tallyforge.operators.staging import joined, staged
 from tallyforge.sources.snapshots import block_rows, cell, descriptions, exchange_number, iso_date
 
 # Words for the kinds of offers.
@@ -52,11 +53,12 @@ def schedules(securities: DataFrame, bondization: DataFrame, key: str = "secid")
     at its last amortization. An issue that is inconsistent goes to rejects with its first
     reason, and its payments go with it.
     """
-    i, cup, amo, off = issues(securities, key), coupons(bondization, key), amortizations(bondization, key), offers(bondization, key)
+    # parsed once, for the five frames that are made of them
+    i, cup, amo, off = staged(issues(securities, key), "issues"), staged(coupons(bondization, key), "coupons"), staged(amortizations(bondization, key), "amortizations"), staged(offers(bondization, key), "offers")
     paid = amo.groupBy("key").agg(F.max("pay_date").alias("last"), F.sum("amount").alias("repaid"))
     empty = cup.groupBy("key").agg(F.bool_or(F.col("period_start") >= F.col("pay_date")).alias("empty"))
-    units = payment_units(bondization, key).join(i.select("key", "currency"), "key").groupBy("key").agg(F.bool_or(F.col("unit") != F.col("currency")).alias("foreign"))
-    x = i.join(paid, "key", "left").join(empty, "key", "left").join(units, "key", "left")
+    units = joined(payment_units(bondization, key), i.select("key", "currency"), "key").groupBy("key").agg(F.bool_or(F.col("unit") != F.col("currency")).alias("foreign"))
+    x = joined(joined(joined(i, paid, "key", "left"), empty, "key", "left"), units, "key", "left")
     reason = (
         F.when(F.col("secid").isNull(), "no code").when(F.col("currency").isNull(), "no currency").when(F.col("initial_face").isNull(), "no face value")
         .when(F.col("initial_face") <= 0, "face value is not positive").when(F.col("last").isNull() & F.col("maturity_date").isNull(), "neither amortizations nor maturity")
@@ -66,9 +68,9 @@ def schedules(securities: DataFrame, bondization: DataFrame, key: str = "secid")
     good = x.where("reason IS NULL").select("key", "secid", "name", "currency", "initial_face", F.coalesce("maturity_date", "last").alias("maturity_date"), F.col("last").isNull().alias("whole"), F.col("maturity_date").alias("told"))
     codes = good.select("key", "secid")
     made = good.where("whole").select("secid", F.col("maturity_date").alias("pay_date"), F.col("initial_face").alias("amount"), F.lit(True).alias("is_maturity"))
-    given = amo.join(good.select("key", "secid", "told"), "key").select("secid", "pay_date", "amount", F.coalesce(F.col("pay_date") == F.col("told"), F.lit(False)).alias("is_maturity"))
+    given = joined(amo, good.select("key", "secid", "told"), "key").select("secid", "pay_date", "amount", F.coalesce(F.col("pay_date") == F.col("told"), F.lit(False)).alias("is_maturity"))
     return {
-        "issues": good.drop("key", "whole", "told"), "coupons": cup.join(codes, "key").drop("key"), "amortizations": given.unionByName(made), "offers": off.join(codes, "key").drop("key"),
+        "issues": good.drop("key", "whole", "told"), "coupons": joined(cup, codes, "key").drop("key"), "amortizations": given.unionByName(made), "offers": joined(off, codes, "key").drop("key"),
         "rejects": x.where("reason IS NOT NULL").select("key", "secid", "reason"),
     }
 

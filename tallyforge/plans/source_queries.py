@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import schedules as S
 from tallyforge.operators.identities import resolve_instruments
 from tallyforge.operators.imports import as_ledger, import_declared
-from tallyforge.operators.staging import staged
+from tallyforge.operators.staging import joined, staged
 from tallyforge.plans.demo import BONDS_SQL, demo_amortizations, demo_coupons, demo_issues, demo_offers, table
 from tallyforge.sources.declarative_csv import csv_records, declared_entries, declared_rows, sound_rows
 from tallyforge.sources.snapshots import board_quotes, cell
@@ -77,10 +77,10 @@ def demo_answers(spark: SparkSession, sf_dir: str, units: bool = False) -> tuple
         told = lambda name, n, unit: F.transform(name, lambda r: F.concat(r, F.array(F.when(F.substring("secid", 2, 20).cast("long") % n == 0, unit).otherwise("SUR"))))
         c, a = c.withColumn("c", told("c", 17, "USD")), a.withColumn("a", told("a", 25, "CNY"))
     more = ("faceunit",) if units else ()
-    x = i.select("secid").join(c, "secid", "left").join(a, "secid", "left").join(o, "secid", "left")
+    x = joined(joined(joined(i.select("secid"), c, "secid", "left"), a, "secid", "left"), o, "secid", "left")
     none = F.array().cast("array<array<string>>")
     blocks = F.struct(_block(("startdate", "coupondate", "value", "valueprc", *more), F.coalesce("c", none)).alias("coupons"), _block(("amortdate", "value", *more), F.coalesce("a", none)).alias("amortizations"), _block(("offerdate", "offertype", "price"), F.coalesce("o", none)).alias("offers"))
-    return securities, x.select("secid", F.to_json(blocks, {"ignoreNullFields": "false"}).alias("content"))
+    return staged(securities, "securities"), staged(x.select("secid", F.to_json(blocks, {"ignoreNullFields": "false"}).alias("content")), "bondization")
 
 
 def schedule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
