@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import cleaning as c
 from tallyforge.operators.connected import components
-from tallyforge.operators.staging import numbered, staged
+from tallyforge.operators.staging import looked_up, numbered, staged
 
 # Forms of bond codes and words in names.
 BOND_TICKER, BOND_ISIN = r"^(SU\d{5}RMFS\d|RU000[A-Z0-9]{8})$", "RU000A"
@@ -24,7 +24,7 @@ def guess_kind(ticker: Column, isin: Column, name: Column) -> Column:
 
 def with_identity(rows: DataFrame, tickers: DataFrame) -> DataFrame:
     """``rows`` with ref: the ISIN, else the ISIN that the ticker goes with, else the ticker."""
-    x = rows.join(tickers, "ticker", "left")
+    x = looked_up(rows, tickers.withColumnRenamed("ticker", "key"), F.when(F.col("isin").isNull(), F.col("ticker")), "isin", "seq")
     ref = F.when(F.col("isin").isNotNull(), F.concat(F.lit("I"), "isin")).when(F.coalesce("isins", F.lit(0)) > 1, None).when(F.col("its").isNotNull(), F.concat(F.lit("I"), "its")).otherwise(F.concat(F.lit("T"), "ticker"))
     return x.withColumn("ref", ref).drop("its", "isins")
 
@@ -39,13 +39,16 @@ def resolve_instruments(mentions: DataFrame, instruments: DataFrame) -> tuple[Da
     without codes has no instrument. A mention by a ticker alone that goes with several
     ISINs, none of them the dimension's, is rejected; two known instruments stay two.
     """
-    m = mentions.withColumns({"ticker": c.ticker(F.col("ticker")), "isin": c.isin(F.col("isin"))})
-    cols = ("ticker", "isin", "name", "currency")
+    cols, codes = ("ticker", "isin", "name", "currency"), F.concat("ticker", F.lit("|"), "isin")
+    clean = lambda x: x.withColumns({"ticker": c.ticker(F.col("ticker")), "isin": c.isin(F.col("isin"))})
+    # mentions that say the same are one, with the first place; all that follows works on these
+    said = staged(clean(mentions.groupBy(*cols).agg(F.min("seq").cast("long").alias("seq"))), "said")
     # a mention whose codes belong to two known instruments goes by its ISIN and links nothing
-    clash = m.select("ticker", "isin").distinct().join(instruments.where("isin IS NULL").select("ticker"), "ticker", "left_semi").join(instruments.where("isin IS NOT NULL").select("isin"), "isin", "left_semi").withColumn("clash", F.lit(True))
-    m = m.join(clash, ["ticker", "isin"], "left").withColumn("ticker", F.when(F.col("clash").isNull(), F.col("ticker"))).drop("clash")
+    clash = said.select("ticker", "isin").distinct().join(instruments.where("isin IS NULL").select("ticker"), "ticker", "left_semi").join(instruments.where("isin IS NOT NULL").select("isin"), "isin", "left_semi").select(codes.alias("key"), F.lit(True).alias("clash"))
+    apart = lambda x: looked_up(x, clash, codes, *cols, "seq").withColumn("ticker", F.when(F.col("clash").isNull(), F.col("ticker"))).drop("clash")
+    said, m = apart(said), apart(clean(mentions))
     known = instruments.select(*cols, F.lit(-1).cast("long").alias("seq"), F.col("instrument_id").cast("long").alias("old_id"), "kind")
-    told = m.where("ticker IS NOT NULL OR isin IS NOT NULL").select(*cols, F.col("seq").cast("long").alias("seq"), F.lit(None).cast("long").alias("old_id"), F.lit(None).cast("string").alias("kind"))
+    told = said.where("ticker IS NOT NULL OR isin IS NOT NULL").select(*cols, "seq", F.lit(None).cast("long").alias("old_id"), F.lit(None).cast("string").alias("kind"))
     every = known.unionByName(told)
     pairs = every.where("ticker IS NOT NULL AND isin IS NOT NULL").groupBy("ticker").agg(F.min_by("isin", F.struct("seq", "isin")).alias("its"), F.count_distinct("isin").alias("isins"), F.min("seq").alias("from"))
     tickers = pairs.select("ticker", "its", F.when(F.col("from") < 0, 1).otherwise(F.col("isins")).alias("isins"))
@@ -57,7 +60,7 @@ def resolve_instruments(mentions: DataFrame, instruments: DataFrame) -> tuple[Da
     g = g.where("old_id IS NOT NULL").withColumn("instrument_id", F.col("old_id")).unionByName(fresh)
     kind = F.when(F.col("kind").isNull() | (F.col("kind") == "other"), guess_kind(F.col("ticker"), F.col("isin"), F.col("name"))).otherwise(F.col("kind"))
     g = g.withColumn("kind", kind)
-    rows = with_identity(m, tickers).join(g.select("ref", "instrument_id"), "ref", "left")
+    rows = looked_up(with_identity(m, tickers), g.select(F.col("ref").alias("key"), "instrument_id"), F.col("ref"), "seq")
     coded = F.col("ticker").isNotNull() | F.col("isin").isNotNull()
     lost = coded & F.col("instrument_id").isNull()
     return rows.where(~lost).drop("ref"), g.select("instrument_id", *cols, "kind"), rows.where(lost).drop("ref", "instrument_id").withColumn("reason", F.lit("the ticker goes with several ISINs"))

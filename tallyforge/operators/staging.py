@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,6 +47,16 @@ def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFra
     return left.join(right.hint("merge"), on, how)
 
 
+def looked_up(rows: DataFrame, other: DataFrame, key: Column, *spread: str) -> DataFrame:
+    """``rows`` with the columns of ``other`` where ``key``, a text, equals its column ``key``.
+
+    Rows without a key find nothing. A plain left join sends all of them to one task, so
+    they are dealt out by their columns ``spread`` instead.
+    """
+    mine = F.coalesce(F.concat(F.lit("k"), key), F.concat_ws("|", F.lit(""), *[F.col(x).cast("string") for x in spread]))
+    return rows.withColumn("_mine", mine).join(other.withColumn("_mine", F.concat(F.lit("k"), "key")).drop("key"), "_mine", "left").drop("_mine")
+
+
 def numbered(rows: DataFrame, order: list[str], first: int, name: str = "id") -> DataFrame:
     """Give ids from ``first`` on in ``order``.
 

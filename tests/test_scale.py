@@ -4,8 +4,10 @@ import random
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyforge.operators import identities
 from tallyforge.operators import statement_rows as R
 from tallyforge.plans.statement_queries import demo_statements
 from tallyforge.sources.statements import Tables, statements
@@ -28,6 +30,21 @@ def test_a_filter_on_mapped_rows_does_not_repeat_the_mapping(spark):
         assert "regexp" not in plan(x) and "MapInPandas" not in plan(x)
 
 
+def test_mentions_without_a_ticker_do_not_meet_in_one_task(spark):
+    for k, v in {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}.items():
+        spark.conf.set(k, v)
+    try:
+        m = spark.range(8000).selectExpr("id AS seq", "if(id % 2 = 0, concat('T', id), null) AS ticker", "if(id % 2 = 1 or id % 4 = 0, concat('I', id), null) AS isin")
+        t = m.where("ticker IS NOT NULL AND isin IS NOT NULL").selectExpr("ticker", "isin AS its", "1 AS isins")
+        x = identities.with_identity(m, t)
+        got = {r.seq: r.ref for r in x.collect()}
+        assert all(got[i] == (f"TT{i}" if i % 4 == 2 else f"II{i}") for i in range(8000))
+        assert max(r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect()) < 3000
+    finally:
+        for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
+
+
 class Slow(Tables):
     """The parser by the library's own reading of every tag."""
 
