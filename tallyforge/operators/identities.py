@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import cleaning as c
-from tallyforge.operators.connected import components
-from tallyforge.operators.staging import looked_up, numbered, staged
+from tallyforge.operators.connected import groups
+from tallyforge.operators.staging import dealt_out, looked_up, numbered, staged
 
 # Forms of bond codes and words in names.
 BOND_TICKER, BOND_ISIN = r"^(SU\d{5}RMFS\d|RU000[A-Z0-9]{8})$", "RU000A"
@@ -82,19 +82,22 @@ def resolve_chains(mentions: DataFrame, instruments: DataFrame) -> tuple[DataFra
     (instrument_id, code), ``I`` or ``T`` before an ISIN or a ticker.
     """
     tagged = lambda x: x.withColumns({"t": F.concat(F.lit("T"), c.ticker(F.col("ticker"))), "i": F.concat(F.lit("I"), c.isin(F.col("isin")))})
-    m, k = tagged(mentions), tagged(instruments)
+    # few bytes but dear to clean: dealt out, and cleaned once
+    m, k = staged(tagged(dealt_out(mentions)), "mentions"), tagged(instruments)
     node = lambda x: x.select(F.coalesce("i", "t").alias("a"), F.coalesce("t", "i").alias("b"))
-    group = staged(components(node(m).unionByName(node(k)).where("a IS NOT NULL").distinct()), "chains")
+    group = staged(groups(node(m).unionByName(node(k))), "chains")
     codes = k.select(F.col("instrument_id").cast("long").alias("instrument_id"), F.explode(F.array("t", "i")).alias("node")).where("node IS NOT NULL")
     known = codes.join(group, "node").groupBy("label").agg(F.min("instrument_id").alias("instrument_id"), (F.min("instrument_id") != F.max("instrument_id")).alias("conflict"))
-    m = m.join(group.withColumnRenamed("node", "_code"), F.coalesce("i", "t") == F.col("_code"), "left").drop("_code").join(known, "label", "left")
+    m = looked_up(m, group.join(known, "label", "left").withColumnRenamed("node", "key"), F.coalesce("i", "t"), "seq")
     m = staged(m, "chained")
     top = instruments.agg(F.coalesce(F.max("instrument_id"), F.lit(0))).first()[0]
     fresh = m.where("label IS NOT NULL AND instrument_id IS NULL").groupBy("label").agg(F.min("seq").alias("seq"))
     fresh = staged(numbered(fresh, ["seq"], top + 1, "fresh").select("label", "fresh"), "fresh")
     own = codes.groupBy("node").agg(F.min("instrument_id").alias("own"))
-    m = m.join(fresh, "label", "left")
-    m = m.join(own.withColumnsRenamed({"node": "i", "own": "by_isin"}), "i", "left").join(own.withColumnsRenamed({"node": "t", "own": "by_ticker"}), "t", "left")
+    m = looked_up(m, fresh.select(F.col("label").cast("string").alias("key"), "fresh"), F.when(F.col("instrument_id").isNull(), F.col("label").cast("string")), "seq")
+    # only a group in conflict asks for its own codes
+    torn = lambda x: F.when(F.col("conflict"), F.col(x))
+    m = looked_up(looked_up(m, own.toDF("key", "by_isin"), torn("i"), "seq"), own.toDF("key", "by_ticker"), torn("t"), "seq")
     m = m.withColumn("instrument_id", F.when(F.col("conflict"), F.coalesce("by_isin", "by_ticker")).otherwise(F.coalesce("instrument_id", "fresh")))
     plain = m.select(*[f"`{x}`" for x in mentions.columns], "instrument_id", "label")
     lost = F.col("label").isNotNull() & F.col("instrument_id").isNull()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallyforge.operators import identities
+from tallyforge.operators import connected, identities
 from tallyforge.operators import statement_rows as R
 from tallyforge.plans.statement_queries import demo_statements
 from tallyforge.sources.statements import Tables, statements
@@ -57,3 +57,19 @@ def test_plain_tags_are_read_as_the_library_reads_them():
     for _ in range(3000):
         markup = "".join(r.choices(bits, k=r.randint(1, 40)))
         assert Tables(markup).found == Slow(markup).found, markup
+
+
+def test_finished_components_take_no_part_in_later_rounds(spark, monkeypatch):
+    wrote = []
+
+    def staged(df, name):
+        out = connected_staged(df, name)
+        wrote.append(out.count() if name == "edges" else 0)
+        return out
+
+    connected_staged = connected.staged
+    monkeypatch.setattr(connected, "staged", staged)
+    e = spark.range(16_000).selectExpr("id AS a", "id + 1 AS b").where("b % 16 <> 0")
+    got = connected.components(e)
+    assert sum(wrote) < 2.5 * 15_000
+    assert got.where("label <> node - node % 16").isEmpty() and got.count() == 16_000
