@@ -7,6 +7,12 @@ key with most of the rows is worked on a month at a time.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +24,8 @@ MONEY = "decimal(28,6)"
 LOW, HIGH, YEAR = -0.99, 10.0, 365
 #: Cells of the logarithmic grid on which a return's brackets are found, and halvings of a bracket.
 GRID, HALVINGS = 256, 60
+#: Flows whose worth a task computes at once, about.
+FLOWS_AT_ONCE = 20_000
 
 
 def running(daily: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -121,20 +129,59 @@ def money_weighted(flows: DataFrame, by: tuple[str, ...] = ("account_id",), low:
     keys = [*by]
     daily = flows.where("day IS NOT NULL AND amount IS NOT NULL").groupBy(*keys, "day").agg(F.sum(F.col("amount").cast(MONEY)).alias("amount")).where("amount <> 0")
     k = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", F.col("amount").cast("double").alias("amount")))).alias("f"))
-    t = lambda f: F.date_diff(f["day"], F.element_at("f", 1)["day"]) / F.lit(float(YEAR))
-    k = k.withColumn("f", F.transform("f", lambda f: F.struct(t(f).alias("t"), f["amount"].alias("a"))))
-    worth = lambda y: F.aggregate("f", F.lit(0.0), lambda s, f: s + f["a"] * F.exp(-y * f["t"]))
-    bottom, top = F.log(F.lit(1 + low)), F.log(F.lit(1 + high))
-    at = lambda j: bottom + (top - bottom) * j / F.lit(float(grid))
-    k = k.repartition(*keys).withColumn("above", F.transform(F.sequence(F.lit(0), F.lit(grid)), lambda j: worth(at(j)) > 0))
-    k = k.withColumn("turns", F.filter(F.sequence(F.lit(0), F.lit(grid - 1)), lambda j: F.get("above", j) != F.get("above", j + 1)))
-    one = F.size("turns") == 1
-    start = F.struct(at(F.get("turns", F.lit(0))).alias("lo"), at(F.get("turns", F.lit(0)) + 1).alias("hi"), F.get("above", F.get("turns", F.lit(0))).alias("above"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        # the value at mid is asked for once
-        return F.element_at(F.transform(F.array(worth(mid) > 0), lambda up: F.struct(F.when(up == s["above"], mid).otherwise(s["lo"]).alias("lo"), F.when(up == s["above"], s["hi"]).otherwise(mid).alias("hi"), s["above"].alias("above"))), 1)
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: F.exp((s["lo"] + s["hi"]) / 2) - 1)
-    return k.select(*keys, F.size("f").cast("long").alias("flows"), F.size("turns").cast("long").alias("roots"), F.when(one, root).alias("xirr"))
+    t = F.transform("f", lambda f: F.date_diff(f["day"], F.element_at("f", 1)["day"]) / F.lit(float(YEAR)))
+    k = k.repartition(*keys).select(*keys, t.alias("t"), F.col("f.amount").alias("a"))
+    schema = k.drop("t", "a").schema.add("flows", "long").add("roots", "long").add("xirr", "double")
+    bottom, top = math.log(1 + low), math.log(1 + high)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, FLOWS_AT_ONCE * batch.num_rows // max(1, len(batch.column("t").flatten())))
+            for i in range(0, batch.num_rows, step):
+                b = batch.slice(i, step)
+                flows, turns, root = roots(*(b.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("t", "a")), np.asarray(pc.list_value_length(b.column("a")), np.int64), bottom, top, grid)
+                found = pa.array(root, mask=turns != 1)
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keys), pa.array(flows), pa.array(turns), found], [*keys, "flows", "roots", "xirr"])
+
+    return k.mapInArrow(run, schema)
+
+
+def roots(t: np.ndarray, a: np.ndarray, flows: np.ndarray, bottom: float, top: float, grid: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For keys of so many ``flows`` each: how many there are, the turns of their worth on the grid, and the root of those that turn once."""
+    # keys with more flows come first, so the n-th flows lie side by side; they are added in a key's order
+    starts, by_length = np.cumsum(flows) - flows, np.argsort(-flows, kind="stable")
+    more = np.searchsorted(-flows[by_length], -np.arange(flows.max(initial=0)), "left")
+    nth = [starts[by_length[:many]] + n for n, many in enumerate(more)]
+    layers = [(-t[i], a[i]) for i in nth]
+
+    def above(y, rows: np.ndarray | None = None) -> np.ndarray:
+        total = np.zeros(len(flows) if rows is None else len(rows))
+        for ti, ai in layers:
+            if rows is None:
+                total[: len(ti)] += ai * np.exp(ti * y)
+            else:
+                i = rows[: np.searchsorted(rows, len(ti))]
+                total[: len(i)] += ai[i] * np.exp(ti[i] * y[: len(i)])
+        return total > 0
+
+    at = np.array([bottom + (top - bottom) * j / float(grid) for j in range(grid + 1)])
+    turns, first, up = np.zeros(len(flows), np.int64), np.zeros(len(flows), np.int64), np.zeros(len(flows), bool)
+    before = above(at[0])
+    for j in range(grid):
+        now = above(at[j + 1])
+        turned = now != before
+        new = turned & (turns == 0)
+        first[new], up[new] = j, before[new]
+        turns += turned
+        before = now
+    one = np.flatnonzero(turns == 1)
+    lo, hi = at[first[one]], at[first[one] + 1]
+    for _ in range(HALVINGS):
+        mid = (lo + hi) / 2
+        same = above(mid, one) == up[one]
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid)
+    root = np.zeros(len(flows))
+    root[one] = np.exp((lo + hi) / 2) - 1
+    back = np.empty_like(by_length)
+    back[by_length] = np.arange(len(flows))
+    return flows, turns[back], root[back]
