@@ -58,12 +58,11 @@ VALUES = TREES * DEPTH
 REGION, SHARED, ESTIMATE = 8, 75, 0.6
 #: Values that a crowd agrees in, buckets of its shingles' counts, rows of a group that makes pairs, and rows on each side of a task for larger groups.
 CROWD, BUCKETS, FEW, BLOCK = 2, 1 << 20, 32, 500
-#: Word hashes that a worker remembers, and sorted rows that it holds, at most.
-REMEMBER, HELD = 500_000, 200_000
+#: Sorted rows that a worker holds, at most.
+HELD = 200_000
 _r = np.random.default_rng(42)
 FACTORS = _r.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32) | np.uint32(1)
 MASKS = _r.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32)
-_known: dict[bytes, int] = {}
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -71,15 +70,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
-    try:
-        h = np.array([_known[w] for w in ws], np.uint64)
-    except KeyError:
-        if len(_known) > REMEMBER:
-            _known.clear()
-        for w in set(ws):
-            if w not in _known:
-                _known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([_known[w] for w in ws], np.uint64)
+    # nothing is remembered between texts: rare words would fill every worker of an executor
+    known = {w: xxhash.xxh3_64_intdigest(w) for w in set(ws)}
+    h = np.fromiter((known[w] for w in ws), np.uint64, len(ws))
     n = min(SHINGLE_WORDS, len(h))
     s = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallyforge.llm import common, hard_negatives, quality, token_alignment
+from tallyforge.llm import common, hard_negatives, near_dedup, quality, token_alignment
 
 DIR = "/root/testdata/sf0.001"
 
@@ -277,3 +278,14 @@ def test_queries_by_name(spark):
     assert len(rows) == n and (rows.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id]).all()
     assert (rows.predicted == (rows.score >= 0.3)).all()
     assert dict(q["op12_hard_negatives"](spark, DIR).dtypes) == {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"}
+
+
+def test_a_worker_keeps_no_words_of_earlier_texts():
+    near_dedup.shingle_set("a b c d e f")
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for i in range(2000):
+        near_dedup.shingle_set(" ".join(f"rare{i}x{j}" for j in range(20)))
+    kept = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert kept < 500_000
