@@ -31,15 +31,17 @@ def append_new(batch: DataFrame, root: str, number: int, layout: Layout = KEYS)
     events without a key stay all.
     """
     spark = batch.sparkSession
-    rank = F.row_number().over(W.partitionBy("natural_key").orderBy(*layout.order))
-    keyed = staged(batch.where("natural_key IS NOT NULL").withColumn("_rank", rank).where("_rank = 1").drop("_rank"), "batch")
+    deal = F.when(F.col("natural_key").isNull(), F.xxhash64(*layout.order))  # rows without a key are not one group
+    rank = F.row_number().over(W.partitionBy("natural_key", deal).orderBy(*layout.order))
+    once = staged(batch.withColumn("_rank", rank).where("_rank = 1 OR natural_key IS NULL").drop("_rank"), "batch")
+    keyed = once.where("natural_key IS NOT NULL")
     known = store.read(spark, root, without=f"stream-{number}")
     fresh = keyed
     if known is not None:
         buckets = [r[0] for r in keyed.select(layout.bucket(F.col("natural_key"))).distinct().collect()]  # at most layout.buckets
         met = known.where(F.col("bucket").isin(buckets)).select("natural_key").join(keyed.select("natural_key"), "natural_key", "left_semi")
         fresh = keyed.join(met, "natural_key", "left_anti")
-    store.commit(fresh.unionByName(batch.where("natural_key IS NULL")).select(*batch.columns), root, f"stream-{number}", layout)
+    store.commit(fresh.unionByName(once.where("natural_key IS NULL")).select(*batch.columns), root, f"stream-{number}", layout)
 
 
 def dedupe_into(events: DataFrame, root: str, checkpoint: str, layout: Layout = KEYS) -> StreamingQuery:

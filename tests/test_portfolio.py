@@ -250,6 +250,19 @@ def test_a_key_that_comes_again_after_41_days_adds_nothing(spark, tmp_path):
     assert sorted(r.id for r in store.read(spark, root).collect()) == [1, 2, 3, 5, 6, 104]
 
 
+def test_a_batch_is_computed_once(spark, tmp_path):
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            rows.add(len(b))
+            yield b
+
+    e = entries(spark, range(1, 41)).withColumn("natural_key", F.when(F.col("id") % 4 > 0, F.col("natural_key")))
+    ingest.append_new(e.mapInPandas(count, e.schema), f"file://{tmp_path}/once", 0)
+    assert rows.value == 40 and store.read(spark, f"file://{tmp_path}/once").count() == 40
+
+
 def test_quantiles_equal_percentile(spark):
     r = random.Random(8)
     rows = [("big", r.choice([1.0, 2.0, r.expovariate(1), 1e300 * r.random(), -r.random()])) for _ in range(4_000)] + [("one", 3.0), ("two", -1e308), ("two", 1e308), (None, 5.0), (None, 7.0), ("none", None), ("nan", float("nan"))]
