@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: ASCII white space between words, as a Java regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 SHINGLE_WORDS = 5
+#: Rows of one file of a small intermediate table, and the least number of its files.
+PART_ROWS, LEAST_PARTS = 50_000, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +48,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def in_parts(df: DataFrame, rows: int, each: int = PART_ROWS) -> DataFrame:
+    """``df``, of about ``rows`` rows, in partitions of ``each`` rows, ``LEAST_PARTS`` at least; never in more than it has."""
+    return df.coalesce(max(LEAST_PARTS, math.ceil(rows / each)))
+
+
+def stash(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``rows``, about how many it has at most, it is written in as many files as these need
+    and not in one for each shuffle partition: a small table's time is that of its files.
+    """
     spark = df.sparkSession
+    df = df if rows is None else in_parts(df, rows)
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)

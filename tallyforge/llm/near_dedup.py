@@ -49,8 +49,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SHINGLE_WORDS, discard, stash, table, whole_id
-from tallyforge.llm.components import components
+from tallyforge.llm.common import SHINGLE_WORDS, discard, in_parts, stash, table, whole_id
+from tallyforge.llm.components import components, joined
 
 TREES, DEPTH = 16, 8
 VALUES = TREES * DEPTH
@@ -60,6 +60,8 @@ REGION, SHARED, ESTIMATE = 8, 75, 0.6
 CROWD, BUCKETS, FEW, BLOCK = 2, 1 << 20, 32, 500
 #: Sorted rows that a worker holds, at most.
 HELD = 200_000
+#: Pairs that a task confirms, or texts that it reads, about.
+PAIRS = 2_000
 _r = np.random.default_rng(42)
 FACTORS = _r.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32) | np.uint32(1)
 MASKS = _r.integers(0, 1 << 32, VALUES, np.uint64).astype(np.uint32)
@@ -311,17 +313,18 @@ def crowd_links(crowds: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """Links (a, b) between rows of crowds that are in different components."""
     rows = crowds.join(roots, "node", "left").select("crowd", "node", F.coalesce("root", "node").alias("root"))
     mixed = rows.groupBy("crowd").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("crowd")
-    rows = stash(rows.join(mixed, "crowd").select("node", "root").distinct(), "op2-crowds")
+    rows = stash(rows.join(mixed, "crowd").select("node", "root").distinct(), "op2-crowds", crowds.count())
     texts = docs.select(whole_id(docs, id_col).alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    texts = stash(texts.join(rows, "node").distinct(), "op2-texts")
+    texts = stash(in_parts(texts.join(rows, "node").distinct(), rows.count(), PAIRS), "op2-texts")
     keys = stash(rare_keys(texts), "op2-keys")
-    groups = stash(rare_groups(keys), "op2-groups")
-    pairs = stash(rare_pairs(groups), "op2-pairs")
+    groups = stash(rare_groups(keys), "op2-groups", keys.count())
+    many = groups.count()
+    pairs = stash(rare_pairs(groups), "op2-pairs", many)
     links = confirmed(pairs, docs, id_col, text_col)
     large = groups.where(F.col("many") > FEW)
     # groups of the same rows are one
     same = large.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).groupBy("n", "sum").agg(F.min("h").alias("h"))
-    large = stash(large.join(same.select("h"), "h", "left_semi").select(F.col("h").alias("crowd"), "node", "root").distinct(), "op2-large")
+    large = stash(large.join(same.select("h"), "h", "left_semi").select(F.col("h").alias("crowd"), "node", "root").distinct(), "op2-large", many)
     if not large.isEmpty():
         links = links.unionByName(large_links(large, texts.select("node", "text")))
     return links.distinct()
@@ -367,7 +370,8 @@ def large_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shared: int = SHARED) -> DataFrame:
     """The pairs that share enough of their full sets."""
-    wanted = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "op2-wanted")
+    many = pairs.count()
+    wanted = stash(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "op2-wanted", 2 * many)
     texts = docs.select(whole_id(docs, id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     texts = texts.groupBy("id").agg(F.collect_set("text").alias("texts"))
 
@@ -382,7 +386,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sha
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = pairs.select("a", "b").join(texts.withColumnsRenamed({"id": "a", "texts": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "texts": "tb"}), "b")
-    return x.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return in_parts(x.select("a", "b", "ta", "tb"), many, PAIRS).mapInArrow(run, "a long, b long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, shared: int = SHARED) -> bool:
@@ -396,11 +400,10 @@ def joined_crowds(found: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """The roots after the crowds' links between different components are known too."""
     crowds = found.where("b IS NULL").select("crowd", F.col("a").alias("node")).distinct()
     wide = crowds.groupBy("crowd").count().where("count > 1").select("crowd")
-    crowds = stash(crowds.join(wide, "crowd"), "op2-crowds")
+    crowds = stash(crowds.join(wide, "crowd"), "op2-crowds", found.count())
     links = stash(crowd_links(crowds, docs, id_col, text_col, roots), "op2-links")
     if not links.isEmpty():
-        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = stash(components(links.unionByName(tree)), "op2-roots")
+        roots = stash(joined(roots, links), "op2-roots", roots.count() + 2 * links.count())
     discard(crowds, links)
     return roots
 
@@ -409,34 +412,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept of every row."""
     signed = stash(sign(docs, id_col, text_col), "op2-signed")
     classes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("node"), F.first("sig").alias("sig"))
-    classes = stash(classes, "op2-classes")
+    rows = signed.count()
+    classes = stash(classes, "op2-classes", rows)
     known = classes.where(F.col("node").isNotNull())
-    found = stash(candidates(known), "op2-candidates")
-    pairs = stash(likely(found.where("b IS NOT NULL").select("a", "b").distinct(), known), "op2-pairs")
+    found = stash(candidates(known), "op2-candidates", TREES * rows)
+    pairs = stash(likely(found.where("b IS NOT NULL").select("a", "b").distinct(), known), "op2-pairs", found.count())
 
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b"))
-    best = stash(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op2-best")
+    best = stash(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op2-best", rows)
     links = stash(confirmed(best, docs, id_col, text_col), "op2-links")
     # an id with several texts ties their classes
     ties = signed.where(F.col("key").isNotNull()).select("id", "key").join(classes.select("key", "node"), "key").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
     ties = ties.join(known.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-    links = stash(links.unionByName(ties), "op2-links")
-    roots = stash(components(links), "op2-roots")
+    roots = components(stash(links.unionByName(ties), "op2-links", rows))
 
     rest = pairs.join(best, ["a", "b"], "left_anti")
     rest = rest.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
-    rest = stash(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "op2-rest")
+    rest = stash(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "op2-rest", pairs.count())
     more = stash(confirmed(rest, docs, id_col, text_col), "op2-links")
     if not more.isEmpty():
-        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = stash(components(more.unionByName(tree)), "op2-roots")
+        roots = stash(joined(roots, more), "op2-roots", rows)
     discard(pairs, more)
     roots = joined_crowds(found, docs, id_col, text_col, roots)
 
     # a class by the least id of its component
     c = classes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
-    c = stash(c, "op2-components")
+    c = stash(c, "op2-components", rows)
     discard(classes, found, best, rest)
     out = signed.select("id", "n", "key").join(c, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))

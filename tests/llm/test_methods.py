@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyforge.llm import common, decontamination, fingerprints, html_text, language, mixing, near_dedup, secrets, token_files, toxicity, urls
+from tallyforge.llm import common, components, decontamination, fingerprints, html_text, language, mixing, near_dedup, secrets, token_files, toxicity, urls
 
 LONG = " ".join(f"w{i}" for i in range(60_000))
 HOSTILE = [
@@ -678,6 +678,30 @@ def test_crowd_rows_meet_on_their_rarest_shingles(spark, monkeypatch, few):
     assert got == want and len(want) > 30
 
 
+def test_small_tables_are_few_files_and_settled_components_are_left_alone(spark, monkeypatch):
+    """However many partitions a shuffle has; more links are worked on between roots only."""
+    r = random.Random(5)
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, made, put = {k: spark.conf.get(k) for k in conf}, [], components.stash
+    monkeypatch.setattr(components, "stash", lambda df, name, *rows: made.append((name, x := put(df, name, *rows), len(x.inputFiles()))) or x)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(40)]
+    more = [(r.randrange(600), r.randrange(600)) for _ in range(60)] + [(440, 3)]
+    d = lambda x: spark.createDataFrame(x, "a long, b long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        roots = components.components(d(edges))
+        got = {tuple(x) for x in components.joined(roots, d(more)).collect()}
+        assert got == {tuple(x) for x in components.components(d(edges + more)).collect()} and len(made) > 8
+        assert max(n for _, _, n in made) <= common.LEAST_PARTS
+        made.clear()
+        assert {tuple(x) for x in components.components(d([(9, 1), (1, 8), (5, 4)])).collect()} == {(9, 1), (8, 1), (5, 4)} and len(made) == 1
+        assert components.joined(roots, d([])).count() == roots.count() and components.joined(d([]).toDF("node", "root"), d([(2, 1)])).collect() == [(2, 1)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_texts_that_share_a_passage_make_no_groups(spark):
     r = random.Random(4)
     passage = " ".join(f"licence{i}" for i in range(100))
