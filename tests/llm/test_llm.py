@@ -1,6 +1,7 @@
 """Defined cases and brute-force versions of the training-data operators."""
 
 import hashlib
+import pickle
 import random
 import zlib
 
@@ -203,6 +204,26 @@ def test_url_threshold_hears_all_hosts():
     assert m.threshold == urls.calibrated(scored)
 
 
+def test_every_decided_url_is_counted_and_calibrates(spark):
+    r = random.Random(6)
+    rows = [(i, f"http://h{r.randrange(500)}.org/fr/{i}") for i in range(14_000)] + [(i, f"http://h{r.randrange(500)}.net/{i}") for i in range(12_000)]
+    d = spark.createDataFrame(rows + rows[:500], "page_id long, url string")
+    m = urls.fit_url_model(d)
+    half = {x.whole for x in d.select(F.col("url").alias("whole")).distinct().where("pmod(xxhash64(whole), 2) = 0").collect()}
+    allow, block = (sorted({u for _, u in some}) for some in (rows[:14_000], rows[14_000:]))
+    for kind, xs in ((m.allow, allow), (m.block, block)):
+        plain = urls.CharModel([u for u in xs if u in half])
+        assert all((getattr(kind, c) == getattr(plain, c)).all() for c in ("counts", "total", "kinds"))
+    sent = pickle.dumps(m)
+    assert pickle.loads(sent).verdicts(allow[:50] + block[:50]) == m.verdicts(allow[:50] + block[:50]) and len(sent) < 5_000_000
+    scored = [(x, y) for y, xs in ((1, allow), (0, block)) for x in m.differences([u for u in xs if u not in half])]
+    assert len(scored) > 12_000 and abs(m.threshold - urls.calibrated(scored)) < 1e-9
+    few = [(round(r.gauss(y, 1), 3), bool(y)) for y in (0, 1) for _ in range(300)]
+    one_each = list({x: (x, y) for x, y in few}.values())
+    assert abs(urls.threshold_of(spark.createDataFrame(one_each, "x double, allow boolean")) - urls.calibrated([(x, int(y)) for x, y in one_each])) < 1e-9
+    assert urls.threshold_of(spark.createDataFrame([(1.0, True)], "x double, allow boolean")) == 0
+
+
 def test_whole_urls_are_judged(spark):
     rows = [(i, f"http://h{i % 9}.net/p{i % 7}?{'ad' if i % 2 else 'bid'}={i}#x") for i in range(200)]
     rows += [(1000 + i, f"http://h{i % 9}.org/fr/p{i % 7}?page={i}#x") for i in range(200)]
