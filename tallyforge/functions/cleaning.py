@@ -20,6 +20,8 @@ CURRENCIES = {
 }
 CURRENCY_SUFFIX = r"(?i)(₽|руб\.?|rub|rur|usd|\$|eur|€|cny)$"
 PUNCTUATION = r"""[«»"'()\[\]:;,.]+"""
+#: What most cells look like. They are read at once; the rest goes through all steps, which give the same for these.
+PLAIN_NUMBER, PLAIN_DATE = r"^-?\d+([.,]\d+)?\z", r"^\d{2}\.\d{2}\.[1-9]\d{3}\z"
 
 
 def let(value: Column, then) -> Column:
@@ -27,12 +29,19 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def split_code(name: str) -> Column:
+    """The column as it is, by a step that Spark leaves out of whole-stage code: a projection that has it is compiled as many
+    small methods. As one method of over 8,000 bytes it would run uncompiled by the JVM."""
+    return let(F.col(name), lambda x: x).alias(name)
+
+
 def normalize_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), f"[ \\t\\r\\n{SPACES}]+", " "))
 
 
 def is_blank(x: Column) -> Column:
-    return F.lower(normalize_text(x)).isin(*BLANKS)
+    t = F.btrim(F.coalesce(x, F.lit("")), F.lit(" \t\r\n" + SPACES))
+    return (F.length(t) <= max(map(len, BLANKS))) & F.lower(t).isin(*BLANKS)
 
 
 def number_digits(x: Column) -> Column:
@@ -66,7 +75,10 @@ def parse_decimal(x: Column, kind: str = "decimal(28,10)") -> Column:
         n = F.when(F.regexp_like(s["n"], F.lit(r"^(\d*\.?\d+|\d+\.?\d*)$")), s["n"]).try_cast(kind)
         return F.when(s["negative"], -n).otherwise(n).cast(kind)
 
-    return F.when(~is_blank(x), let(let(let(normalize_text(x), unsigned), digits), value))
+    plain = lambda t: F.replace(t, F.lit(","), F.lit(".")).try_cast(kind)
+    joint = F.regexp_replace(x, f"[ {SPACES}]+", "")
+    is_plain = lambda t: F.regexp_like(t, F.lit(PLAIN_NUMBER))
+    return F.when(is_plain(x), plain(x)).when(is_plain(joint), plain(joint)).when(~is_blank(x), let(let(let(normalize_text(x), unsigned), digits), value))
 
 
 def parse_date(x: Column) -> Column:
@@ -77,7 +89,8 @@ def parse_date(x: Column) -> Column:
         if form == "d.M.yy":  # two digits from 69 on are the last century
             d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
         out = d if out is None else F.coalesce(out, d)
-    return out
+    iso = F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2))
+    return F.when(F.regexp_like(x, F.lit(PLAIN_DATE)), iso.try_cast("date")).otherwise(out)
 
 
 def parse_currency(x: Column) -> Column:

@@ -51,7 +51,8 @@ def resolve_instruments(mentions: DataFrame, instruments: DataFrame) -> tuple[Da
     told = said.where("ticker IS NOT NULL OR isin IS NOT NULL").select(*cols, "seq", F.lit(None).cast("long").alias("old_id"), F.lit(None).cast("string").alias("kind"))
     every = known.unionByName(told)
     pairs = every.where("ticker IS NOT NULL AND isin IS NOT NULL").groupBy("ticker").agg(F.min_by("isin", F.struct("seq", "isin")).alias("its"), F.count_distinct("isin").alias("isins"), F.min("seq").alias("from"))
-    tickers = pairs.select("ticker", "its", F.when(F.col("from") < 0, 1).otherwise(F.col("isins")).alias("isins"))
+    # written, so that Spark knows what is small enough to be sent to the mentions, which then stay where they are
+    tickers = staged(pairs.select("ticker", "its", F.when(F.col("from") < 0, 1).otherwise(F.col("isins")).alias("isins")), "tickers")
     every = with_identity(every, tickers).where("ref IS NOT NULL")
     first = lambda x: F.min_by(x, F.when(F.col(x).isNotNull(), F.struct("seq", x))).alias(x)
     g = staged(every.groupBy("ref").agg(*[first(x) for x in cols], F.min("old_id").alias("old_id"), F.max("kind").alias("kind"), F.min("seq").alias("seq")), "instruments")
@@ -59,7 +60,7 @@ def resolve_instruments(mentions: DataFrame, instruments: DataFrame) -> tuple[Da
     fresh = numbered(g.where("old_id IS NULL"), ["seq", "ref"], top + 1, "instrument_id")
     g = g.where("old_id IS NOT NULL").withColumn("instrument_id", F.col("old_id")).unionByName(fresh)
     kind = F.when(F.col("kind").isNull() | (F.col("kind") == "other"), guess_kind(F.col("ticker"), F.col("isin"), F.col("name"))).otherwise(F.col("kind"))
-    g = g.withColumn("kind", kind)
+    g = staged(g.withColumn("kind", kind), "dimension")
     rows = looked_up(with_identity(m, tickers), g.select(F.col("ref").alias("key"), "instrument_id"), F.col("ref"), "seq")
     coded = F.col("ticker").isNotNull() | F.col("isin").isNotNull()
     lost = coded & F.col("instrument_id").isNull()

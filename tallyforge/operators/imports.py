@@ -73,14 +73,14 @@ def import_statements(parsed: DataFrame, ledger: DataFrame, accounts: DataFrame,
     ops = R.statement_operations(mapped).join(reports, "report")
     ops = numbered(ops, ["period_start", "report", "idx", "row", "part"], 0, "seq").withColumns({"name": F.col("instrument_name")})
     rows, instruments, unknown = resolve_instruments(ops, instruments)
-    instruments = staged(instruments, "dimension")
     rows = rows.withColumns({"event_type": F.col("kind"), "instrument": F.coalesce("isin", "ticker"), "source_row_id": F.lit(None).cast("string"), "source_report": F.col("report")})
     rows = natural_keys(rows, "seq", ("report",))
     twice = F.count("*").over(W.partitionBy("natural_key", "report")) > 1
     later = F.row_number().over(W.partitionBy("natural_key").orderBy("seq")) > 1
     seen = ledger.select("natural_key").distinct().withColumn("there", F.lit(True))
     action = F.when(F.col("twice"), "rejected").when(F.col("later") | F.col("there"), "unchanged").otherwise("new")
-    diff = rows.withColumns({"twice": twice, "later": later}).join(seen, "natural_key", "left").withColumn("action", action)
+    # first by key, then by key and statement: one shuffle serves both, and the join
+    diff = rows.withColumn("later", later).withColumn("twice", twice).join(seen, "natural_key", "left").withColumn("action", action)
     diff = staged(as_ledger(diff, "seq", "action"), "diff")
     new = diff.where("action = 'new'")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import cleaning as c
 from tallyforge.functions.cleaning import let
 from tallyforge.operators.matching import longest_phrase
-from tallyforge.operators.staging import dealt_out, staged
+from tallyforge.operators.staging import dealt_out, joined, staged
 
 # Phrases of sections, columns, totals, operations and directions.
 SECTIONS = {
@@ -49,6 +49,10 @@ COLUMNS = {
     "opening_balance": ("входящий остаток", "остаток на начало", "начальный остаток"),
 }
 TOTALS = ("итого", "итог", "всего", "в том числе", "подытог", "оборот")
+#: A normalized cell of totals; what every such cell holds as it is written; characters that normalizing makes nothing of.
+TOTAL, ABOUT_TOTAL, NOTHING = rf"^({'|'.join(TOTALS)})( |\z)", r"(?iu)тог|вс[её]го|числ[её]|оборот", " \t\r\n" + c.SPACES + "«»\"'()[]:;,."
+#: Distinct headings, or texts before tables, that are sent to all executors; more of them are joined by a shuffle.
+LOOKS = 10_000
 OPERATIONS = {
     "TAX": ("налог на доходы", "ндфл", "налог"),
     "FEE DEPOSITARY": ("комиссия депозитария", "депозитарная комиссия"),
@@ -94,9 +98,16 @@ def record(fields, **values: Column) -> Column:
     return F.struct(*[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
 
 
+def width_of(headers: Column, rows: Column) -> Column:
+    return F.when(F.size(rows) > 0, F.array_max(F.transform(rows, F.size))).otherwise(F.size(headers))
+
+
 def column_names(headers: Column, rows: Column) -> Column:
     """Names of all columns: ``col_i`` where the header is empty, ``__n`` at the n-th repetition."""
-    width = F.when(F.size(rows) > 0, F.array_max(F.transform(rows, F.size))).otherwise(F.size(headers))
+    return names_of(headers, width_of(headers, rows))
+
+
+def names_of(headers: Column, width: Column) -> Column:
     raw = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(width, F.lit(1))), 1, width), lambda i: F.coalesce(F.nullif(F.get(headers, i), F.lit("")), F.concat(F.lit("col_"), i)))
 
     def suffixed(names: Column) -> Column:
@@ -144,60 +155,69 @@ def section_of(columns: Column) -> Column:
 
 
 def is_total(cells: Column) -> Column:
-    """Totals, empty rows and subheadings."""
-
-    def of(filled: Column) -> Column:
-        marked = F.exists(filled, lambda v: v.isin(*TOTALS) | reduce(lambda a, b: a | b, [F.startswith(v, F.lit(t + " ")) for t in TOTALS]))
-        return (F.size(filled) == 0) | marked | ((F.size(filled) == 1) & ~F.regexp_like(F.get(filled, F.lit(0)), F.lit(r"\d")))
-
-    return let(F.filter(F.transform(cells, c.normalize_signature), lambda v: v != ""), of)
+    """Totals, empty rows and subheadings (one cell without a digit). Only cells of rows with a word of totals are normalized; a cell is filled if it has more than spaces and punctuation."""
+    row = F.array_join(cells, " ")
+    total = F.regexp_like(row, F.lit(ABOUT_TOTAL)) & F.exists(cells, lambda x: F.regexp_like(c.normalize_signature(x), F.lit(TOTAL)))
+    return total | (~F.regexp_like(row, F.lit(r"\d")) & (F.size(F.filter(cells, lambda x: F.btrim(x, F.lit(NOTHING)) != "")) <= 1))
 
 
 def statement_headers(parsed: DataFrame) -> DataFrame:
     """(report, period_start, period_end, account_code), from the texts of tables and then from the whole text."""
-    texts = F.flatten(F.transform("tables", lambda t: F.concat(t["before"], F.array(t["caption"]), F.transform(t["rows"], lambda r: F.array_join(r, " ")))))
+    nothing = F.lit(None).cast("string")
     holds = lambda t: F.regexp_like(t, F.lit(PERIOD))
-    told = F.coalesce(F.get(F.filter(texts, holds), F.lit(0)), F.when(holds(F.col("text")), F.col("text")))
+    told = lambda t: F.when(holds(t), t)
+    # what comes after the first text that holds a period is not looked at
+    first = lambda xs, of: F.aggregate(xs, nothing, lambda found, x: F.coalesce(found, of(x)))
+    in_table = lambda t: F.coalesce(first(t["before"], told), told(t["caption"]), first(t["rows"], lambda r: let(F.array_join(r, " "), told)))
+    period = F.coalesce(first(F.col("tables"), in_table), told(F.col("text")))
     # each step is a column of its own, so that none is computed again where the next uses it several times
-    x = parsed.select("report", told.alias("told"), F.regexp_extract("text", ACCOUNT, 1).alias("account"))
+    x = parsed.select("report", period.alias("told"), F.regexp_extract("text", ACCOUNT, 1).alias("account"))
     x = x.select("report", "account", *[F.regexp_extract("told", PERIOD, i).alias(n) for i, n in ((1, "a"), (2, "b"))])
     return x.select("report", c.parse_date(F.col("a")).alias("period_start"), c.parse_date(F.col("b")).alias("period_end"), F.nullif("account", F.lit("")).alias("account_code"))
 
 
+def with_look(tables: DataFrame, looks: DataFrame, by: list[str]) -> DataFrame:
+    """``tables`` with what was found for their look. Few looks go to the tables, which stay where they are: dealt by look they would meet in as many tasks as there are looks."""
+    return tables.join(F.broadcast(looks), by) if looks.limit(LOOKS + 1).count() <= LOOKS else joined(tables, looks, by)
+
+
 def table_rows(parsed: DataFrame) -> DataFrame:
     """(report, idx, section, label, row, cells, names, columns) of all rows but totals."""
-    t = parsed.select("report", F.explode("tables").alias("t")).select("report", "t.*").withColumn("names", column_names(F.col("headers"), F.col("rows")))
-    # statements of one broker share their headings and texts: each distinct list is looked up once
-    t = staged(t, "tables")
-    t = t.join(dealt_out(t.select("names").distinct()).withColumn("columns", resolve_columns(F.col("names"))), "names")
     near = lambda x: F.regexp_replace(x, r"\d+", "0")
-    t = t.withColumn("said", F.transform(F.concat(F.array("caption"), F.reverse("before")), near))
+    t = parsed.select("report", F.explode("tables").alias("t")).select("report", "t.*")
+    t = t.withColumns({"width": width_of(F.col("headers"), F.col("rows")), "texts": F.concat(F.array("caption"), F.reverse("before"))})
+    label = F.get(F.filter("texts", lambda x: x != ""), F.lit(0))
+    t = staged(t.select("report", "idx", "headers", "rows", "width", label.alias("label"), F.transform("texts", near).alias("said")), "tables")
+    # statements of one broker share their headings and texts: each distinct list is looked up once
+    shapes = dealt_out(t.select("headers", "width").distinct()).withColumn("names", names_of(F.col("headers"), F.col("width")))
+    shapes = shapes.withColumn("columns", resolve_columns(F.col("names"))).withColumn("by_columns", section_of(F.col("columns")))
     said = dealt_out(t.select("said").distinct()).withColumn("phrase", phrase_of(F.col("said")))
-    t = t.join(said, "said").withColumn("section", F.coalesce("phrase", section_of(F.col("columns"))))
-    label = F.get(F.filter(F.concat(F.array("caption"), F.reverse("before")), lambda x: x != ""), F.lit(0))
+    t = with_look(with_look(t, staged(shapes, "shapes"), ["headers", "width"]), staged(said, "said"), ["said"])
+    t = t.withColumn("section", F.coalesce("phrase", "by_columns"))
     numeric = F.exists("rows", lambda r: F.exists(r, lambda x: c.parse_decimal(x).isNotNull()) & (F.size(F.filter(r, lambda x: x != "")) >= 2))
     t = t.where(F.col("section").isNotNull() | ((F.size("names") >= 2) & numeric))
-    return t.select("report", "idx", "section", F.coalesce(label, "section", F.concat(F.lit("table "), "idx")).alias("label"), "names", "columns", F.posexplode("rows").alias("row", "cells")).where(~is_total(F.col("cells")))
+    return t.select("report", "idx", "section", F.coalesce("label", "section", F.concat(F.lit("table "), "idx")).alias("label"), "names", "columns", F.posexplode("rows").alias("row", "cells")).where(~is_total(F.col("cells")))
 
 
 def mapped_rows(rows: DataFrame) -> DataFrame:
-    """Every row with its operations (0 to 4), its balance or null, and the reason why it has neither.
+    """Every row with its operations (0 to 4), its balance or null, or the reason why it has neither, with its names and cells.
 
     The rows are written: a filter on what was mapped (an explode brings its own) would
     else move below the steps and carry a copy of every step with it.
     """
 
     def cell(name: str) -> Column:
-        x = F.get("cells", F.try_element_at("columns", F.lit(name)))
-        return F.when(x.isNotNull() & ~c.is_blank(x), x)
+        return F.get("cells", F.try_element_at("columns", F.lit(name)))
 
-    rows = rows.withColumns({name: cell(name) for name in COLUMNS})
+    wide = {"row": c.split_code("row")}
+    rows = rows.withColumns({name: cell(name) for name in COLUMNS} | wide)
+    rows = rows.withColumns(wide | {name: F.when(F.col(name).isNotNull() & ~c.is_blank(F.col(name)), F.col(name)) for name in COLUMNS})
     there = lambda name, parse: F.when(F.col(name).isNotNull(), parse(F.col(name)))
     number = {n: there(n, c.parse_decimal) for n in ("quantity", "price", "amount", "accrued_int", "tax", "credit", "debit", "closing_balance", *FEES)}
     dates = {n: there(n, c.parse_date) for n in ("trade_date", "settlement_date")}
     rows = rows.withColumns({f"n_{n}": x for n, x in {**number, **dates}.items()}).withColumns({"n_currency": F.when(F.col("currency").isNull(), DEFAULT_CURRENCY).otherwise(c.parse_currency(F.col("currency"))), "n_isin": there("isin", c.isin), "n_ticker": F.trim("ticker")})
     rows = rows.withColumns({"said": there("description", c.normalize_signature), "word": there("direction", c.normalize_signature)})
-    rows = rows.withColumn("n_kind", F.when((F.col("section") == "cash_flow") & F.col("said").isNotNull(), longest_phrase(F.col("said"), by_phrase(OPERATIONS))))
+    rows = rows.withColumns(wide | {"n_kind": F.when((F.col("section") == "cash_flow") & F.col("said").isNotNull(), longest_phrase(F.col("said"), by_phrase(OPERATIONS)))})
     n = lambda name: F.col(f"n_{name}")
     unread = lambda name: F.when(F.col(name).isNotNull() & n(name).isNull(), F.concat(F.lit(f"{name} is not readable: "), name))
     missing = lambda name: F.when(F.col(name).isNull(), F.lit(f"{name} is missing"))
@@ -211,7 +231,7 @@ def mapped_rows(rows: DataFrame) -> DataFrame:
     buys = n("direction") == "BUY"
     common = {"trade_date": n("trade_date"), "settlement_date": F.coalesce(n("settlement_date"), n("trade_date")), "ticker": n("ticker"), "isin": n("isin"), "currency": n("currency")}
     trade = record(OPERATION, **common, kind=n("direction"), instrument_name=F.col("instrument_name"), quantity=F.when(buys, F.abs(n("quantity"))).otherwise(-F.abs(n("quantity"))), price=n("price"), accrued_int=n("accrued_int"), fee=F.when(fee != 0, fee), amount=F.when(buys, -gross).otherwise(gross), broker_trade_no=F.col("broker_trade_no"))
-    fees = [F.when(n(f) != 0, record(OPERATION, **common, kind=F.lit("FEE"), fee_kind=F.lit(k), amount=-F.abs(n(f)), broker_trade_no=F.col("broker_trade_no"), note=F.col("label"))) for f, k in FEES.items()]
+    fees = [(n(f) != 0, record(OPERATION, **common, kind=F.lit("FEE"), fee_kind=F.lit(k), amount=-F.abs(n(f)), broker_trade_no=F.col("broker_trade_no"), note=F.col("label"))) for f, k in FEES.items()]
 
     event, income = F.split("n_kind", " ")[0], F.col("n_kind").isin("COUPON", "DIVIDEND")
     single = F.when((n("amount") > 0) & event.isin("FEE", "TAX", "CASH_OUT"), -n("amount")).otherwise(n("amount"))
@@ -221,7 +241,7 @@ def mapped_rows(rows: DataFrame) -> DataFrame:
     said = F.col("said")
     withheld = F.when(income, F.when(n("tax").isNotNull(), F.lit(False)).when(has_any(said, NET), True).when(has_any(said, GROSS), False))
     flow = record(OPERATION, **common, kind=event, instrument_name=F.col("instrument_name"), fee_kind=F.try_element_at(F.split("n_kind", " "), F.lit(2)), amount=moved + F.when(taxed, F.abs(n("tax"))).otherwise(zero), withheld_at_source=withheld, note=F.col("description"))
-    tax = F.when(taxed, record(OPERATION, **common, kind=F.lit("TAX"), amount=-F.abs(n("tax")), withheld_at_source=F.lit(True), note=F.col("description")))
+    tax = (taxed, record(OPERATION, **common, kind=F.lit("TAX"), amount=-F.abs(n("tax")), withheld_at_source=F.lit(True), note=F.col("description")))
 
     section, first = F.col("section"), F.coalesce
     no_amount = F.when(F.col("amount").isNull() & F.col("price").isNull(), "neither amount nor price")
@@ -233,13 +253,16 @@ def mapped_rows(rows: DataFrame) -> DataFrame:
         .when(section == "security_balances", first(F.when(n("ticker").isNull() & n("isin").isNull(), "neither ticker nor ISIN"), missing("closing_balance"), unread("closing_balance"), unread("currency")))
         .when(section.isNull(), "section is unknown")
     )
-    some = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    rows = rows.withColumn("reason", reason)
+    none = F.array().cast(f"array<struct<{', '.join(f'{name}: {kind}' for name, kind in OPERATION)}>>")
+    # no filter of one array: its function would not be compiled
+    some = lambda x, *more: F.concat(F.array(x), *[F.when(there, F.array(y)).otherwise(none) for there, y in more])
+    rows = rows.withColumns(wide | {"reason": reason})
     operations = F.when(F.col("reason").isNull(), F.when(section == "trades", some(trade, *fees)).when(section == "cash_flow", some(flow, tax)))
     cash = section == "cash_balances"
     balance = record(BALANCE, kind=F.when(cash, "cash").otherwise("security"), ticker=F.when(~cash, n("ticker")), isin=F.when(~cash, n("isin")), quantity=n("closing_balance"), currency=n("currency"))
     balance = F.when(F.col("reason").isNull() & section.isin("cash_balances", "security_balances"), balance)
-    return staged(rows.select("report", "idx", "row", "section", "label", "names", "cells", operations.alias("operations"), balance.alias("balance"), "reason"), "mapped")
+    odd = lambda name: F.when(F.col("reason").isNotNull(), F.col(name)).alias(name)
+    return staged(rows.select("report", "idx", c.split_code("row"), "section", "label", odd("names"), odd("cells"), operations.alias("operations"), balance.alias("balance"), "reason"), "mapped")
 
 
 def statement_operations(mapped: DataFrame) -> DataFrame:
@@ -248,7 +271,7 @@ def statement_operations(mapped: DataFrame) -> DataFrame:
 
 def statement_balances(mapped: DataFrame, headers: DataFrame) -> DataFrame:
     """Control totals, as of the period's end."""
-    b = mapped.select("report", F.explode(F.filter(F.array("balance"), lambda x: x.isNotNull())).alias("b")).select("report", "b.*")
+    b = mapped.where("balance IS NOT NULL").select("report", "balance.*")
     return b.join(headers.select("report", F.col("period_end").alias("as_of")), "report", "left")
 
 

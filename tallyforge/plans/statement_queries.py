@@ -82,10 +82,10 @@ def statement_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An import into an empty ledger: which statements are committed, with how many rows, and how many totals differ by how much cash."""
     parsed = staged(statements(controlled_statements(spark, sf_dir), "report", "content"), "parsed")
-    empty = lambda schema: spark.createDataFrame([], schema)
-    ledger = empty(", ".join(f"{k} {v}" for k, v in I.LEDGER.items()))
-    accounts = empty("account_id long, code string, name string, kind string, currency string")
-    instruments = empty("instrument_id long, ticker string, isin string, name string, kind string, currency string")
+    # tables that Spark knows to be empty, so that nothing is dealt out to meet them
+    empty = lambda **columns: spark.range(1).where("false").select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()])
+    texts = {x: "string" for x in ("name", "kind", "currency")}
+    ledger, accounts, instruments = empty(**I.LEDGER), empty(account_id="long", code="string", **texts), empty(instrument_id="long", ticker="string", isin="string", **texts)
     done = I.import_statements(parsed, ledger, accounts, instruments)
     rows = done.rows.groupBy(F.col("source_report").alias("report")).agg(F.count("*").alias("taken"))
     off = done.discrepancies.groupBy(F.col("report_id").alias("report")).agg(F.count("*").alias("differ"), F.sum(F.when(F.col("kind") == "cash", F.col("difference"))).cast("double").alias("cash_off"))

@@ -1,6 +1,7 @@
 """Plans that grow with the tables: what is not sent through the driver, and what is not done twice."""
 
 import random
+import re
 from html.parser import HTMLParser
 
 import pytest
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 from tallyforge.operators import connected, identities
 from tallyforge.operators import statement_rows as R
 from tallyforge.plans.statement_queries import demo_statements
-from tallyforge.sources.statements import Tables, statements
+from tallyforge.sources.statements import Tables, statements, table_of
 
 DIR = "/root/testdata/sf0.001"
 
@@ -59,6 +60,78 @@ def test_plain_tags_are_read_as_the_library_reads_them():
         assert Tables(markup).found == Slow(markup).found, markup
 
 
+class Library(Slow):
+    """The same for whole files."""
+
+    def __init__(self, markup):
+        self.markup = markup
+        super().__init__(markup)
+
+    def cut(self, parts):
+        self.single = False
+        self.feed(self.markup)
+        self.close()
+
+
+def test_plain_files_are_read_as_the_library_reads_them():
+    r = random.Random(5)
+    row = "<tr><td> a  b</td><td></td><th>c\u00a0</th></tr>"
+    bits = ["<td>", "</td>", "<tr>", "</tr>", "<table>", "</table>", "<tbody>", "</tbody>", "<p>", "</p>", "<h2>", "<caption>", "</caption>", "<html>", "<body>", "<div>", "</div>", "text ", " x ", "&amp;", "&nbsp;z", "&am", row, row, "<tr></tr>", "<tr><td>x</th></tr>"]
+    for i in range(3000):
+        markup = "".join(r.choices(bits + ["<script>", "</td >", "<!-- <td> -->", "<br/>", "<"] * (i % 3 == 0), k=r.randint(1, 40)))
+        assert [table_of(t) for t in Tables(markup).found] == [table_of(t) for t in Library(markup).found], markup
+
+
+def test_plain_statements_need_no_reading_of_single_tags(spark, monkeypatch):
+    texts = [r.content for r in demo_statements(spark, DIR).limit(50).collect()]
+    want = [[table_of(t) for t in Library(x).found] for x in texts]
+    monkeypatch.setattr(Tables, "feed", None)
+    assert [[table_of(t) for t in Tables(x).found] for x in texts] == want
+
+
+def test_tables_do_not_meet_by_their_headings(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = R.table_rows(statements(demo_statements(spark, DIR), "report", "content"))
+        assert "hashpartitioning" not in plan(x) and x.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_headings_are_joined_by_a_shuffle(spark, monkeypatch):
+    parsed = statements(demo_statements(spark, DIR), "report", "content")
+    want = sorted(map(str, R.table_rows(parsed).collect()))
+    monkeypatch.setattr(R, "LOOKS", 0)
+    x = R.table_rows(parsed)
+    assert "SortMergeJoin" in plan(x) and sorted(map(str, x.collect())) == want
+
+
+def test_the_mapping_is_compiled_in_small_methods(spark, monkeypatch):
+    sizes = []
+
+    def staged(df, name):
+        if name == "mapped":
+            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+            sizes.extend(map(int, re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))))
+        return rows_staged(df, name)
+
+    rows_staged = R.staged
+    monkeypatch.setattr(R, "staged", staged)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        R.mapped_rows(R.table_rows(statements(demo_statements(spark, DIR), "report", "content")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
+def test_totals_as_they_are_written(spark):
+    totals = [["5", "Итого"], ["ПОДЫТОГ 7", "1"], ["всёго:", "1"], ["1", "в.\u00a0том  числе"], ["", " ", "«»"], [], ["Раздел", "."], ["Обороты"]]
+    rows = [["итогов", "1"], ["5"], ["Раздел 5", ""], ["a", "b"], ["не всего", "1"], ["обороты", "1"]]
+    x = spark.createDataFrame([(i, v) for i, v in enumerate(totals + rows)], "i int, cells array<string>")
+    assert [r.t for r in x.select("i", R.is_total(F.col("cells")).alias("t")).orderBy("i").collect()] == [True] * len(totals) + [False] * len(rows)
+
+
 def test_finished_components_take_no_part_in_later_rounds(spark, monkeypatch):
     wrote = []
 
